@@ -7,12 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import mojibake, packing, terms, tokens
+from threadloom.llm import conversations, language, mojibake, packing, pii, terms, tokens
 from threadloom.session import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _items(spark: SparkSession, d: str) -> tuple[DataFrame, language.Centroids]:
+    docs = read_table(spark, d, "documents")
+    return language.items_of(docs, read_table(spark, d, "records")), language.fit(docs)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    items, model = _items(spark, d)
+    return language.unstated(language.held_languages(items, model))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every item with its language and confidence."""
+    items, model = _items(spark, d)
+    return language.item_segments(items, model)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.faults(read_table(spark, d, "sessions"), read_table(spark, d, "records"))
+
+
+def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversations(read_table(spark, d, "sessions"), read_table(spark, d, "records"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     found = terms.term_frequencies(terms.block_texts(read_table(spark, d, "records")))
     return found.where("mark <> ''").select("term", "mark")
@@ -22,6 +46,14 @@ def p4_terms(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(terms.block_texts(read_table(spark, d, "records")))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(read_table(spark, d, "records"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(read_table(spark, d, "records"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read_table(spark, d, "documents"))
 
@@ -55,7 +87,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p4_found, p4_terms, p6_ids, p6_offsets, p6_roundtrip, p7_packing, p7_fill, p8_found, p8_restored)
+    f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_conversations, p4_found, p4_terms, p5_found, p5_redacted, p6_ids, p6_offsets, p6_roundtrip, p7_packing, p7_fill, p8_found, p8_restored)
 }
 
 #: Only what plain SQL can say; the other problems have brute-force tests.
