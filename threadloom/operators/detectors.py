@@ -1,0 +1,146 @@
+"""Behaviour patterns in the order of a session's records; frames count all records, meta and tool rows included."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from threadloom.functions import patterns as P
+from threadloom.functions import text as T
+from threadloom.operators.ordered import CHUNK, frame, with_halo
+
+
+def _marked(rows: DataFrame) -> DataFrame:
+    uses = F.coalesce(F.transform(F.filter("blocks", lambda b: b["type"] == "tool_use"), lambda b: F.coalesce(b["name"], F.lit("Unknown tool"))), F.array().cast("array<string>"))
+    errors = F.coalesce(F.exists("blocks", lambda b: (b["type"] == "tool_result") & F.coalesce(b["is_error"], F.lit(False))), F.lit(False))
+    return rows.select(
+        "session_id", "i", "rec_id", "type", "text", uses.alias("tools"), ((F.col("type") == "user") & errors).alias("tool_error")
+    )
+
+
+def detect(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(session_id, i, rec_id, kind, score): verification, correction, repetition, clarification and scope findings.
+
+    ``correction`` looks at the next assistant text however far behind; it is
+    found from the chunk's first such text and the first of later chunks.
+    """
+    m = _marked(rows)
+    says = F.when((F.col("type") == "assistant") & (F.col("text") != ""), F.col("text"))
+    m = m.withColumn("said", says).withColumn("said_i", F.when(F.col("said").isNotNull(), F.col("i")))
+    h = with_halo(m, 7, 6, chunk)
+    checks = F.exists("tools", lambda t: F.lower(t).rlike(P.VERIFY_TOOL))
+    last_tool = F.when(F.size("tools") > 0, F.element_at("tools", -1))
+    h = h.withColumns({
+        "verified": F.max(checks.cast("int")).over(frame(-7, 0)), "failed": F.last(last_tool, True).over(frame(-3, -1)),
+        "later": F.flatten(F.collect_list("tools").over(frame(1, 6))), "soon": F.first("said", True).over(frame(1, 4)),
+        "answer": F.first(F.when(F.col("own"), F.col("said")), True).over(Window.partitionBy("session_id", "chunk").orderBy("i").rowsBetween(1, Window.unboundedFollowing)),
+    }).where("own")
+    heads = m.where("said is not null").withColumn("chunk", F.expr(f"i div {chunk}")).groupBy("session_id", "chunk").agg(F.min_by("said", "i").alias("head"))
+    # The first text of any later chunk: chunks with a text, looked at from behind.
+    chunks = m.select("session_id", F.expr(f"i div {chunk}").alias("chunk")).distinct().join(heads, ["session_id", "chunk"], "left").withColumn(
+        "beyond", F.first("head", True).over(Window.partitionBy("session_id").orderBy("chunk").rowsBetween(1, Window.unboundedFollowing))
+    ).drop("head")
+    h = h.join(chunks, ["session_id", "chunk"]).withColumn("answer", F.coalesce("answer", "beyond"))
+    t, user, agent = F.col("text"), F.col("type") == "user", F.col("type") == "assistant"
+    out: list[Column] = []
+
+    def found(order: int, kind: str, score: Column | float, when: Column) -> None:
+        s = score if isinstance(score, Column) else F.lit(score)
+        out.append(F.when(when, F.struct(F.lit(order).alias("check_no"), F.lit(kind).alias("kind"), s.alias("score"))))
+
+    found(1, "verification", 0.72, agent & T.matches(t, P.COMPLETION) & (F.col("verified") == 0))
+    found(2, "correction", F.when(T.matches(F.col("answer"), P.APOLOGY), 0.81).otherwise(0.58), user & T.matches(t, P.PUSHBACK) & F.col("answer").isNotNull())
+    found(3, "repetition", 0.66, F.col("tool_error") & F.col("failed").isNotNull() & F.array_contains("later", F.col("failed")))
+    found(4, "clarification", 0.76, user & T.matches(t, P.RISK) & F.coalesce(F.col("soon").contains("?"), F.lit(False)) & T.matches(F.col("soon"), P.SCOPE_QUESTION))
+    found(5, "scope", 0.61, agent & T.matches(t, P.EXPANSION))
+    return h.select("session_id", "i", "rec_id", F.inline(F.array_compact(F.array(*out))))
+
+
+def top_findings(findings: DataFrame, rows: DataFrame, per_kind: int = 3) -> DataFrame:
+    """The first findings of each kind: sessions by latest start, then record order."""
+    starts = rows.groupBy("session_id").agg(F.min("ts").alias("started_at"))
+    order = Window.partitionBy("kind").orderBy(F.col("started_at").desc_nulls_last(), "session_id", "i", "check_no")
+    return findings.join(starts, "session_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_kind).select(
+        "kind", "place", "session_id", "i", F.substring(F.sha2(F.concat_ws("|", "session_id", "i", "kind"), 256), 1, 16).alias("finding_id"),
+        T.confidence_label(F.col("score")).alias("confidence"),
+    )
+
+
+def excerpts(findings: DataFrame, rows: DataFrame, before: int = 1, after: int = 2, most: int = 520) -> DataFrame:
+    """The user and assistant texts around a finding, one row per record."""
+    near = findings.select("session_id", F.col("i").alias("center"), "kind", F.explode(F.sequence(F.col("i") - before, F.col("i") + after)).alias("i"))
+    return near.join(rows.where("type in ('user', 'assistant') and text <> ''").select("session_id", "i", "type", "text"), ["session_id", "i"]).select(
+        "session_id", "center", "kind", "i", "type", F.substring("text", 1, most).alias("excerpt")
+    )
+
+
+# ---- blockers and their context ---------------------------------------------
+
+
+def trajectory(rows: DataFrame) -> DataFrame:
+    """Events of each session in order: texts, tool uses and tool results, numbered from 0 by ``ordinal``."""
+    text = F.when(F.col("text") != "", F.array(F.struct(
+        F.lit(-1).alias("part"), F.concat(F.when(F.col("type").isin("user", "assistant"), F.col("type")).otherwise("system"), F.lit("_text")).alias("kind"),
+        F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("method"), F.col("text").alias("summary"),
+    )))
+    def event(b: Column, k: Column) -> Column:
+        s = T.tool_semantics(b["name"], b["input"])
+        use = b["type"] == "tool_use"
+        result = F.coalesce(T.restriction(b["content"]), F.when(F.coalesce(b["is_error"], F.lit(False)), "error").otherwise("completed"))
+        return F.struct(
+            k.alias("part"), b["type"].alias("kind"), F.when(use, s["action"]).alias("action"), F.when(use, s["method"]).alias("method"),
+            F.when(use, b["name"]).otherwise(result).alias("summary"),
+        )
+    tools = F.filter(F.transform("blocks", event), lambda e: e["kind"].isin("tool_use", "tool_result"))
+    empty = F.array().cast("array<struct<part:int,kind:string,action:string,method:string,summary:string>>")
+    events = F.concat(F.coalesce(text, empty), F.coalesce(tools, empty))
+    each = rows.select("session_id", "i", F.size(events).alias("n"), events.alias("events"))
+    from threadloom.operators.ordered import running
+
+    placed = running(each, sums={"upto": F.col("n").cast("long")})
+    return placed.select("session_id", "i", (F.col("upto") - F.col("n")).alias("base"), F.posexplode("events").alias("k", "e")).select(
+        "session_id", "i", (F.col("base") + F.col("k")).alias("ordinal"), "e.kind", "e.action", "e.method", "e.summary"
+    )
+
+
+def blocker_windows(events: DataFrame, before: int = 16, after: int = 15) -> DataFrame:
+    """Merged event ranges [start, end) around blockers, per session."""
+    size = events.groupBy("session_id").agg((F.max("ordinal") + 1).alias("size"))
+    b = events.where((F.col("kind") == "tool_result") & T.matches(F.col("summary"), P.BLOCKER)).join(size, "session_id").select(
+        "session_id", "ordinal", F.greatest(F.lit(0), F.col("ordinal") - before).alias("start"), F.least(F.col("size"), F.col("ordinal") + after).alias("end")
+    )
+    w = Window.partitionBy("session_id").orderBy("ordinal")
+    # Windows have one width, so a gap to the one before starts a new group.
+    b = b.withColumn("fresh", (F.col("start") > F.coalesce(F.lag("end").over(w), F.lit(-1))).cast("int")).withColumn("grp", F.sum("fresh").over(w))
+    return b.groupBy("session_id", "grp").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("blockers")).drop("grp")
+
+
+def window_chunks(windows: DataFrame, size: int = 160, overlap: int = 12) -> DataFrame:
+    """Windows cut into parts of at most ``size`` events that share ``overlap``; numbered per session."""
+    step = size - overlap
+    starts = F.expr(f"sequence(start, start + {step} * greatest(0, cast(ceil((end - start - {size}) / {step}.0) as bigint)), {step})")
+    parts = windows.select("session_id", F.explode(starts).alias("from_event"), "end").withColumn("to_event", F.least(F.col("from_event") + size, F.col("end"))).drop("end")
+    return parts.withColumn("part_index", F.row_number().over(Window.partitionBy("session_id").orderBy("from_event"))).withColumn(
+        "part_count", F.count("*").over(Window.partitionBy("session_id"))
+    )
+
+
+def chunk_events(chunks: DataFrame, events: DataFrame, cell: int = 128) -> DataFrame:
+    """The events of each chunk: a range join through cells, so that it stays an equi-join."""
+    cells = chunks.withColumn("cell", F.explode(F.expr(f"sequence(from_event div {cell}, (to_event - 1) div {cell})")))
+    return cells.join(events.withColumn("cell", F.expr(f"ordinal div {cell}")), ["session_id", "cell"]).where("ordinal >= from_event and ordinal < to_event").select(
+        "session_id", "part_index", "ordinal", "kind", "action", "method", "summary"
+    )
+
+
+def batches(chunks: DataFrame, events: DataFrame, most_chunks: int = 12, most_bytes: int = 150_000) -> DataFrame:
+    """Chunks put greedily into batches of at most ``most_chunks`` and ``most_bytes`` of JSON, session by session."""
+    sized = chunk_events(chunks, events).groupBy("session_id", "part_index").agg(F.sum(F.octet_length(F.to_json(F.struct("ordinal", "kind", "action", "method", "summary")))).alias("bytes"))
+    ordered = sized.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("part_index", F.col("bytes").cast("long").alias("bytes")))).alias("parts"))
+    fold = F.expr(f"""
+      aggregate(parts, struct(0 as n, 0L as used, 0 as batch, cast(array() as array<struct<part_index:int,batch:int>>) as done),
+        (a, x) -> case when a.n > 0 and (a.n >= {most_chunks} or a.used + x.bytes > {most_bytes})
+          then struct(1 as n, x.bytes as used, a.batch + 1 as batch, concat(a.done, array(struct(x.part_index as part_index, a.batch + 1 as batch))) as done)
+          else struct(a.n + 1 as n, a.used + x.bytes as used, a.batch as batch, concat(a.done, array(struct(x.part_index as part_index, a.batch as batch))) as done) end,
+        a -> a.done)""")
+    return ordered.select("session_id", F.inline(fold))

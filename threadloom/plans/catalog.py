@@ -5,20 +5,451 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.operators import drift
+from threadloom.functions import text as T
+from threadloom.operators import cohort, detectors, drift, normalize, phrases, redaction, speech, stats
+from threadloom.operators.ordered import canonical, ranked, running
+from threadloom.plans.oracle import SQL  # noqa: F401
 from threadloom.session import read_table
+from threadloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
 
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    return canonical(read_table(spark, d, "records"))
+
+
+def _codex_lines(spark: SparkSession, d: str) -> DataFrame:
+    files = read_table(spark, d, "raw_files").where("agent = 'codex'").select("file_id")
+    return read_table(spark, d, "raw_lines").join(files, "file_id", "left_semi").select(F.col("file_id").cast("string").alias("session_id"), "line_no", "raw")
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    """The events table as ordered rows per user."""
+    e = read_table(spark, d, "events")
+    return ranked(e.select(F.col("user_id").cast("string").alias("session_id"), F.lit(None).cast("long").alias("record_index"), F.col("event_id").alias("rec_id"), "ts", "event_type", "value"))
+
+
+# ---- problem 1 ---------------------------------------------------------------
+
+
+@query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(read_table(spark, d, "raw_files"), read_table(spark, d, "raw_lines"))
 
 
+@query
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return drift.unify(read_table(spark, d, "raw_files"), read_table(spark, d, "raw_lines"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_records": p1_records}
-SQL: dict[str, str] = {}
+# ---- statistics --------------------------------------------------------------
+
+
+@query
+def turn_stats(spark: SparkSession, d: str) -> DataFrame:
+    return stats.turn_stats(_rows(spark, d))
+
+
+@query
+def report_totals(spark: SparkSession, d: str) -> DataFrame:
+    return stats.report_totals(_rows(spark, d), read_table(spark, d, "sessions"))
+
+
+@query
+def word_averages(spark: SparkSession, d: str) -> DataFrame:
+    return stats.word_averages(_rows(spark, d))
+
+
+@query
+def active_days_duration(spark: SparkSession, d: str) -> DataFrame:
+    return stats.active_days(_rows(spark, d))
+
+
+@query
+def session_turn_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.session_turn_counts(_rows(spark, d))
+
+
+@query
+def top_tools(spark: SparkSession, d: str) -> DataFrame:
+    return stats.top_tools(_rows(spark, d))
+
+
+@query
+def tool_action_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.tool_action_counts(_rows(spark, d))
+
+
+@query
+def usage_share(spark: SparkSession, d: str) -> DataFrame:
+    return stats.usage_share(_rows(spark, d))
+
+
+@query
+def usage_totals(spark: SparkSession, d: str) -> DataFrame:
+    return stats.usage_totals(_rows(spark, d))
+
+
+@query
+def weighted_cost(spark: SparkSession, d: str) -> DataFrame:
+    """Cost with example rates; the table of rates is the caller's."""
+    rates = spark.createDataFrame([("opus", 1, 4.0, 8.0, 2.0, 1.0), ("gpt", 2, 2.0, 4.0, 1.0, 0.5), ("", 9, 1.0, 2.0, 0.5, 0.25)], "pattern string, priority int, input double, output double, cache_write double, cache_read double")
+    return stats.weighted_cost(_rows(spark, d), rates)
+
+
+@query
+def agent_share(spark: SparkSession, d: str) -> DataFrame:
+    return stats.agent_share(read_table(spark, d, "sessions"))
+
+
+@query
+def tone_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.tone_counts(_rows(spark, d))
+
+
+@query
+def stock_phrase_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.stock_phrases(_rows(spark, d))
+
+
+@query
+def project_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return stats.project_rollup(read_table(spark, d, "sessions"), read_table(spark, d, "projects"))
+
+
+@query
+def session_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return stats.session_tokens(_rows(spark, d))
+
+
+@query
+def model_totals_top50(spark: SparkSession, d: str) -> DataFrame:
+    return stats.model_totals(_rows(spark, d))
+
+
+@query
+def session_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return stats.file_metadata(_rows(spark, d))
+
+
+@query
+def default_window(spark: SparkSession, d: str) -> DataFrame:
+    return stats.default_window(read_table(spark, d, "sessions")).select("session_id", "project_id")
+
+
+@query
+def model_names(spark: SparkSession, d: str) -> DataFrame:
+    m = read_table(spark, d, "records").select(F.col("message.model").alias("model")).where("model is not null").distinct()
+    return m.select("model", T.model_name(F.col("model")).alias("name"))
+
+
+@query
+def project_names(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "projects").select("project_id", T.project_name(F.col("cwd")).alias("name"), T.opaque_id(F.col("cwd")).alias("opaque_id"))
+
+
+# ---- language, topics, tone --------------------------------------------------
+
+
+@query
+def language_share(spark: SparkSession, d: str) -> DataFrame:
+    return speech.language_share(_rows(spark, d))
+
+
+@query
+def language_anomaly(spark: SparkSession, d: str) -> DataFrame:
+    return speech.language_anomaly(_rows(spark, d))
+
+
+@query
+def topic_share(spark: SparkSession, d: str) -> DataFrame:
+    return speech.topic_share(_rows(spark, d))
+
+
+@query
+def topic_inherit(spark: SparkSession, d: str) -> DataFrame:
+    return speech.prompt_topics(_rows(spark, d))
+
+
+@query
+def topic_topk_openings(spark: SparkSession, d: str) -> DataFrame:
+    return speech.topic_openings(_rows(spark, d))
+
+
+@query
+def topic_weighted_share(spark: SparkSession, d: str) -> DataFrame:
+    r = _rows(spark, d)
+    return speech.topic_weights(r, speech.keyword_verdicts(r))
+
+
+@query
+def tone_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return speech.tone_candidates(_rows(spark, d))
+
+
+@query
+def tone_batches(spark: SparkSession, d: str) -> DataFrame:
+    return speech.tone_batches(speech.tone_candidates(_rows(spark, d)))
+
+
+@query
+def judge_weighted_confidence(spark: SparkSession, d: str) -> DataFrame:
+    c = speech.tone_candidates(_rows(spark, d))
+    return speech.tone_result(c, speech.keyword_tones(c))
+
+
+@query
+def frustration_quotes(spark: SparkSession, d: str) -> DataFrame:
+    return speech.frustration_quotes(_rows(spark, d))
+
+
+@query
+def share_safe_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    return docs.select("doc_id", T.share_safe(F.col("text"), 2, 600, 40).alias("share_safe"))
+
+
+# ---- behaviour ---------------------------------------------------------------
+
+
+@query
+def detect_findings(spark: SparkSession, d: str) -> DataFrame:
+    return detectors.detect(_rows(spark, d)).select("session_id", "i", "kind", "score")
+
+
+@query
+def finding_top3_per_kind(spark: SparkSession, d: str) -> DataFrame:
+    r = _rows(spark, d)
+    return detectors.top_findings(detectors.detect(r), r).select("kind", "place", "session_id", "i", "confidence")
+
+
+@query
+def finding_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    r = _rows(spark, d)
+    return detectors.excerpts(detectors.detect(r), r)
+
+
+@query
+def trajectory_events(spark: SparkSession, d: str) -> DataFrame:
+    return detectors.trajectory(_rows(spark, d)).select("session_id", "ordinal", "kind", "action", "method")
+
+
+@query
+def blocker_windows(spark: SparkSession, d: str) -> DataFrame:
+    return detectors.blocker_windows(_blocked(spark, d))
+
+
+def _blocked(spark: SparkSession, d: str) -> DataFrame:
+    """Trajectories in which every tool error stands for a blocker."""
+    e = detectors.trajectory(_rows(spark, d))
+    return e.withColumn("summary", F.when((F.col("kind") == "tool_result") & (F.col("summary") == "error"), "permission denied").otherwise(F.col("summary")))
+
+
+@query
+def window_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return detectors.window_chunks(detectors.blocker_windows(_blocked(spark, d)), 20, 4)
+
+
+@query
+def chunk_events(spark: SparkSession, d: str) -> DataFrame:
+    e = _blocked(spark, d)
+    c = detectors.window_chunks(detectors.blocker_windows(e), 20, 4)
+    return detectors.chunk_events(c, e).select("session_id", "part_index", "ordinal", "kind")
+
+
+@query
+def batch_greedy(spark: SparkSession, d: str) -> DataFrame:
+    e = _blocked(spark, d)
+    return detectors.batches(detectors.window_chunks(detectors.blocker_windows(e), 20, 4), e, 3, 4000)
+
+
+# ---- phrases -----------------------------------------------------------------
+
+
+@query
+def ngram_miner(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.ngram_miner(_rows(spark, d))
+
+
+@query
+def phrase_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.phrase_candidates(_rows(spark, d))
+
+
+@query
+def phrase_suppressed(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.suppressed(phrases.phrase_candidates(_rows(spark, d)))
+
+
+@query
+def phrase_variants(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.variants(_rows(spark, d)).select("variant_id", "occurrences", "sessions", "openings")
+
+
+@query
+def neardup_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.similar_pairs(phrases.variants(_rows(spark, d)))
+
+
+@query
+def family_components(spark: SparkSession, d: str) -> DataFrame:
+    v = phrases.variants(_rows(spark, d))
+    return phrases.components(v, phrases.similar_pairs(v))
+
+
+@query
+def neardup_families(spark: SparkSession, d: str) -> DataFrame:
+    v = phrases.variants(_rows(spark, d))
+    return phrases.families(v, phrases.similar_pairs(v))
+
+
+# ---- redaction and donation --------------------------------------------------
+
+
+@query
+def redact_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", redaction.redact_patterns(F.col("text")).alias("redacted"))
+
+
+@query
+def redact_presets(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", redaction.custom_rules(F.col("text"), list(redaction.PRESETS.values())).alias("redacted"))
+
+
+@query
+def redaction_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return redaction.inventory(redaction.redact_rows(_rows(spark, d).select("rec_id", "text"), "rec_id", "text", heuristic=False), "rec_id")
+
+
+@query
+def donation_preview(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.donation_preview(_rows(spark, d))
+
+
+# ---- cohort and charts -------------------------------------------------------
+
+
+@query
+def percentile_rank(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.percentile_ranks(read_table(spark, d, "customer"), "c_custkey", "c_acctbal")
+
+
+@query
+def good_human_score(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("good"), F.count_if(F.col("event_type") == "error").alias("bad"))
+    return e.select("user_id", cohort.share_score(F.col("good"), F.col("bad")).alias("score"))
+
+
+@query
+def session_lengths_unnest(spark: SparkSession, d: str) -> DataFrame:
+    n = stats.session_turn_counts(_rows(spark, d)).agg(F.to_json(F.sort_array(F.collect_list("turns"))).alias("stored"))
+    return n.select(F.posexplode(cohort.session_lengths(F.col("stored"))).alias("place", "turns"))
+
+
+@query
+def cohort_latest_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.latest(read_table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), "o_custkey", "o_orderdate", "o_orderkey")
+
+
+@query
+def opt_out_anti(spark: SparkSession, d: str) -> DataFrame:
+    gone = read_table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return cohort.without(read_table(spark, d, "customer"), gone, "c_custkey").select("c_custkey", "c_mktsegment")
+
+
+@query
+def phrase_wall_last_n(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.last_reversed(read_table(spark, d, "orders").where("o_orderstatus is not null").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+
+
+@query
+def leaderboard_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    r = _rows(spark, d)
+    return cohort.aggregate_row(stats.report_totals(r, read_table(spark, d, "sessions")), stats.tone_counts(r), stats.word_averages(r), phrases.phrase_candidates(r)).where(cohort.valid_aggregate())
+
+
+@query
+def median_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.quantiles(read_table(spark, d, "events"), "event_type", "value")
+
+
+@query
+def kde_grid(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events").where("value > 0").select(F.log10("value").alias("v"))
+    return cohort.density(e, "v")
+
+
+# ---- normalisers -------------------------------------------------------------
+
+
+@query
+def codex_records(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.normalized(_codex_lines(spark, d))
+
+
+@query
+def forward_fill_model(spark: SparkSession, d: str) -> DataFrame:
+    r = _rows(spark, d).select("session_id", "i", "model")
+    return running(r.withColumnRenamed("model", "declared"), lasts={"model": F.when(F.col("declared") != "<synthetic>", F.col("declared"))}).select("session_id", "i", "model")
+
+
+@query
+def delta_from_cumulative(spark: SparkSession, d: str) -> DataFrame:
+    """Running totals of each user's values, and the differences that give the values back."""
+    s = running(_steps(spark, d).select("session_id", "i", F.round("value").cast("long").alias("value")), sums={"total": F.col("value")})
+    prior = s.select("session_id", (F.col("i") + 1).alias("i"), F.col("total").alias("prior"))
+    return s.join(prior, ["session_id", "i"], "left").select("session_id", "i", "total", F.greatest(F.lit(0), F.col("total") - F.coalesce("prior", F.lit(0))).alias("delta"))
+
+
+@query
+def call_result_pairing(spark: SparkSession, d: str) -> DataFrame:
+    """Tool results with the latest use of their id in the session."""
+    r = _rows(spark, d).select("session_id", "i", F.posexplode("blocks").alias("k", "b")).where("b.type in ('tool_use', 'tool_result')")
+    e = r.select("session_id", "i", "k", F.coalesce("b.id", "b.tool_use_id").alias("ref"), F.when(F.col("b.type") == "tool_use", F.struct("i", "b.name")).alias("use"), (F.col("b.type") == "tool_result").alias("is_result")).where("ref is not null")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("session_id", "ref").orderBy("i", "k").rowsBetween(Window.unboundedPreceding, -1)
+    return e.withColumn("call", F.last("use", True).over(w)).where("is_result").select("session_id", "i", "k", "ref", F.col("call.i").alias("call_i"), F.col("call.name").alias("tool"))
+
+
+@query
+def replay_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.replay_dedup(read_table(spark, d, "records").where("session_id is not null").withColumn("session_id", F.lower(F.regexp_replace("session_id", r"(?U)^\s+|\s+$", "")))).select("rec_id", "session_id", "rec_type")
+
+
+@query
+def split_merge(spark: SparkSession, d: str) -> DataFrame:
+    return normalize.merge_split_messages(_rows(spark, d)).select("session_id", "i", "n_rows", "model", F.size("blocks_json").alias("n_blocks"))
+
+
+@query
+def json_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The first two fields of the events' JSON, by value."""
+    e = read_table(spark, d, "events").select(F.posexplode(F.map_entries(F.from_json("props", "map<string,string>"))).alias("pos", "kv"))
+    return e.groupBy(F.col("kv.key").alias("key")).agg(F.count("*").alias("n"), F.count_distinct("kv.value").alias("n_values"))
+
+
+@query
+def prose_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words and sentences of each document's prose."""
+    p = T.tone_prose(F.col("text"))
+    return read_table(spark, d, "documents").select("doc_id", T.word_count(p).alias("words"), F.size(T.sentences(p)).alias("sentences"))
+
+
+@query
+def session_gap(spark: SparkSession, d: str) -> DataFrame:
+    return streams.session_gaps(read_table(spark, d, "events"), "user_id", "ts", "6 hours")
+
+
+@query
+def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
+    return streams.windowed_counts(read_table(spark, d, "events"), "ts", "event_type", "1 day").withColumn("total", F.round("total", 2))
