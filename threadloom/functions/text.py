@@ -5,6 +5,8 @@ All are plain Catalyst expressions.  A null text gives null unless said otherwis
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,14 +103,12 @@ def is_grateful(text: Column) -> Column:
 
 def share_safe(c: Column, least: int, most: int, base64_run: int | None = 40) -> Column:
     """Whether a text may be shown: length, no control characters, links, home paths, code, tags, markers, mail addresses, secrets."""
-    bad = [r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", r"(?i)https?://", r"/Users/|/home/", "```", r"<[a-zA-Z/][^>]*>", r"(?i)\[redacted", P.java(P.EMAIL), P.java(P.CREDENTIAL)]
-    bad += [P.java(p) for p, _ in P.SECRETS]
+    bad = [r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", r"(?i:https?://)", r"/Users/|/home/", "```", r"<[a-zA-Z/][^>]*>", r"(?i:\[redacted)"]
+    bad += [re.sub(r"^\(\?i\)(.*)$", r"(?i:\1)", p, flags=re.S) for p in (P.EMAIL, P.CREDENTIAL, *(p for p, _ in P.SECRETS))]
     if base64_run:
         bad.append(rf"[A-Za-z0-9+/]{{{base64_run},}}")
-    ok = F.length(c).between(least, most)
-    for p in bad:
-        ok = ok & ~c.rlike(p)
-    return F.coalesce(ok, F.lit(False))
+    # One expression, as the text may itself be a long one.
+    return F.coalesce(F.length(c).between(least, most) & ~c.rlike(P.java("|".join(f"(?:{p})" for p in bad))), F.lit(False))
 
 
 def ellipsis(c: Column, most: int) -> Column:

@@ -47,7 +47,7 @@ def canonical(records: DataFrame, with_blocks: bool = True) -> DataFrame:
 def ranked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """rows with ``i``, their exact rank in the session from 0."""
     part = F.when(F.col("record_index").isNotNull(), F.expr(f"record_index div {chunk}")).otherwise(
-        F.lit(1 << 40) + F.coalesce(F.expr("unix_seconds(ts) div 600"), F.lit(1 << 40))
+        F.lit(1 << 40) + F.coalesce(F.expr("unix_seconds(cast(ts as timestamp)) div 600"), F.lit(1 << 40))
     )
     rows = rows.withColumn("__part", part)
     inside = Window.partitionBy("session_id", "__part").orderBy(F.col("record_index").asc_nulls_last(), F.col("ts").asc_nulls_last(), "rec_id")

@@ -173,7 +173,7 @@ def model_totals(rows: DataFrame, most: int = 50) -> DataFrame:
 def file_metadata(rows: DataFrame) -> DataFrame:
     """Per session: first and last time in file order, prompts and records (the catalogue counts prompts without text)."""
     return rows.groupBy("session_id").agg(
-        F.min_by("ts", "i").alias("started_at"), F.max_by("ts", "i").alias("ended_at"),
+        F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("i"))).alias("started_at"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("i"))).alias("ended_at"),
         F.count_if((F.col("type") == "user") & ~F.col("is_meta")).alias("prompt_count"), F.count("*").alias("record_count"),
     )
 

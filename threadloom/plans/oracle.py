@@ -37,11 +37,11 @@ def _replace(c: str, *patterns: str) -> str:
 
 def _tone_prose(c: str, tags: bool = True) -> str:
     steps = [r"(?s)```.*?```", r"`[^`\n]+`", r"https?://\S+", r"\[[^\]]+\]\([^\)]+\)", r"(?:/Users/|/home/)[^\s,;:]+"] + ([r"<[^>\n]+>"] if tags else [])
-    return f"trim({_replace(c, *steps, r'\s+')})"
+    return f"trim({_replace(c, *steps, r'\s+')}, ' ')"
 
 
 def _analysis_prose(c: str) -> str:
-    return f"trim({_replace(c, r'(?s)```.*?```', r'`[^`\n]+`', r'(?m)^\s*>.*$', r'https?://\S+', r'(?:^|\s)[~.]?/[^\s,;:]+', r'<[^>\n]+>', r'\s+')})"
+    return f"trim({_replace(c, r'(?s)```.*?```', r'`[^`\n]+`', r'(?m)^\s*>.*$', r'https?://\S+', r'(?:^|\s)[~.]?/[^\s,;:]+', r'<[^>\n]+>', r'\s+')}, ' ')"
 
 
 def _has(c: str, p: str, ic: bool = True) -> str:
@@ -212,15 +212,15 @@ _GRAM_OK = f"len(list_intersect(gram, {_list(P.BLOCKED_TOKENS)})) = 0 and len(li
 _MODEL_WRITTEN = "type = 'assistant' and not is_api_error and model is not null and model <> '<synthetic>'"
 _NGRAM_CTE = f"""u as (select session_id, {_TOKENS.format(c='s')} as tokens from (select session_id, unnest({_sentences(_UNIT)}) as s from r where {_MODEL_WRITTEN})),
 n1 as (select session_id, tokens, unnest(generate_series(3, least(8, len(tokens)))) as n from u where len(tokens) >= 3),
-n2 as (select session_id, tokens, n, unnest(generate_series(0, len(tokens) - n)) as at from n1),
-n3 as (select session_id, n, tokens[at + 1 : at + n] as gram from n2), grams as (select session_id, n, array_to_string(gram, ' ') as phrase from n3 where {_GRAM_OK})"""
+n2 as (select session_id, tokens, n, unnest(generate_series(0, len(tokens) - n)) as off from n1),
+n3 as (select session_id, n, tokens[off + 1 : off + n] as gram from n2), grams as (select session_id, n, array_to_string(gram, ' ') as phrase from n3 where {_GRAM_OK})"""
 _PHRASE_CTE = f"""ps as (select session_id, i, k - 1 as sentence_no, s from (select session_id, i, unnest(ss) as s, generate_subscripts(ss, 1) as k from (select session_id, i, {_sentences(_UNIT)} as ss from r where type = 'assistant' and not is_api_error))),
 pc0 as (select session_id, i, sentence_no, list_filter(string_split(regexp_replace(regexp_replace(s, '[;:—–]', chr(1), 'g'), ',\\s+(and|but|or|so|yet)(\\s)', chr(1) || '\\1\\2', 'g'), chr(1)), lambda x: trim(x) <> '') as cs from ps),
 pc as (select session_id, sentence_no, k - 1 as clause_no, {_TOKENS.format(c='c')} as tokens from (select session_id, sentence_no, unnest(cs) as c, generate_subscripts(cs, 1) as k from pc0)),
-q1 as (select *, unnest(generate_series(4, least(10, len(tokens)))) as n from pc where len(tokens) >= 4), q2 as (select *, unnest(generate_series(0, len(tokens) - n)) as at from q1),
-q3 as (select *, tokens[at + 1 : at + n] as gram from q2),
-pg as (select session_id, array_to_string(gram, ' ') as phrase, n, sentence_no = 0 and clause_no = 0 and at = 0 as opening, at = 0 as at_start, at + n = len(tokens) as at_end,
-  case when at > 0 then tokens[at] end as prev, case when at + n < len(tokens) then tokens[at + n + 1] end as next from q3 where {_GRAM_OK}),
+q1 as (select *, unnest(generate_series(4, least(10, len(tokens)))) as n from pc where len(tokens) >= 4), q2 as (select *, unnest(generate_series(0, len(tokens) - n)) as off from q1),
+q3 as (select *, tokens[off + 1 : off + n] as gram from q2),
+pg as (select session_id, array_to_string(gram, ' ') as phrase, n, sentence_no = 0 and clause_no = 0 and off = 0 as opening, off = 0 as at_start, off + n = len(tokens) as at_end,
+  case when off > 0 then tokens[off] end as prev, case when off + n < len(tokens) then tokens[off + n + 1] end as next from q3 where {_GRAM_OK}),
 pb as (select phrase, n, count(*) as occurrences, count(distinct session_id) as sessions, count(*) filter (opening) as openings, count(*) filter (at_start) as starts, count(*) filter (at_end) as ends from pg group by all),
 tpv as (select phrase, max(c) as top_prev from (select phrase, prev, count(*) as c from pg where prev is not null group by all) group by phrase),
 tnx as (select phrase, max(c) as top_next from (select phrase, next, count(*) as c from pg where next is not null group by all) group by phrase),
@@ -232,13 +232,6 @@ _VARIANT_CTE = f"""vs as (select session_id, k - 1 as sentence_no, s from (selec
 vc as (select session_id, sentence_no, unnest(string_split(regexp_replace(s, '\\n+| [—–] |; ', chr(1), 'g'), chr(1))) as c from vs),
 vt as (select session_id, sentence_no, list_transform(regexp_extract_all(lower(translate(c, '’‘', '''''')), '[a-z]+(?:''[a-z]+)?|\\d+(?:\\.\\d+)?'), lambda t: case when regexp_matches(t, '^[0-9]') then '{{number}}' when t in ('redacted', 'credential', 'secret') then '{{redacted}}' else t end) as tokens from vc),
 v as (select tokens, left(sha256(array_to_string(tokens, ' ')), 16) as variant_id, count(*) as occurrences, count(distinct session_id) as sessions, count(*) filter (sentence_no = 0) as openings from vt where len(tokens) between 3 and 30 group by tokens)"""
-_SAFE_PATTERNS_REDACT = None
-
-
-def _redact(c: str) -> str:
-    for p, marker in [*P.SECRETS, *P.NUMBERS]:
-        c = f"regexp_replace({c}, {_s(p)}, {_s(marker)}, 'g')"
-    return c
 
 
 SQL: dict[str, str] = {
