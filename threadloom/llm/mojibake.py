@@ -144,6 +144,8 @@ def _run_cost(run: str, skip: int) -> tuple[float, float]:
         elif cls == "q":
             if c in "‚„‹" and prev in "alc" or c in "—–“" and prev in "alc" and run[i + 1 : i + 2].isalpha():
                 total += 1.6
+            elif c in "—–" and prev == "s" and run[i + 1 : i + 2].isalpha():
+                total += 0.5  # a dash that clings to one word
             total += 0.5 if prev == "l" else 1.0 if prev == "y" and run[i - 1] not in "%)]" else 0.0
         elif cls == "j" and prev in "alco":
             total += 1.0
