@@ -16,13 +16,16 @@ are dropped; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,13 +39,15 @@ _CODES = {
 }
 STATED = {w: k for k, v in _CODES.items() for w in v.split()}
 SAMPLE_PER_LABEL = 300
-CLUSTERS = 4
+CLUSTERS = 10
 MAX_FEATURES = 30_000
 #: Least cosine with the nearest centroid.
 REJECT = 0.08
-#: Cosines closer than this are near each other.
-NEAR = 0.03
+#: Cosines closer than this are near each other, of sentences of 40 letters or more and of shorter ones.
+NEAR, NEAR_SHORT = 0.03, 0.06
 MIN_LETTERS = 20
+#: Words count so much more than their n-grams.
+WORD_WEIGHT = 2.0
 #: Words whose products a worker keeps.
 MEMO_WORDS = 50_000
 
@@ -82,7 +87,8 @@ _MARK = re.compile(r"^\s*(?:#{1,6}\s+|[-*+>]\s+|\d+[.)]\s+)+")
 _MARKUP = re.compile(r"`[^`]*`|https?://\S+|<\|?[\w/|]+\|?>|[\w.+-]+@[\w.-]+|[\w.+-]+ ?[\[(]at[\])] ?[\w.\[\]()-]+|[\w+-]+(?: dot [\w+-]+)* at [\w-]+(?: dot [\w-]+)+")
 #: ASCII words with a digit, an inner capital, underscore, slash or dot: paths, identifiers, numbers, tickets.
 _IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z]*(?:[_/\\$\d]|\.(?=[A-Za-z0-9_])|-(?=\d)|(?<=[a-z0-9])[A-Z]|\(\))[A-Za-z0-9_/\\$.\-]*(?:\(\))?")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
+_MARKS = frozenset(" \t#-*+>0123456789")
+_SENTENCE = re.compile(r"(?<=[.!?])(?<!\bSt\.)(?<!str\.)(?<!\bDr\.)(?<!\b[A-Z]\.)\s+|(?<=[。！？])|\n+")
 _LATIN_RUN = r"A-Za-zÀ-ɏḀ-ỿ"
 _CYRILLIC_RUN = r"Ѐ-ӿ"
 _CJK_RUN = r"぀-ヿ㐀-鿿ｦ-ﾝ々"
@@ -102,11 +108,16 @@ def stated_language(label: str | None) -> str:
 
 def prose_sentences(text: str) -> Iterator[str]:
     """The sentences of a text without code, traces, paths and identifiers; parts in another script stand by themselves."""
-    for line in _FENCE.sub("\n", text).splitlines():
-        if _CODE_LINE.match(line):
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    for line in text.splitlines():
+        if not line or _CODE_LINE.match(line):
             continue
-        for s in _SENTENCE.split(_MARK.sub("", line)):
-            if not s or _CODE_LINE.match(s):
+        if line[0] in _MARKS:
+            line = _MARK.sub("", line)
+        parts = _SENTENCE.split(line)
+        for s in parts:
+            if not s or len(parts) > 1 and _CODE_LINE.match(s):
                 continue
             if _MARKED.search(s):
                 s = _MARKUP.sub(" ", s)
@@ -140,7 +151,7 @@ def grams(piece: str) -> list[str]:
         return [piece[0], piece]
     padded = f" {piece} "
     out = [padded[i : i + n] for n in (1, 2, 3, 4) for i in range(len(padded) - n + 1)]
-    return [g for g in out if g != " "] + [f"w{piece}"]
+    return [g for g in out if g != " "] + ["\x02" + piece]
 
 
 def _plain(s: str) -> str:
@@ -156,8 +167,7 @@ class Centroids:
         self.held = sorted(set(owner), key=owner.index)
         self.starts = np.array([owner.index(k) for k in self.held])
         self.slots = [LANGUAGES.index(k) for k in self.held]
-        self.idf2 = (idf.astype(np.float64)) ** 2
-        self.words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.words: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.sentences: dict[str, tuple[float, ...]] = {}
 
     def __getstate__(self):
@@ -173,7 +183,7 @@ class Centroids:
         df = Counter(g for c in counts for g in c)
         top = sorted(df.items(), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES]
         index = {g: i for i, (g, _) in enumerate(top)}
-        idf = np.log((1 + len(samples)) / (1 + np.array([n for _, n in top], dtype=float))) + 0.3
+        idf = np.array([WORD_WEIGHT if g[0] == "\x02" else 1.0 for g, _ in top]) * np.log((1 + len(samples)) / (1 + np.array([n for _, n in top], dtype=float))) + 0.3
         x = np.zeros((len(samples), len(index)), dtype=np.float32)
         for i, c in enumerate(counts):
             for g, n in c.items():
@@ -198,10 +208,11 @@ class Centroids:
             owner += [lang] * k
         return Centroids(index, idf.astype(np.float32), np.vstack(cents), owner)
 
-    def _word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
-        """(feature ids, their part of the product with every centroid) of a word."""
+    def _word(self, w: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature ids, their weights, their part of the product with every centroid) of a word."""
         ids = np.array([j for g in grams(w) if (j := self.index.get(g)) is not None], dtype=np.int64)
-        hit = ids, (self.idf[ids] @ self.by_feature[ids]).astype(np.float32) if len(ids) else np.zeros(len(self.owner), np.float32)
+        weights = self.idf[ids].astype(np.float64)
+        hit = ids, weights, self.idf[ids] @ self.by_feature[ids] if len(ids) else np.zeros(len(self.owner), np.float32)
         if len(self.words) < MEMO_WORDS:
             self.words[w] = hit
         return hit
@@ -215,9 +226,9 @@ class Centroids:
         known = [self.words.get(w) or self._word(w) for w in pieces(s)]
         ids = np.concatenate([k[0] for k in known]) if known else ()
         if len(ids):
-            n = np.bincount(ids)
-            norm = float(np.sqrt((n * n) @ self.idf2[: len(n)]))
-            cos = np.maximum.reduceat(np.add.reduce([k[1] for k in known]), self.starts)
+            v = np.bincount(ids, np.concatenate([k[1] for k in known]))
+            norm = math.sqrt(v @ v)
+            cos = np.maximum.reduceat(np.add.reduce([k[2] for k in known]), self.starts)
             for slot, c in zip(self.slots, cos.tolist()):
                 out[slot] = c / norm
         hit = tuple(out)
@@ -226,37 +237,45 @@ class Centroids:
         return hit
 
 
-def segments(text: str | None, model: Centroids) -> list[tuple[str, float, int, str]]:
-    """(language or '', confidence, letters, text) of the item's sentences; neighbours of one language are joined."""
+def classified(text: str | None, model: Centroids, stated: str = "") -> list[tuple[str, float, int, str]]:
+    """(language or '', confidence, letters, text) of the item's sentences.
+
+    A sentence near several languages takes the one the item holds most of
+    otherwise, then the one its label states.
+    """
     if not text:
         return []
     text = mojibake.repair(text)[0]
-    rows = []
+    rows, held = [], [0] * len(LANGUAGES)
     for s in prose_sentences(text):
-        letters = sum(map(str.isalpha, s))
-        if letters:
-            rows.append([s.strip(), letters, model.similarity(normalised(s))])
-    held: dict[int, float] = defaultdict(float)
-    for row in rows:
-        second, first = sorted(row[2])[-2:]
-        row.append(first)
-        if first >= REJECT and first - second >= NEAR:
-            held[row[2].index(first)] += row[1]
-    out: list[tuple[str, float, int, str]] = []
+        n = normalised(s)
+        if n:
+            sim, letters = model.similarity(n), len(n) - n.count(" ")
+            second, first = sorted(sim)[-2:]
+            rows.append((s, letters, sim, first))
+            if first >= REJECT and first - second >= (NEAR if letters >= 40 else NEAR_SHORT):
+                held[sim.index(first)] += letters
+    known = LANGUAGES.index(stated) if stated else -1
+    out = []
     for s, letters, sim, first in rows:
         if first < REJECT:
-            lang, conf = "", 0.0
-        else:
-            near = [j for j, x in enumerate(sim) if first - x < NEAR]
-            best = near[0] if len(near) == 1 else max(near, key=lambda j: (held.get(j, 0.0), sim[j]))
-            rest = max(x for j, x in enumerate(sim) if j != best)
-            lang, conf = LANGUAGES[best], min(1.0, max(0.0, 0.5 + (sim[best] - rest) / (2 * sim[best])))
-        if out and out[-1][0] == lang:
-            a = out[-1]
-            n = a[2] + letters
-            out[-1] = (lang, (a[1] * a[2] + conf * letters) / n, n, f"{a[3]} {s}")
-        else:
-            out.append((lang, conf, letters, s))
+            out.append(("", 0.0, letters, s))
+            continue
+        gap = NEAR if letters >= 40 else NEAR_SHORT
+        near = [j for j, x in enumerate(sim) if first - x < gap]
+        best = near[0] if len(near) == 1 else max(near, key=lambda j: (held[j], j == known, sim[j]))
+        rest = max(x for j, x in enumerate(sim) if j != best)
+        out.append((LANGUAGES[best], min(1.0, max(0.0, 0.5 + (sim[best] - rest) / (2 * sim[best]))), letters, s))
+    return out
+
+
+def segments(text: str | None, model: Centroids, stated: str = "") -> list[tuple[str, float, int, str]]:
+    """(language or '', confidence, letters, text) of the item's parts: neighbouring sentences of one language are joined."""
+    out = []
+    for lang, group in groupby(classified(text, model, stated), key=lambda x: x[0]):
+        group = list(group)
+        n = sum(g[2] for g in group)
+        out.append((lang, sum(g[1] * g[2] for g in group) / n, n, " ".join(g[3].strip() for g in group)))
     return out
 
 
@@ -309,7 +328,7 @@ def item_segments(items: DataFrame, model: Centroids) -> DataFrame:
             rows = []
             for src, i, label, texts in zip(pdf.src, pdf.item_id, pdf.label, pdf.texts):
                 text = "\n\n".join(t for t in texts if t) if texts is not None else ""
-                rows += [(src, i, label, n, *x) for n, x in enumerate(segments(text, model))]
+                rows += [(src, i, label, n, *x) for n, x in enumerate(segments(text, model, stated_language(label)))]
             yield pd.DataFrame(rows, columns=["src", "item_id", "label", "segment_no", "lang", "confidence", "letters", "text"])
 
     return items.select("src", "item_id", "label", "texts").mapInPandas(
@@ -317,26 +336,28 @@ def item_segments(items: DataFrame, model: Centroids) -> DataFrame:
     )
 
 
+_HELD = pa.schema([("src", pa.string()), ("item_id", pa.int64()), ("label", pa.string()), ("lang", pa.string()), ("letters", pa.int32()), ("confidence", pa.float64())])
+
+
 def held_languages(items: DataFrame, model: Centroids, min_letters: int = MIN_LETTERS) -> DataFrame:
     """(src, item_id, label, lang, letters, confidence): the languages an item holds, with at least min_letters letters."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for src, i, label, texts in zip(pdf.src, pdf.item_id, pdf.label, pdf.texts):
-                text = "\n\n".join(t for t in texts if t) if texts is not None else ""
+            for src, i, label, text in zip(*(c.to_pylist() for c in b.columns)):
                 n: dict[str, int] = defaultdict(int)
                 c: dict[str, float] = defaultdict(float)
-                for lang, conf, letters, _ in segments(text, model):
+                for lang, conf, letters, _ in classified(text, model, stated_language(label)):
                     if lang:
                         n[lang] += letters
                         c[lang] += conf * letters
                 rows += [(src, i, label, k, n[k], c[k] / n[k]) for k in n if n[k] >= min_letters]
-            yield pd.DataFrame(rows, columns=["src", "item_id", "label", "lang", "letters", "confidence"])
+            yield pa.RecordBatch.from_pylist([dict(zip(_HELD.names, r)) for r in rows], _HELD)
 
-    return items.select("src", "item_id", "label", "texts").mapInPandas(
-        run, "src string, item_id long, label string, lang string, letters int, confidence double"
-    )
+    # A character stands for two letters at most, even where a wrong decoding has to be undone.
+    joined = items.select("src", "item_id", "label", F.array_join("texts", "\n\n").alias("text")).where(F.length("text") * 2 >= min_letters)
+    return joined.mapInArrow(run, "src string, item_id long, label string, lang string, letters int, confidence double")
 
 
 def unstated(held: DataFrame) -> DataFrame:
