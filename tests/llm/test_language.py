@@ -50,6 +50,12 @@ def test_mixed_code_and_garbled(model):
         assert not [x for x in L.segments(t, model) if x[2] >= 20]
 
 
+def test_batches_agree_with_single_items(model):
+    texts = [*HELD_OUT.values(), None, "", "ok"] * 80
+    one = [L.joined_segments(next(L.classified_all([t], ["en"], model))) for t in texts]
+    assert list(map(L.joined_segments, L.classified_all(texts, ["en"] * len(texts), model))) == one
+
+
 def test_items(spark, model, make_records):
     from tests.conftest import record
 

@@ -50,6 +50,7 @@ MIN_LETTERS = 20
 WORD_WEIGHT = 2.0
 #: Words whose products a worker keeps.
 MEMO_WORDS = 50_000
+MEMO_SENTENCES = 50_000
 
 _SEED = {
     "en": "The people who live here have been waiting for an answer since the beginning of the week. I would like to know whether you can help us with this. "
@@ -167,7 +168,7 @@ class Centroids:
         self.held = sorted(set(owner), key=owner.index)
         self.starts = np.array([owner.index(k) for k in self.held])
         self.slots = [LANGUAGES.index(k) for k in self.held]
-        self.words: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.sentences: dict[str, tuple[float, ...]] = {}
 
     def __getstate__(self):
@@ -208,77 +209,101 @@ class Centroids:
             owner += [lang] * k
         return Centroids(index, idf.astype(np.float32), np.vstack(cents), owner)
 
-    def _word(self, w: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(feature ids, their weights, their part of the product with every centroid) of a word."""
+    def _word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
+        """(feature ids, their part of the product with every centroid) of a word."""
         ids = np.array([j for g in grams(w) if (j := self.index.get(g)) is not None], dtype=np.int64)
-        weights = self.idf[ids].astype(np.float64)
-        hit = ids, weights, self.idf[ids] @ self.by_feature[ids] if len(ids) else np.zeros(len(self.owner), np.float32)
+        hit = ids, self.idf[ids] @ self.by_feature[ids] if len(ids) else np.zeros(len(self.owner), np.float32)
         if len(self.words) < MEMO_WORDS:
             self.words[w] = hit
         return hit
 
+    def similarities(self, sentences: list[str]) -> list[tuple[float, ...]]:
+        """Cosine with the nearest centroid of each language, in the order of LANGUAGES, for each normalised sentence.
+
+        A sentence's product with a centroid is the sum of its words' products;
+        its length comes from the summed weights of its features.
+        """
+        none, fresh = (0.0,) * len(LANGUAGES), {}
+        out = [self.sentences.get(s) for s in sentences]
+        todo = list(dict.fromkeys(s for s, x in zip(sentences, out) if x is None))
+        for at in range(0, len(todo), 512):
+            part = todo[at : at + 512]
+            known = [[self.words.get(w) or self._word(w) for w in pieces(s)] for s in part]
+            flat = [k for ks in known for k in ks]
+            n_ids = np.array([sum(len(k[0]) for k in ks) for ks in known])
+            if not n_ids.sum():
+                fresh.update(dict.fromkeys(part, none))
+                continue
+            ids = np.concatenate([k[0] for k in flat]) + np.repeat(np.arange(len(part)) * len(self.idf), n_ids)
+            ids.sort()
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            weight = np.diff(np.r_[first, len(ids)]) * self.idf[ids[first] % len(self.idf)]
+            norm = np.sqrt(np.bincount(ids[first] // len(self.idf), weight * weight, len(part)))
+            n_words = [len(ks) for ks in known]
+            held = [i for i, n in enumerate(n_words) if n]
+            starts = np.cumsum([0, *n_words])[held]
+            dots = np.add.reduceat(np.array([k[1] for k in flat]), starts, axis=0)
+            best = np.maximum.reduceat(dots, self.starts, axis=1) / np.maximum(norm[held], 1e-9)[:, None]
+            rows = np.zeros((len(part), len(LANGUAGES)))
+            rows[np.ix_(held, self.slots)] = best
+            fresh.update(zip(part, map(tuple, rows.tolist())))
+        if len(self.sentences) < MEMO_SENTENCES:
+            self.sentences.update(fresh)
+        return [x if x is not None else fresh[s] for s, x in zip(sentences, out)]
+
     def similarity(self, s: str) -> tuple[float, ...]:
-        """Cosine with the nearest centroid of each language, in the order of LANGUAGES."""
-        hit = self.sentences.get(s)
-        if hit is not None:
-            return hit
-        out = [0.0] * len(LANGUAGES)
-        known = [self.words.get(w) or self._word(w) for w in pieces(s)]
-        ids = np.concatenate([k[0] for k in known]) if known else ()
-        if len(ids):
-            v = np.bincount(ids, np.concatenate([k[1] for k in known]))
-            norm = math.sqrt(v @ v)
-            cos = np.maximum.reduceat(np.add.reduce([k[2] for k in known]), self.starts)
-            for slot, c in zip(self.slots, cos.tolist()):
-                out[slot] = c / norm
-        hit = tuple(out)
-        if len(self.sentences) < MEMO_WORDS and len(s) < 300:
-            self.sentences[s] = hit
-        return hit
+        return self.similarities([s])[0]
 
 
-def classified(text: str | None, model: Centroids, stated: str = "") -> list[tuple[str, float, int, str]]:
-    """(language or '', confidence, letters, text) of the item's sentences.
+def classified_all(texts: list[str | None], labels: list[str | None], model: Centroids) -> Iterator[list[tuple[str, float, int, str]]]:
+    """(language or '', confidence, letters, text) of the sentences of each item.
 
     A sentence near several languages takes the one the item holds most of
     otherwise, then the one its label states.
     """
-    if not text:
-        return []
-    text = mojibake.repair(text)[0]
-    rows, held = [], [0] * len(LANGUAGES)
-    for s in prose_sentences(text):
-        n = normalised(s)
-        if n:
-            sim, letters = model.similarity(n), len(n) - n.count(" ")
+    cut = []
+    for text in texts:
+        rows = [(s, normalised(s)) for s in prose_sentences(mojibake.repair(text)[0])] if text else []
+        cut.append([(s, n) for s, n in rows if n])
+    sims = iter(model.similarities([n for rows in cut for _, n in rows]))
+    for rows, label in zip(cut, labels):
+        scored, held = [], [0] * len(LANGUAGES)
+        for s, n in rows:
+            sim, letters = next(sims), len(n) - n.count(" ")
             second, first = sorted(sim)[-2:]
-            rows.append((s, letters, sim, first))
-            if first >= REJECT and first - second >= (NEAR if letters >= 40 else NEAR_SHORT):
+            gap = NEAR if letters >= 40 else NEAR_SHORT
+            scored.append((s, letters, sim, first, gap))
+            if first >= REJECT and first - second >= gap:
                 held[sim.index(first)] += letters
-    known = LANGUAGES.index(stated) if stated else -1
-    out = []
-    for s, letters, sim, first in rows:
-        if first < REJECT:
-            out.append(("", 0.0, letters, s))
-            continue
-        gap = NEAR if letters >= 40 else NEAR_SHORT
-        near = [j for j, x in enumerate(sim) if first - x < gap]
-        best = near[0] if len(near) == 1 else max(near, key=lambda j: (held[j], j == known, sim[j]))
-        rest = max(x for j, x in enumerate(sim) if j != best)
-        out.append((LANGUAGES[best], min(1.0, max(0.0, 0.5 + (sim[best] - rest) / (2 * sim[best]))), letters, s))
-    return out
+        stated = stated_language(label)
+        known = LANGUAGES.index(stated) if stated else -1
+        out = []
+        for s, letters, sim, first, gap in scored:
+            if first < REJECT:
+                out.append(("", 0.0, letters, s))
+                continue
+            near = [j for j, x in enumerate(sim) if first - x < gap]
+            best = near[0] if len(near) == 1 else max(near, key=lambda j: (held[j], j == known, sim[j]))
+            rest = max(x for j, x in enumerate(sim) if j != best)
+            out.append((LANGUAGES[best], min(1.0, max(0.0, 0.5 + (sim[best] - rest) / (2 * sim[best]))), letters, s))
+        yield out
 
 
-def segments(text: str | None, model: Centroids, stated: str = "") -> list[tuple[str, float, int, str]]:
-    """(language or '', confidence, letters, text) of the item's parts: neighbouring sentences of one language are joined."""
+def joined_segments(sentences: list[tuple[str, float, int, str]]) -> list[tuple[str, float, int, str]]:
+    """Neighbouring sentences of one language as one segment."""
     out = []
-    for lang, group in groupby(classified(text, model, stated), key=lambda x: x[0]):
+    for lang, group in groupby(sentences, key=lambda x: x[0]):
         group = list(group)
         n = sum(g[2] for g in group)
         out.append((lang, sum(g[1] * g[2] for g in group) / n, n, " ".join(g[3].strip() for g in group)))
     return out
 
 
+def segments(text: str | None, model: Centroids, label: str | None = None) -> list[tuple[str, float, int, str]]:
+    """(language or '', confidence, letters, text) of the parts of one item."""
+    return joined_segments(next(classified_all([text], [label], model)))
+
+
 def seed_model() -> Centroids:
     """Centroids of the seed sentences, with and without accents."""
     rows = [(k, normalised(s)) for k, v in _SEED.items() for s in prose_sentences(v) if s.strip()]
@@ -320,18 +345,22 @@ def fit(labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL, key: str = "doc_
     return Centroids.fit(rows)
 
 
+def _joined(items: DataFrame) -> DataFrame:
+    return items.select("src", "item_id", "label", F.array_join("texts", "\n\n").alias("text"))
+
+
 def item_segments(items: DataFrame, model: Centroids) -> DataFrame:
     """items(src, item_id, label, texts) -> one row per segment: (src, item_id, label, segment_no, lang, confidence, letters, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for src, i, label, texts in zip(pdf.src, pdf.item_id, pdf.label, pdf.texts):
-                text = "\n\n".join(t for t in texts if t) if texts is not None else ""
-                rows += [(src, i, label, n, *x) for n, x in enumerate(segments(text, model, stated_language(label)))]
+            found = classified_all(pdf.text.tolist(), pdf.label.tolist(), model)
+            for src, i, label, sentences in zip(pdf.src, pdf.item_id, pdf.label, found):
+                rows += [(src, i, label, n, *x) for n, x in enumerate(joined_segments(sentences))]
             yield pd.DataFrame(rows, columns=["src", "item_id", "label", "segment_no", "lang", "confidence", "letters", "text"])
 
-    return items.select("src", "item_id", "label", "texts").mapInPandas(
+    return _joined(items).mapInPandas(
         run, "src string, item_id long, label string, segment_no int, lang string, confidence double, letters int, text string"
     )
 
@@ -345,19 +374,20 @@ def held_languages(items: DataFrame, model: Centroids, min_letters: int = MIN_LE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for src, i, label, text in zip(*(c.to_pylist() for c in b.columns)):
+            srcs, ids, labels, texts = (c.to_pylist() for c in b.columns)
+            for src, i, label, sentences in zip(srcs, ids, labels, classified_all(texts, labels, model)):
                 n: dict[str, int] = defaultdict(int)
                 c: dict[str, float] = defaultdict(float)
-                for lang, conf, letters, _ in classified(text, model, stated_language(label)):
+                for lang, conf, letters, _ in sentences:
                     if lang:
                         n[lang] += letters
                         c[lang] += conf * letters
                 rows += [(src, i, label, k, n[k], c[k] / n[k]) for k in n if n[k] >= min_letters]
-            yield pa.RecordBatch.from_pylist([dict(zip(_HELD.names, r)) for r in rows], _HELD)
+            columns = list(zip(*rows)) or [()] * len(_HELD)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HELD)], schema=_HELD)
 
     # A character stands for two letters at most, even where a wrong decoding has to be undone.
-    joined = items.select("src", "item_id", "label", F.array_join("texts", "\n\n").alias("text")).where(F.length("text") * 2 >= min_letters)
-    return joined.mapInArrow(run, "src string, item_id long, label string, lang string, letters int, confidence double")
+    return _joined(items).where(F.length("text") * 2 >= min_letters).mapInArrow(run, "src string, item_id long, label string, lang string, letters int, confidence double")
 
 
 def unstated(held: DataFrame) -> DataFrame:
