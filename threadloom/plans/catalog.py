@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import cohort, detectors, drift, normalize, phrases, redaction, speech, stats
+from threadloom.operators import cohort, detectors, drift, evidence, normalize, phrases, redaction, speech, stats
 from threadloom.operators.ordered import canonical, ranked, running
 from threadloom.plans.oracle import SQL  # noqa: F401
 from threadloom.session import read_table
@@ -272,6 +272,53 @@ def batch_greedy(spark: SparkSession, d: str) -> DataFrame:
     return detectors.batches(detectors.window_chunks(detectors.blocker_windows(e), 20, 4), e, 3, 4000)
 
 
+@query
+def workaround_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    e = detectors.trajectory(_rows(spark, d))
+    return evidence.resolve(evidence.nearest_verdicts(e), e)
+
+
+@query
+def judge_coverage(spark: SparkSession, d: str) -> DataFrame:
+    c = speech.tone_candidates(_rows(spark, d))
+    return evidence.coverage(c, speech.keyword_tones(c), "rank")
+
+
+@query
+def evidence_preview(spark: SparkSession, d: str) -> DataFrame:
+    r = _rows(spark, d)
+    return evidence.preview(r, detectors.detect(r).where("kind = 'repetition'"))
+
+
+@query
+def evidence_texts(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", F.length(evidence.evidence_text(F.col("text"))).alias("n_chars"))
+
+
+@query
+def text_parts(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.text_parts(read_table(spark, d, "documents"), "doc_id", "text")
+
+
+@query
+def mask_names(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", evidence.mask_names(F.col("text")).alias("masked"))
+
+
+@query
+def number_formats(spark: SparkSession, d: str) -> DataFrame:
+    o = read_table(spark, d, "orders").select("o_orderkey", F.floor("o_totalprice").alias("n"))
+    return o.select("o_orderkey", evidence.compact_number(F.col("n")).alias("compact"), evidence.duration_text(F.col("n")).alias("duration"), evidence.ordinal_text(F.col("n")).alias("ordinal"))
+
+
+@query
+def public_report(spark: SparkSession, d: str) -> DataFrame:
+    """Model shares as they may be published: bounded, displayable ones, largest first."""
+    u = stats.usage_share(_rows(spark, d))
+    out = u.select(evidence.bounded_text(F.col("model"), 80).alias("model"), evidence.bounded_number(F.col("percent"), 100).alias("percent"))
+    return evidence.guard(out.where(evidence.displayable(F.col("percent"))), "model")
+
+
 # ---- phrases -----------------------------------------------------------------
 
 
@@ -290,6 +337,12 @@ def phrase_suppressed(spark: SparkSession, d: str) -> DataFrame:
     return phrases.suppressed(phrases.phrase_candidates(_rows(spark, d)))
 
 
+@query
+def phrase_card(spark: SparkSession, d: str) -> DataFrame:
+    """The favourite phrase: the best ranked candidate."""
+    return phrases.phrase_candidates(_rows(spark, d)).orderBy(F.desc("sessions"), F.desc("occurrences"), F.desc("n"), "phrase").limit(1)
+
+
 @query
 def phrase_variants(spark: SparkSession, d: str) -> DataFrame:
     return phrases.variants(_rows(spark, d)).select("variant_id", "occurrences", "sessions", "openings")

@@ -282,6 +282,19 @@ SQL: dict[str, str] = {
     "blocker_windows": _with(_EVENTS_CTE, _WINDOWS_CTE) + "select * from win",
     "window_chunks": _with(_EVENTS_CTE, _WINDOWS_CTE, _CHUNKS_CTE) + "select * from ch",
     "chunk_events": _with(_EVENTS_CTE, _WINDOWS_CTE, _CHUNKS_CTE) + "select ch.session_id, part_index, ordinal, kind from ch join ev on ev.session_id = ch.session_id and ordinal >= from_event and ordinal < to_event",
+    "workaround_verdicts": _with(_EVENTS_CTE, """wv as (
+      select *, last_value(case when kind <> 'tool_result' then ordinal end ignore nulls) over (partition by session_id order by ordinal rows between 16 preceding and 1 preceding) as original,
+        first_value(case when kind <> 'tool_result' then ordinal end ignore nulls) over (partition by session_id order by ordinal rows between 1 following and 14 following) as alternative from ev)""")
+    + "select w.session_id, w.ordinal as blocker, w.original, w.alternative, case when w.alternative - w.original <= 3 then 'confirmed' else 'borderline' end as standing, 'unclear' as disclosure, 'After ' || coalesce(w.summary, 'a restriction') || ', went from ' || coalesce(o.action, 'work') || ' to ' || coalesce(a.action, 'work') as summary "
+    "from wv w join ev o on o.session_id = w.session_id and o.ordinal = w.original join ev a on a.session_id = w.session_id and a.ordinal = w.alternative where w.kind = 'tool_result' and w.summary in ('error', 'permission denied')",
+    "judge_coverage": "select 0::bigint as missing, 0::bigint as unknown, 0::bigint as repeated",
+    "evidence_preview": _with(_MARK_CTE, f"""pt as (select session_id, i, type, text, {_PROMPT} as is_prompt, sum(case when {_PROMPT} then 1 else 0 end) over (partition by session_id order by i) as turn from r),
+      op as (select session_id, min(i) as opening_i, min_by(text, i) as t from pt where is_prompt group by session_id), oc as (select distinct session_id, i from found where kind = 'repetition' order by session_id, i limit 100),
+      ot as (select session_id, opening_i, trim(regexp_replace(t, '\\s+', ' ', 'g'), ' ') as t from op)""")
+    + f"select oc.session_id, oc.i, {_ellipsis('t', 110)} as opening, case when oc.i > opening_i then greatest(0, turn - 1 - is_prompt::int) else 0 end::bigint as turns_between from oc join pt using (session_id, i) left join ot using (session_id)",
+    "number_formats": "select o_orderkey, case when n >= 1000000000 then format('{:.1f}B', floor(n * 10 / 1e9 + 0.5) / 10) when n >= 1000000 then format('{:.1f}M', floor(n * 10 / 1e6 + 0.5) / 10) when n >= 1000 then format('{:.1f}K', floor(n * 10 / 1e3 + 0.5) / 10) else n::varchar end as compact, case when n < 60 then n || 'm' else (n // 60) || 'h ' || (n % 60) || 'm' end as duration, n || case when n % 100 between 11 and 13 then 'th' when n % 10 = 1 then 'st' when n % 10 = 2 then 'nd' when n % 10 = 3 then 'rd' else 'th' end as ordinal from (select o_orderkey, floor(o_totalprice)::bigint as n from orders)",
+    "public_report": _with(f"us as (select {_model_name('m')} as model, tokens, case when sum(tokens) over () > 0 then {_pct('tokens')} else 0 end as percent from (select coalesce(model, case when agent = 'codex' then 'Codex model' else 'Claude model' end) as m, sum({_TOK})::bigint as tokens from r where usage is not null group by m))") + "select left(model, 80) as model, case when percent between 0 and 100 then percent else 0 end as percent from us where round(percent, 1) > 0",
+    "phrase_card": _with(_PHRASE_CTE) + "select * from phr order by sessions desc, occurrences desc, n desc, phrase limit 1",
     "ngram_miner": _with(_NGRAM_CTE) + f"select phrase, n, count(*) as occurrences, count(distinct session_id) as sessions, round(count(distinct session_id) / (select count(distinct session_id) from r where {_MODEL_WRITTEN}), 6) as session_rate from grams group by phrase, n having count(distinct session_id) >= 3 order by occurrences desc, sessions desc, n desc, phrase limit 50",
     "phrase_candidates": _with(_PHRASE_CTE) + "select * from phr",
     "phrase_variants": _with(_VARIANT_CTE) + "select variant_id, occurrences, sessions, openings from v",
