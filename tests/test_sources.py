@@ -94,7 +94,8 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_lines_of_a_stream(spark, tmp_path):
-    (tmp_path / "x.jsonl").write_text('{"a":1}\n{"a":2}\n')
-    s = streams.line_stream(spark, str(tmp_path)).select(F.get_json_object("raw", "$.a").alias("a"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.jsonl").write_text('{"a":1}\n{"a":2}\n')
+    s = streams.line_stream(spark, f"{tmp_path}/in").select(F.get_json_object("raw", "$.a").alias("a"))
     streams.run_available(s, f"{tmp_path}/o", f"{tmp_path}/c")
     assert spark.read.parquet(f"{tmp_path}/o").count() == 2

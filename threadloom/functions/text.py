@@ -123,7 +123,8 @@ def model_name(c: Column) -> Column:
     claude, gpt = r"(?i)^claude-([a-z]+)-(\d+)-(\d+)$", r"(?i)^gpt-(\d+)[.-](\d+)(?:-([a-z]+))?$"
     tail = F.regexp_extract(raw, gpt, 3)
     return (
-        F.when(raw == "<synthetic>", "Synthetic model")
+        F.when(c.isNull(), "Unknown model")
+        .when(raw == "<synthetic>", "Synthetic model")
         .when(raw.rlike(claude), F.concat(F.lit("Claude "), F.initcap(F.regexp_extract(raw, claude, 1)), F.lit(" "), F.regexp_extract(raw, claude, 2), F.lit("."), F.regexp_extract(raw, claude, 3)))
         .when(raw.rlike(gpt), F.concat(F.lit("GPT-"), F.regexp_extract(raw, gpt, 1), F.lit("."), F.regexp_extract(raw, gpt, 2), F.when(tail != "", F.concat(F.lit(" "), F.initcap(tail))).otherwise("")))
         .otherwise(F.initcap(F.regexp_replace(raw, "-", " ")))
@@ -190,7 +191,7 @@ def repaired_json(c: Column) -> Column:
     """A JSON object in a reply: as it is, out of a fence, or between the outermost braces; null if none parses."""
     fenced = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    return F.coalesce(*(F.when(F.try_parse_json(x).isNotNull() & x.rlike(r"^\s*\{"), F.trim(x)) for x in (c, fenced, braces)))
+    return F.coalesce(*(F.when(F.try_parse_json(x).isNotNull() & x.rlike(r"^\s*\{"), trimmed(x)) for x in (c, fenced, braces)))
 
 
 def token_distance(a: Column, b: Column, most: Column) -> Column:
