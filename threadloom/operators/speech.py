@@ -11,28 +11,36 @@ from threadloom.operators.ordered import running
 from threadloom.operators.stats import PROMPT, session_tokens, turns
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _first_best(names: list[str], scores: Column) -> Column:
+    """The first of the names with the best score."""
+    return F.element_at(F.array(*(F.lit(n) for n in names)), F.array_position(scores, F.array_max(scores)).cast("int"))
+
+
 def chunk_language(c: Column) -> Column:
     """Language of a sentence: a script with at least 2 letters and 15 % of them, else the lexicon with most words (2 at least), else English; null without letters."""
     letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    counts = [(name, F.regexp_count(c, F.lit(f"[{java}]"))) for name, java, _ in P.SCRIPTS]
-    best = F.greatest(*(n for _, n in counts))
-    script = F.lit(None).cast("string")
-    for name, n in reversed(counts):
-        script = F.when(n == best, name).otherwise(script)
+    counts = F.array(*(F.regexp_count(c, F.lit(f"[{java}]")) for _, java, _ in P.SCRIPTS))
+    script = F.when(c.rlike(r"[^\x00-\x7f]"), _let(counts, lambda n: F.when((F.array_max(n) >= 2) & (F.array_max(n) * 100 >= letters * 15), _first_best([k for k, _, _ in P.SCRIPTS], n))))
     words = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{IsLatin}]+"), F.lit(0)))
-    scores = [(k, F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in v.split()))))) for k, v in P.LEXICONS.items()]
-    top = F.greatest(*(s for _, s in scores))
-    lexicon = F.lit("English")
-    for k, s in reversed(scores):
-        lexicon = F.when((s == top) & (top >= 2), k).otherwise(lexicon)
-    return F.when((best >= 2) & (best * 100 >= letters * 15), script).when(F.size(words) > 0, lexicon)
+
+    def lexicon(w: Column) -> Column:
+        scores = F.array(*(F.size(F.array_intersect(w, F.array(*(F.lit(x) for x in v.split())))) for v in P.LEXICONS.values()))
+        return F.when(F.size(w) > 0, _let(scores, lambda n: F.when(F.array_max(n) >= 2, _first_best(list(P.LEXICONS), n)).otherwise("English")))
+
+    return F.coalesce(script, _let(words, lexicon))
 
 
 def language_share(rows: DataFrame, where: str = "type in ('user', 'assistant')") -> DataFrame:
     """Words by language over the sentences with two words or more, and their share."""
     s = rows.where(where).select(F.explode(T.sentences(T.analysis_prose(F.col("text")))).alias("s"))
-    s = s.select(T.word_count(F.col("s")).alias("words"), chunk_language(F.col("s")).alias("language")).where("words >= 2 and language is not null")
-    n = s.groupBy("language").agg(F.sum("words").alias("words"))
+    s = s.select(T.word_count(F.col("s")).alias("words"), chunk_language(F.col("s")).alias("language")).where("words >= 2")
+    # Unknown languages go after the aggregation, else the filter would classify every sentence a second time.
+    n = s.groupBy("language").agg(F.sum("words").alias("words"), F.count("language").alias("known")).where("known > 0").drop("known")
     return n.withColumn("percent", F.floor(F.col("words") * 1000 / F.sum("words").over(Window.partitionBy()) + 0.5) / 10)
 
 
