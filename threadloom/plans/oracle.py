@@ -234,7 +234,26 @@ vt as (select session_id, sentence_no, list_transform(regexp_extract_all(lower(t
 v as (select tokens, left(sha256(array_to_string(tokens, ' ')), 16) as variant_id, count(*) as occurrences, count(distinct session_id) as sessions, count(*) filter (sentence_no = 0) as openings from vt where len(tokens) between 3 and 30 group by tokens)"""
 
 
+def _anomaly() -> str:
+    names = [k for k, _, _ in P.SCRIPTS]
+    count = {k: f"len(regexp_extract_all(p, '[{re2}]'))" for k, _, re2 in P.SCRIPTS} | {"Latin": "len(regexp_extract_all(p, '\\p{Latin}'))"}
+    all_names = [*names, "Latin"]
+    most = "greatest(" + ", ".join(f"s_{k}" for k in all_names) + ")"
+    return _with(
+        f"ap as (select session_id, type, {_PROMPT} as is_prompt, sum(case when {_PROMPT} then 1 else 0 end) over (partition by session_id order by i) as turn, {_analysis_prose('text')} as p from r)",
+        "pt as (select session_id, turn, " + ", ".join(f"sum(case when type = 'assistant' then {c} else 0 end) as a_{k}" for k, c in count.items()) + ", "
+        + ", ".join(f"sum(case when is_prompt then {count[k]} else 0 end) as u_{k}" for k in names) + " from ap group by all)",
+        "sm as (select session_id, " + ", ".join(f"sum(a_{k}) as s_{k}" for k in all_names) + " from pt group by session_id)",
+        "dm as (select session_id, case " + " ".join(f"when s_{k} = {most} then {_s(k)}" for k in all_names) + " end as dominant from sm)",
+        "an as (" + " union all ".join(f"select session_id, {_s(k)} as language, a_{k} as words, u_{k} as asked, a_Japanese as kana from pt" for k in names) + ")",
+    ) + (
+        "select language, sum(words)::bigint as words, count(*) as occurrences from an join dm using (session_id) "
+        "where words >= 2 and asked = 0 and language <> dominant and not (language = 'Chinese' and kana > 0) group by language"
+    )
+
+
 SQL: dict[str, str] = {
+    "language_anomaly": _anomaly(),
     "turn_stats": _with(_WORDS_CTE) + "select * from turn_stats",
     "report_totals": _with(_TOTALS_CTE) + "select * from totals",
     "word_averages": _with(_WORDS_CTE, _AVG_CTE) + "select * from word_averages",
