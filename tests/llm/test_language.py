@@ -50,6 +50,16 @@ def test_mixed_code_and_garbled(model):
         assert not [x for x in L.segments(t, model) if x[2] >= 20]
 
 
+def test_quotes_and_headings_are_prose_and_prompts_are_not(model):
+    for mark in ("> ", "# ", "  > "):
+        for lang in ("fr", "pt", "ja"):
+            assert [x[0] for x in L.segments(f"{HELD_OUT['en']}\n{mark}{HELD_OUT[lang]}", model)] == ["en", lang]
+    commands = ["> npm run build", "# apt-get install -y libpq-dev", "> vitest", "> app@1.2.0 test", "# cd /srv/app", "> python -m pytest tests", "> git push origin main", "> const a = b(1);", "$ make all"]
+    assert not list(L.prose_sentences("\n".join(commands)))
+    prose = ["> find out why the index is stale", "# make it work", "> git is broken since yesterday", "> find the bug in that index.ts file"]
+    assert [s.split()[0] for s in L.prose_sentences("\n".join(prose))] == ["find", "make", "git", "find"]
+
+
 def test_batches_agree_with_single_items(model):
     texts = [*HELD_OUT.values(), None, "", "ok"] * 80
     one = [L.joined_segments(next(L.classified_all([t], ["en"], model))) for t in texts]

@@ -82,7 +82,16 @@ _SEED = {
 _FENCE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _CODE_LINE = re.compile(
     r"^\s*(?:(?:import|from|const|let|var|def|class|return|function|export|package|using|#include|SELECT|INSERT|UPDATE|DELETE|CREATE|if|for|while|elif|else|try|except|catch)\b.*[{}();=*].*"
-    r"|at \S+ \(.*\)|at \S+:\d+.*|\w+ = .*|\d\d:\d\d:\d\d\b.*|sha [0-9a-f]{6,}.*|[0-9a-f]{7,} .*|File \".*|Traceback .*|Caused by.*|(?:WARN|INFO|ERROR|DEBUG|FATAL)\b.*|[{\[].*[}\]],?|<[^>]+>.*</[^>]+>|[$>#] \w+.*|API Error: \d+|\w+=\S+( \w+=\S+)*)\s*$"
+    r"|at \S+ \(.*\)|at \S+:\d+.*|\w+ = .*|\d\d:\d\d:\d\d\b.*|sha [0-9a-f]{6,}.*|[0-9a-f]{7,} .*|File \".*|Traceback .*|Caused by.*|(?:WARN|INFO|ERROR|DEBUG|FATAL)\b.*|[{\[].*[}\]],?|<[^>]+>.*</[^>]+>|\$ \w+.*|API Error: \d+|\w+=\S+( \w+=\S+)*)\s*$"
+)
+#: One mark of a quote or heading, which may also be a prompt; a command behind it, without a run of four plain words.
+_QUOTED = re.compile(r"\s*[>#] (?=\w)")
+_COMMAND = re.compile(
+    r"(?!.*(?: [A-Za-z]+){4})(?!.*[a-z]{2}[.!?]$)(?:sudo )?(?:\S+@\d[\w.-]* \w+"
+    r"|(?:git (?:add|branch|checkout|clone|commit|diff|fetch|log|merge|pull|push|rebase|reset|stash|status|switch|tag)|(?:npm|pnpm|yarn|bun) (?:ci|exec|i|install|publish|run|start|test)"
+    r"|(?:apt|apt-get|brew|pip3?) (?:install|remove|update|upgrade)|(?:docker|kubectl) (?:apply|build|compose|describe|exec|get|images|logs|ps|pull|push|run)|(?:cargo|go) (?:build|check|fmt|get|install|mod|run|test|vet))(?: .*)?"
+    r"|(?!.*(?: [A-Za-z]+){3})(?:awk|bash|cat|cd|chmod|chown|cp|curl|diff|echo|export|find|grep|head|ls|make|mkdir|mv|node|npx|psql|pytest|python3?|rm|rsync|sed|sh|ssh|tail|tar|touch|uv|vitest|wget)(?: .*)?(?: -\S+| \S*[/.=*$|]\w\S*)(?: .*)?"
+    r"|(?:cd|ls|pytest|vitest|make)(?: \w+)?)\s*$"
 )
 _MARK = re.compile(r"^\s*(?:#{1,6}\s+|[-*+>]\s+|\d+[.)]\s+)+")
 _MARKUP = re.compile(r"`[^`]*`|https?://\S+|<\|?[\w/|]+\|?>|[\w.+-]+@[\w.-]+|[\w.+-]+ ?[\[(]at[\])] ?[\w.\[\]()-]+|[\w+-]+(?: dot [\w+-]+)* at [\w-]+(?: dot [\w-]+)+")
@@ -107,18 +116,26 @@ def stated_language(label: str | None) -> str:
     return STATED.get(word, "")
 
 
+def _is_code(line: str) -> bool:
+    """Whether a line is code; a quote or heading only if what stands behind its mark is code or a command."""
+    if _CODE_LINE.match(line):
+        return True
+    mark = _QUOTED.match(line)
+    return bool(mark) and bool(_COMMAND.match(line[mark.end() :]) or _CODE_LINE.match(line[mark.end() :]))
+
+
 def prose_sentences(text: str) -> Iterator[str]:
     """The sentences of a text without code, traces, paths and identifiers; parts in another script stand by themselves."""
     if "```" in text or "~~~" in text:
         text = _FENCE.sub("\n", text)
     for line in text.splitlines():
-        if not line or _CODE_LINE.match(line):
+        if not line or _is_code(line):
             continue
         if line[0] in _MARKS:
             line = _MARK.sub("", line)
         parts = _SENTENCE.split(line)
         for s in parts:
-            if not s or len(parts) > 1 and _CODE_LINE.match(s):
+            if not s or len(parts) > 1 and _is_code(s):
                 continue
             if _MARKED.search(s):
                 s = _MARKUP.sub(" ", s)
