@@ -100,3 +100,13 @@ def test_empty_records(make_records):
 def test_percentiles_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 9.0), (4, None)], "k int, v double")
     assert {r.k: r.percentile for r in cohort.percentile_ranks(df, "k", "v").collect()} == {1: 67, 2: 67, 3: 100, 4: None}
+
+
+def test_donation_preview_holds_every_session(make_records):
+    said = "my password: hunter2horse and a.b@c.org"
+    rows = canonical(make_records([*(record(k, session=f"s{k}", text=said if k == 0 else f"hello {k}") for k in range(300)), record(999, session="empty", text="")]))
+    got = {r.session_id: r for r in cohort.donation_preview(rows).collect()}
+    assert len(got) == 301 and got["s299"].text == "hello 299"
+    assert got["s0"].text == got["s0"].session_summary == "my [REDACTED CREDENTIAL] and [REDACTED EMAIL]"
+    assert (got["empty"].text, got["empty"].session_summary) == (None, "Session transcript")
+    assert {(r.kind, r.value, r.n) for r in cohort.donation_inventory(rows).collect()} == {("credential", "password: hunter2horse", 1), ("redacted-email", "a.b@c.org", 1)}

@@ -87,13 +87,31 @@ def valid_aggregate() -> Column:
     return ok & (F.col("favorite_phrase").isNull() | F.length("favorite_phrase").between(1, 120))
 
 
-def donation_preview(rows: DataFrame, most_sessions: int = 250, summary: int = 110) -> DataFrame:
-    """Messages to donate, redacted by pattern: (session_id, i, role, text, session_summary)."""
-    from threadloom.operators.redaction import redact_patterns
-
-    m = rows.where("type in ('user', 'assistant') and not is_meta and text <> ''").select("session_id", "i", "type", "text", "ts")
-    starts = m.groupBy("session_id").agg(F.min("ts").alias("started_at"), F.min_by("text", F.struct((F.col("type") != "user").cast("int").alias("later"), "i")).alias("first_text"))
-    chosen = starts.orderBy(F.col("started_at").desc_nulls_last(), "session_id").limit(most_sessions).select(
-        "session_id", T.ellipsis(T.one_space(redact_patterns(F.col("first_text"))), summary).alias("session_summary")
-    )
-    return m.join(chosen, "session_id").select("session_id", "i", F.col("type").alias("role"), redact_patterns(F.col("text")).alias("text"), "session_summary")
+_DONATED = "type in ('user', 'assistant') and not is_meta and text <> ''"
+
+
+def _donated(rows: DataFrame) -> DataFrame:
+    return rows.where(_DONATED).select("session_id", "i", F.col("type").alias("role"), "text")
+
+
+def donation_preview(rows: DataFrame, summary: int = 110) -> DataFrame:
+    """Messages to donate of every session, redacted by the full rules but the heuristic ones: (session_id, i, role, text, session_summary).
+
+    A session without messages is one row without i, role and text.
+    """
+    from threadloom.operators.redaction import redact_rows
+
+    order = F.when(F.expr(_DONATED), F.struct((F.col("type") != "user").cast("int").alias("later"), "i"))
+    first = rows.groupBy("session_id").agg(F.min_by("text", order).alias("first_text"))
+    told = T.ellipsis(T.one_space(F.when(F.col("first_text") != "", F.col("first_text")).otherwise("Session transcript")), summary)
+    sessions = redact_rows(first, "session_id", "first_text", heuristic=False).select("session_id", told.alias("session_summary"))
+    redacted = redact_rows(_donated(rows), ["session_id", "i", "role"], "text", heuristic=False).drop("detections")
+    return sessions.join(redacted, "session_id", "left").select("session_id", "i", "role", "text", "session_summary")
+
+
+def donation_inventory(rows: DataFrame) -> DataFrame:
+    """What the preview's redaction found, over all sessions."""
+    from threadloom.operators.redaction import inventory, redact_rows
+
+    keys = ["session_id", "i"]
+    return inventory(redact_rows(_donated(rows), keys, "text", heuristic=False), keys)

@@ -388,6 +388,11 @@ def donation_preview(spark: SparkSession, d: str) -> DataFrame:
     return cohort.donation_preview(_rows(spark, d))
 
 
+@query
+def donation_inventory(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.donation_inventory(_rows(spark, d))
+
+
 # ---- cohort and charts -------------------------------------------------------
 
 
