@@ -110,3 +110,12 @@ def test_donation_preview_holds_every_session(make_records):
     assert got["s0"].text == got["s0"].session_summary == "my [REDACTED CREDENTIAL] and [REDACTED EMAIL]"
     assert (got["empty"].text, got["empty"].session_summary) == (None, "Session transcript")
     assert {(r.kind, r.value, r.n) for r in cohort.donation_inventory(rows).collect()} == {("credential", "password: hunter2horse", 1), ("redacted-email", "a.b@c.org", 1)}
+
+
+def test_evidence_text_uses_all_redaction_rules(spark):
+    from threadloom.operators.evidence import evidence_text
+
+    text = "```\n" + "x" * 600 + "\n``` password: hunter2horse, key " + "Ab1" * 14 + " to a.b@c.org"
+    assert one(spark, text, evidence_text) == "[CODE OMITTED] [REDACTED CREDENTIAL], key [REDACTED HIGH-ENTROPY STRING] to [REDACTED EMAIL]"
+    assert one(spark, "my api-abcdefghijklmnop", evidence_text) == "my [REDACTED SECRET]"
+    assert one(spark, None, evidence_text) is None
