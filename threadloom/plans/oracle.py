@@ -252,7 +252,28 @@ def _anomaly() -> str:
     )
 
 
+#: Problem 1 by its definition: schemas per file, differences of neighbours, pairs of equal parent, types and record types.
+_SCHEMAS_CTE = r"""ok as (select file_id, raw::json as j, coalesce(json_extract_string(raw::json, '$.type'), 'null') as rec from raw_lines where coalesce(json_valid(raw), false) and json_type(raw) = 'OBJECT'),
+tree as (
+  select file_id, rec, substr(t.fullkey, 3) as p,
+    case t.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end as kind
+  from ok, json_tree(ok.j) t where t.parent is not null and t.type <> 'NULL' and not contains(t.fullkey, '[')
+),
+sch as (select file_id, p, regexp_replace(p, '[.]?[^.]*$', '') as up, list_sort(list(distinct kind)) as kinds, list_sort(list(distinct rec)) as recs from tree group by file_id, p),
+link as (select file_id, lag(file_id) over (partition by feed_id order by started_at nulls first, file_id) as prev from raw_files where file_id in (select file_id from ok)),
+o as (select link.file_id, p, up, kinds, recs from sch join link on sch.file_id = link.prev), n as (select link.file_id, p, up, kinds, recs from sch join link using (file_id) where prev is not null),
+dif as (
+  select coalesce(o.file_id, n.file_id) as file_id, coalesce(o.p, n.p) as p, coalesce(o.up, n.up) as up, coalesce(o.kinds, n.kinds) as kinds, coalesce(o.recs, n.recs) as recs,
+    case when n.p is null then 'removed' when o.p is null then 'added' else 'retyped' end as change
+  from o full join n on o.file_id = n.file_id and o.p = n.p where n.p is null or o.p is null or o.kinds <> n.kinds
+),
+top as (select * from dif d where not exists (select 1 from dif a where a.file_id = d.file_id and starts_with(d.p, a.p || '.') and a.change in (d.change, 'retyped'))),
+ren as (select r.file_id, r.p as old_path, a.p as new_path from top r join top a on r.file_id = a.file_id and r.change = 'removed' and a.change = 'added' and r.up = a.up and r.kinds = a.kinds and r.recs = a.recs)"""
+
 SQL: dict[str, str] = {
+    "p1_found": "with " + _SCHEMAS_CTE + """ select file_id, 'renamed' as change, old_path, new_path from ren
+      union all select file_id, change, case when change = 'added' then '' else p end, case when change = 'removed' then '' else p end from top
+      where not exists (select 1 from ren where ren.file_id = top.file_id and (change = 'removed' and p = old_path or change = 'added' and p = new_path))""",
     "language_anomaly": _anomaly(),
     "turn_stats": _with(_WORDS_CTE) + "select * from turn_stats",
     "report_totals": _with(_TOTALS_CTE) + "select * from totals",
