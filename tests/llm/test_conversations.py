@@ -56,11 +56,11 @@ def walk(sessions, records):
     return out
 
 
-def test_tables_match_for_any_chunk(spark, data):
+def test_tables_match_for_any_cells(spark, data):
     sessions, records = read_table(spark, data, "sessions"), read_table(spark, data, "records")
     want = walk([r.session_id for r in sessions.collect()], records.collect())
-    for chunk in (2, 5, 4096):
-        assert {tuple(r) for r in conversations.faults(sessions, records, chunk).collect()} == want
+    for cells in (1, 7, None):
+        assert {tuple(r) for r in conversations.faults(sessions, records, cells).collect()} == want
 
 
 def test_dirty_rows(spark, make_records):
@@ -72,7 +72,7 @@ def test_dirty_rows(spark, make_records):
         record(9, "s5", index=0, text="q"), record(10, "s5", index=1, type="assistant", blocks=[block("tool_use", id="t"), block(text="a")]), record(11, "s5", index=2, meta=True, blocks=[block("tool_result", tool_use_id="t")]),
         record(12, "s6", index=0, type="assistant", blocks=[block("tool_result", tool_use_id="zz")], role=" "),
     ]
-    df = make_records(rows).withColumnRenamed("cwd", "chunk")  # an extra column with a name used inside
+    df = make_records(rows).withColumnRenamed("cwd", "cell")  # an extra column with a name used inside
     sessions = spark.createDataFrame([(f"s{k}",) for k in range(1, 8)] + [(None,), ("s7",)], "session_id string")
     got = {tuple(r) for r in conversations.faults(sessions, df).collect()}
     assert got == {("s1", "unanswered"), ("s2", "headless"), ("s2", "broken"), ("s3", "empty"), ("s4", "empty"), ("s6", "empty"), ("s6", "broken"), ("s7", "empty")}
@@ -84,3 +84,33 @@ def test_empty_tables(spark, make_records):
     none = spark.createDataFrame([], "session_id string")
     assert conversations.faults(none, make_records([])).count() == 0
     assert conversations.faults(spark.createDataFrame([("a",)], "session_id string"), make_records([])).collect()[0].fault == "empty"
+
+
+def _said(spark, make_records, rows, **kw):
+    sessions = spark.createDataFrame([("s1",)], "session_id string")
+    got = conversations.conversations(sessions, make_records(rows), drop_faulty=False, **kw).orderBy("message_no").collect()
+    return [(r.speaker, r.text, r.n_versions) for r in got]
+
+
+def test_log_is_folded_by_version(spark, make_records):
+    """Retries, edits and deletes; split messages; whatever the order of arrival."""
+    as_op = lambda r, op: (*r[:13], op, *r[14:])
+    rows = [
+        record(7, uuid="q", index=6, text="retry, ignored"), record(1, uuid="q", index=0, text="ask"), record(2, uuid="a", index=1, type="assistant", text="first answer"),
+        as_op(record(9, uuid="a", index=8, type="assistant", text="last answer"), "edit"), as_op(record(8, uuid="a", index=7, type="assistant", text="middle"), "edit"),
+        record(3, uuid="gone", index=2, text="delete me"), as_op(record(10, uuid="gone", index=9), "delete"), as_op(record(11, uuid="never", index=10), "delete"),
+        record(4, uuid="m1", index=3, type="assistant", message_id="m", text="part one"), record(5, uuid="m2", index=4, type="assistant", message_id="m", text="part two"), record(6, uuid="m2", index=5, type="assistant", message_id="m", text="again"),
+    ]
+    want = [("user", "ask", 2), ("assistant", "last answer", 3), ("assistant", "part one\npart two", 3)]
+    assert _said(spark, make_records, rows) == want and _said(spark, make_records, rows[::-1], cells=5) == want
+
+
+def test_session_without_record_index_falls_into_many_cells(spark, make_records):
+    n = 4000
+    df = spark.range(n).selectExpr("id as rec_id").join(make_records([record(0, index=None)]).drop("rec_id", "uuid", "ts"), how="cross").selectExpr(
+        "*", "concat('u', rec_id) as uuid", "timestamp_micros(rec_id) as ts").select(*make_records([]).columns)
+    folded = conversations.fold(spark.createDataFrame([("s1",)], "session_id string"), df, cells=8)
+    sizes = [r["count"] for r in folded.groupBy("session_id", "cell").count().collect()]
+    assert sum(sizes) == n and len(sizes) == 8 and max(sizes) < n / 4
+    order = [r.rec_id for r in folded.orderBy("cell", "pos", "sub", "rec_id").select("rec_id").collect()]
+    assert order == list(range(n))

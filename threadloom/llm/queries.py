@@ -90,8 +90,52 @@ QUERIES: dict[str, Query] = {
     f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_conversations, p4_found, p4_terms, p5_found, p5_redacted, p6_ids, p6_offsets, p6_roundtrip, p7_packing, p7_fill, p8_found, p8_restored)
 }
 
+#: Problem 3 by its definition: rows in order, of one uuid the first, then the faults.
+_CONVERSATIONS = r"""
+wanted as (select distinct lower(regexp_replace(session_id, '^\s+|\s+$', '', 'g')) as sid from sessions where session_id is not null),
+ev as (
+  select lower(regexp_replace(session_id, '^\s+|\s+$', '', 'g')) as sid, rec_id, coalesce(uuid, 'row ' || rec_id) as uuid, record_index as ix, ts, message.content as blocks, message.id as message_id,
+    case when rec_type = 'user' then 'prompt' when rec_type = 'assistant' then 'reply' end as who,
+    coalesce(is_meta, false) or coalesce(is_api_error, false) as hidden,
+    coalesce(len(list_filter(message.content, lambda b: b.type = 'text' and regexp_matches(b.text, '[^\s\x0b\x{85}\p{Z}]'))) > 0, false) as has_text,
+    rec_type in ('user', 'assistant') and not coalesce(regexp_matches(message.role, '[^\s\x0b\x{85}\p{Z}]'), false) as no_role
+  from records where session_id is not null
+),
+fc as (select sid, uuid, min(ix) as ix, arg_min_null(ts, ix) as ts from ev where ix is not null group by sid, uuid),
+stands as (
+  select *, ix as pos, -1 as sub from ev where ix is not null
+  union all select *, coalesce((select max(fc.ix) from fc where fc.sid = ev.sid and fc.ts <= ev.ts), -1), coalesce(epoch_us(ts), 0) from ev where ix is null
+),
+msg as (
+  select *, count(*) over (partition by sid, uuid) as n_versions from stands where sid in (select sid from wanted)
+  qualify row_number() over (partition by sid, uuid order by pos, sub, rec_id) = 1
+),
+said as (select *, lead(who) over (partition by sid order by pos, sub, rec_id) as after, row_number() over (partition by sid order by pos, sub, rec_id) as n from msg where who is not null and not hidden and has_text),
+tool as (select sid, pos, sub, rec_id, k, b from (select sid, pos, sub, rec_id, unnest(blocks) as b, generate_subscripts(blocks, 1) as k from msg)),
+used as (select sid, b.id as ref, min((pos, sub, rec_id, k)) as at from tool where b.type = 'tool_use' and b.id is not null group by all),
+got as (select sid, b.tool_use_id as ref, min((pos, sub, rec_id, k)) as at from tool where b.type = 'tool_result' and b.tool_use_id is not null group by all),
+fault as (
+  select sid as session_id, 'empty' as fault from wanted where sid not in (select sid from said)
+  union all select sid, 'headless' from said where n = 1 and who = 'reply'
+  union all select distinct sid, 'unanswered' from said where who = 'prompt' and coalesce(after, 'prompt') = 'prompt'
+  union all select distinct sid, 'broken' from (select sid from msg where no_role union all select got.sid from got left join used using (sid, ref) where used.at is null or used.at > got.at)
+)"""
+
 #: Only what plain SQL can say; the other problems have brute-force tests.
 SQL: dict[str, str] = {
+    "p3_found": "with " + _CONVERSATIONS + " select * from fault",
+    "p3_conversations": "with " + _CONVERSATIONS + r""",
+good as (
+  select *, array_to_string(list_transform(list_filter(blocks, lambda b: b.type = 'text' and b.text is not null), lambda b: b.text), chr(10)) as text,
+    coalesce(case when who = 'reply' then message_id end, uuid) as key from said where sid not in (select session_id from fault)
+),
+turns as (
+  select sid, who, min((pos, sub, rec_id)) as spot, arg_min(uuid, (pos, sub, rec_id)) as uuid, arg_min_null(ts, (pos, sub, rec_id)) as ts, sum(n_versions)::bigint as n_versions,
+    string_agg(text, chr(10) order by pos, sub, rec_id) as text from good group by sid, key, who
+)
+select sid as session_id, sum(case when who = 'prompt' then 1 else 0 end) over w as turn_no, row_number() over w as message_no, case when who = 'prompt' then 'user' else 'assistant' end as speaker, uuid, ts, n_versions, text
+from turns window w as (partition by sid order by spot rows unbounded preceding)
+""",
     "p4_found": r"""
 with first as (
   select message.content as blocks, row_number() over (partition by coalesce(uuid, 'row ' || rec_id) order by rec_id) as n from records
