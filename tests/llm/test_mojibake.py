@@ -5,6 +5,8 @@ from threadloom.llm import mojibake
 CLEAN = [
     "Don’t refactor the upload yet — the owner is “still” deciding… ok", "Für morgen müssten wir noch den Knopf für Rückmeldungen prüfen", "La función de búsqueda quedó vacía y nadie se dio cuenta",
     "Il faut réécrire le formulaire de défaut, déjà prêt à côté", "Não é preciso mudar a migração de revisão, então vou ver", "Сначала нужно проверить историю ошибок, а потом изменить кнопку",
+    "Κανείς δεν ήξερε γιατί άργησε το τρένο, οπότε γυρίσαμε σπίτι με τα πόδια.", "איש לא ידע מדוע הרכבת איחרה, ולכן חזרנו הביתה ברגל.", "لم يعرف أحد لماذا تأخر القطار، فعدنا إلى البيت سيرا على الأقدام.",
+    "ไม่มีใครรู้ว่าทำไมรถไฟถึงมาสาย เราจึงเดินกลับบ้าน", "기차가 왜 늦었는지 아무도 몰랐기 때문에 우리는 걸어서 집에 돌아왔습니다.", "किसी को नहीं पता था कि ट्रेन देर से क्यों आई।", "Ніхто не знав, чому потяг запізнився, тому ми пішли додому пішки.",
     "これから設定の報告書を公開して、結果をお見せします。", "请先发布语言流程，然后再修改发布表格，最后告诉我结果。",
 ]
 DECOYS = [
@@ -29,6 +31,24 @@ def test_utf8_read_wrongly_comes_back(text, wrong):
     assert garbled and back == f"Plain line.\n{text}\nAnother plain line."
 
 
+@pytest.mark.parametrize("text", CLEAN)
+@pytest.mark.parametrize("rounds", [3, 5])
+def test_many_rounds_come_back(text, rounds):
+    bad = text
+    for _ in range(rounds):
+        bad = bad.encode().decode("latin-1")
+    assert mojibake.repair(bad) == (text, True)
+
+
+def test_the_caller_may_bound_the_search():
+    bad = CLEAN[1].encode().decode("latin-1").encode().decode("latin-1").encode().decode("latin-1")
+    assert mojibake.search(bad, max_expanded=1)[0] != CLEAN[1] and mojibake.search(bad)[0] == CLEAN[1]
+
+
+def test_lost_characters_in_other_codes():
+    assert mojibake.repair("the ï¿½ fix")[1] and mojibake.repair("the пїЅ fix")[1]
+
+
 @pytest.mark.parametrize("code, wrong", [("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "latin-1")])
 def test_cyrillic_codes(code, wrong):
     text = CLEAN[5]

@@ -53,6 +53,19 @@ def test_packing_fills_and_splits_only_large_items(spark):
     assert report["b"].n_containers >= report["b"].volume_bound
 
 
+def test_merging_tree_is_whole(spark):
+    rnd = random.Random(9)
+    items = [(k, rnd.randint(60, 130)) for k in range(4000)] + [(10_000, 100_003)]
+    sizes = spark.createDataFrame(items, "doc_id long, n_tokens long")
+    kinds = spark.createDataFrame([("a", 200)], "container_kind string, capacity_tokens long")
+    packed = packing.pack(sizes, kinds, open_windows=8, per_partition=100, fan_in=4)
+    bad = packing.invariants(packed, sizes, kinds).first()
+    assert tuple(bad)[1:] == (0, 0, 0, 0)
+    broken = packing.invariants(packed.where("doc_id <> 7").withColumn("n_tokens", packed.n_tokens + 150), sizes, kinds).first()
+    assert broken.overfull > 0 and broken.misplaced > 0 and broken.missing == 1
+    assert packing.fill_report(packed).first().fill > 0.9
+
+
 def test_packing_nothing(spark):
     sizes = spark.createDataFrame([], "doc_id long, n_tokens long")
     kinds = spark.createDataFrame([("a", 5)], "container_kind string, capacity_tokens long")

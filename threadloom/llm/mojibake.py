@@ -3,12 +3,17 @@
 Best-first search over the operations "encode as X, decode as Y" and "unescape",
 with the visited texts hashed.  A cost of implausible characters guides it: the
 cheapest text that can be reached wins if it is clearly cheaper than the input.
+The search has no bound on its depth or on the texts it looks at: it ends at a
+text that is plausible throughout or when no way is left.  Undoing a wrong reading
+of UTF-8 and unescaping are always followed (each shortens the text); a change
+between two legacy codes costs more and is followed where it at least halves the
+cost, so the ways are few and end.  A caller may set ``max_expanded``.
 The search runs on lines and, where a line as a whole has no way back, on the
 runs of words that hold unusual characters, so partly garbled texts are found.
 
 Defined results: null, empty and plain ASCII texts are never garbled; a text
-with U+FFFD has lost characters and counts as garbled, its other parts are
-restored; a text is compared whole, however long; extra columns are dropped.
+with U+FFFD, itself read in whatever code, has lost characters and counts as
+garbled, its other parts are restored; a text is compared whole, however long; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -34,11 +39,16 @@ _PAIRS = {"çã", "çõ", "ée", "éé", "äß", "öß", "üß", "ñá", "ñó",
 MIN_GAIN = 2.2
 #: Cost above that of plausible characters from which a piece is searched.
 SUSPICIOUS = 1.0
-MAX_DEPTH = 4
-#: Texts whose neighbours are looked at in one search.
-MAX_EXPANDED = 40
-#: A step of the search costs so much, so that short ways are preferred.
-STEP_COST = 0.2
+#: What a step of the search costs: to UTF-8 or unescaped, part by part, between legacy codes.
+UTF8_STEP, PART_STEP, LEGACY_STEP = 0.2, 0.3, 0.6
+#: A change between legacy codes is followed if it leaves this share of the cost at most.
+LEGACY_GAIN = 0.5
+#: Letters of scripts without a frequency of their own: first and end code point, class.
+_SCRIPTS = (
+    (0x370, 0x400, "g"), (0x1F00, 0x2000, "g"), (0x530, 0x590, "e"), (0x590, 0x600, "w"), (0x600, 0x780, "r"), (0x8A0, 0x900, "r"), (0x900, 0xE00, "d"), (0xE00, 0xF00, "t"),
+    (0x10A0, 0x1100, "e"), (0x1200, 0x1380, "e"), (0x1100, 0x1200, "n"), (0x3130, 0x3190, "n"), (0xAC00, 0xD7B0, "n"), (0x1780, 0x1800, "t"),
+)
+_SCRIPT_LETTERS = "gewrdtn"
 
 
 def _frequent_han(c: str) -> bool:
@@ -81,6 +91,9 @@ def _kind(c: str) -> tuple[str, float]:
             return "j", 0.2 if _frequent_han(c) else 1.0
         if 0xFF66 <= o < 0xFFA0:
             return "h", 1.2
+        for first, end, cls in _SCRIPTS:
+            if first <= o < end:
+                return cls, 0.18
         return "o", 0.8
     if 0x3000 <= o < 0x3040 or 0xFF00 <= o < 0xFF66 or 0x30FB <= o < 0x3100:
         return "j", 0.1
@@ -94,7 +107,8 @@ _RUN = re.compile(r"[^\x00-\x7f]+(?:[A-Za-z]{1,2}[^\x00-\x7f]+)*")
 _runs: dict[str, tuple[float, float]] = {}
 _MEMO_SIZE = 60_000
 #: What a plausible character of a class costs; more than that is suspicious.
-_PLAIN = {"l": 0.3, "c": 0.24, "j": 0.2, "q": 0.1, "m": 0.3}
+_PLAIN = {"l": 0.3, "c": 0.24, "j": 0.2, "q": 0.1, "m": 0.3} | dict.fromkeys(_SCRIPT_LETTERS, 0.18)
+_LETTERS, _CASED = frozenset("alc" + _SCRIPT_LETTERS), frozenset("alcge")
 
 
 def _run_cost(run: str, skip: int) -> tuple[float, float]:
@@ -107,7 +121,7 @@ def _run_cost(run: str, skip: int) -> tuple[float, float]:
         if k is None:
             k = _kinds[c] = _kind(c)
         cls, own = k
-        up = c.isupper() if cls in "alc" else False
+        up = c.isupper() if cls in _CASED else False
         prev = classes[-1] if classes else "s"
         before = classes[-2] if len(classes) > 1 else "s"
         prev_up = ups[-1] if ups else True
@@ -117,23 +131,23 @@ def _run_cost(run: str, skip: int) -> tuple[float, float]:
             continue
         total += own
         plain += _PLAIN.get(cls, 0.0)
-        if cls in "alc":
-            if up and prev in "lc" and not prev_up or up and cls != "a" and prev == "a" and not prev_up:
+        if cls in _LETTERS:
+            if up and prev in "lcg" and not prev_up or up and cls != "a" and prev == "a" and not prev_up:
                 total += 1.6  # a capital after a small letter
-            if prev == "y" and before in "alc":
+            if prev == "y" and before in _LETTERS:
                 total += 1.6  # a symbol inside a word
             if cls == "l" and prev == "l" and (run[i - 1] + c).lower() not in _PAIRS:
                 total += 0.8
             elif cls == "l" and prev not in "al" and not run[i + 1 : i + 2].isalpha():
                 total -= own - 0.15  # a letter that stands alone
-            elif prev in "lco" and cls != "a" and prev != cls or cls == "a" and prev == "c" or cls == "c" and prev == "a":
+            elif prev != cls and prev != "a" and cls != "a" and (prev in _LETTERS or prev == "o") or cls == "a" and prev in "cgewr" or cls in "cgewr" and prev == "a":
                 total += 1.2  # two scripts in a word
             elif cls == "c" and up and prev == "c" and prev_up:
                 total += 0.25
             elif cls == "a" and prev == "j":
                 total += 1.0
         elif cls in "yx":
-            if prev in "lc":
+            if prev in "lcgwr":
                 total += 1.6
             elif prev in "yx" and run[i - 1] != c:
                 total += 0.6
@@ -147,7 +161,7 @@ def _run_cost(run: str, skip: int) -> tuple[float, float]:
             elif c in "—–" and prev == "s" and run[i + 1 : i + 2].isalpha():
                 total += 0.5  # a dash that clings to one word
             total += 0.5 if prev == "l" else 1.0 if prev == "y" and run[i - 1] not in "%)]" else 0.0
-        elif cls == "j" and prev in "alco":
+        elif cls == "j" and (prev in _LETTERS or prev == "o"):
             total += 1.0
     return total, total - plain
 
@@ -228,50 +242,54 @@ def _decode(data: bytes, name: str) -> str | None:
         return None
 
 
-def steps(text: str) -> Iterator[str]:
-    """Every text that one operation makes of this one."""
+def steps(text: str) -> Iterator[tuple[str, float]]:
+    """(text, cost of the step) of every text that one operation makes of this one."""
     for name in (*_ONE_BYTE, *_MULTI):
         data = _encode(text, name)
         if data is None or data.isascii():
             continue
-        yield from (x for x in (_decode(data, "utf-8"), *(_decode(data, to) for to in _CROSS.get(name, ()))) if x)
+        if x := _decode(data, "utf-8"):
+            yield x, UTF8_STEP
+        for to in _CROSS.get(name, ()):
+            if x := _decode(data, to):
+                yield x, LEGACY_STEP
     for name, pattern in _partial.items():
         if pattern.search(text):
 
             def one(m: re.Match, name=name) -> str:
                 return _decode(_encode(m[0], name), "utf-8") or m[0]
 
-            yield pattern.sub(one, text)
+            yield pattern.sub(one, text), PART_STEP
     if "Ã " in text:  # a no-break space that became a plain one
-        yield text.replace("Ã ", "Ã\u00a0")
+        yield text.replace("Ã ", "Ã\u00a0"), UTF8_STEP
     if "&" in text and ";" in text:
-        yield html.unescape(text)
+        yield html.unescape(text), UTF8_STEP
     if "\\u" in text:
-        yield re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text)
+        yield re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), text), UTF8_STEP
 
 
-def search(text: str) -> tuple[str, float, float]:
-    """(cheapest reachable text, its cost, cost of the text itself)."""
+def search(text: str, max_expanded: int | None = None) -> tuple[str, float, float]:
+    """(cheapest reachable text, its cost, cost of the text itself); costs hold the steps to a text."""
     start = cost(text)
     best = (start, text)
-    heap = [(start, 0, text)]
-    seen = {hash(text)}
-    for _ in range(MAX_EXPANDED):
-        if not heap:
-            break
-        price, depth, at = heapq.heappop(heap)
-        if depth == MAX_DEPTH or at.isascii():
+    heap = [(start, 0.0, text)]
+    seen = {text}
+    expanded = 0
+    while heap and (max_expanded is None or expanded < max_expanded):
+        _, way, at = heapq.heappop(heap)
+        expanded += 1
+        if at.isascii():
             continue
-        for x in steps(at):
-            h = hash(x)
-            if h in seen:
+        here = cost(at)
+        for x, price in steps(at):
+            if x in seen:
                 continue
-            seen.add(h)
-            c = cost(x) + STEP_COST * (depth + 1)
+            seen.add(x)
+            c = cost(x) + way + price
             if c < best[0]:
                 best = (c, x)
-            if c < start:  # undoing one wrong decoding makes a text cheaper
-                heapq.heappush(heap, (c, depth + 1, x))
+            if price != LEGACY_STEP or c - way <= LEGACY_GAIN * here:
+                heapq.heappush(heap, (c, way + price, x))
         if costs(best[1])[1] < SUSPICIOUS:
             break  # plausible throughout
     return best[1], best[0], start
@@ -287,6 +305,8 @@ def _accepted(new: str, old: str) -> bool:
 _DRAWING = re.compile(r"[\s\d|+\-─│┌┐└┘├┤┬┴┼═║╔╗╚╝]*")
 _WORDS = re.compile(r"\S*[^\x00-\x7f]\S*(?:[^\S\n]+\S*[^\x00-\x7f]\S*)*")
 _memo: dict[str, tuple[str, bool]] = {}
+#: The mark of a lost character, also where its UTF-8 was read in another code.
+_LOST = ("�", *sorted({_decode("�".encode(), n) for n in ("cp1252", "latin-1", "mac_roman", "cp1251", "cp437", "cp850")}))
 
 
 def repair_line(line: str) -> tuple[str, bool]:
@@ -295,7 +315,7 @@ def repair_line(line: str) -> tuple[str, bool]:
         return line, False
     if (hit := _memo.get(line)) is not None:
         return hit
-    lost = "�" in line
+    lost = any(x in line for x in _LOST)
     if _DRAWING.fullmatch(line):
         return line, lost
     out, garbled = line, lost
@@ -316,9 +336,9 @@ def repair_line(line: str) -> tuple[str, bool]:
         whole = _accepted(text, line)
         if whole and costs(text)[1] < SUSPICIOUS:
             out, garbled = text, True
-        else:  # piece by piece, if that comes out cheaper
+        else:  # piece by piece, if less is left that is suspicious
             pieces = _WORDS.sub(piece, line)
-            if found and cost(pieces) <= new:
+            if found and (not whole and cost(pieces) <= new or costs(pieces)[1] + 0.5 < costs(text)[1]):
                 out, garbled = pieces, True
             elif whole:
                 out, garbled = text, True

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import conversations, language, mojibake, packing, pii, terms, tokens
-from threadloom.session import read_table
+from threadloom.session import materialize, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +78,13 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_packing(spark, d))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must not be in a packing, counted per kind of container: all noughts."""
+    docs, containers = read_table(spark, d, "documents"), read_table(spark, d, "containers")
+    sizes = materialize(tokens.count_tokens(docs), "p7-sizes")
+    return packing.invariants(materialize(packing.pack(sizes, containers), "p7-packed"), sizes, containers)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restore(read_table(spark, d, "documents")).where("garbled").select("doc_id")
 
@@ -87,7 +94,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_conversations, p4_found, p4_terms, p5_found, p5_redacted, p6_ids, p6_offsets, p6_roundtrip, p7_packing, p7_fill, p8_found, p8_restored)
+    f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_conversations, p4_found, p4_terms, p5_found, p5_redacted, p6_ids, p6_offsets, p6_roundtrip, p7_packing, p7_fill, p7_invariants, p8_found, p8_restored)
 }
 
 #: Problem 3 by its definition: rows in order, of one uuid the first, then the faults.
@@ -121,8 +128,20 @@ fault as (
   union all select distinct sid, 'broken' from (select sid from msg where no_role union all select got.sid from got left join used using (sid, ref) where used.at is null or used.at > got.at)
 )"""
 
+_TERMS = r"""
+first as (
+  select message.content as blocks, row_number() over (partition by coalesce(uuid, 'row ' || rec_id) order by rec_id) as n from records
+), recs as (
+  select row_number() over () as id, blocks from first where n = 1
+), words as (
+  select id, unnest(regexp_extract_all(lower(t.b.text), '[\p{L}\p{N}]+')) as term
+  from recs, unnest(blocks) as t(b) where t.b.type = 'text' and t.b.text is not null
+), counted as (select term, count(*) as occurrences, count(distinct id) as records from words group by term)"""
+
 #: Only what plain SQL can say; the other problems have brute-force tests.
 SQL: dict[str, str] = {
+    "p6_roundtrip": "select doc_id, true as same from documents",
+    "p7_invariants": "select container_kind, 0::bigint as overfull, 0::bigint as cut, 0::bigint as misplaced, 0::bigint as missing from containers where capacity_tokens > 0",
     "p3_found": "with " + _CONVERSATIONS + " select * from fault",
     "p3_conversations": "with " + _CONVERSATIONS + r""",
 good as (
@@ -136,16 +155,11 @@ turns as (
 select sid as session_id, sum(case when who = 'prompt' then 1 else 0 end) over w as turn_no, row_number() over w as message_no, case when who = 'prompt' then 'user' else 'assistant' end as speaker, uuid, ts, n_versions, text
 from turns window w as (partition by sid order by spot rows unbounded preceding)
 """,
-    "p4_found": r"""
-with first as (
-  select message.content as blocks, row_number() over (partition by coalesce(uuid, 'row ' || rec_id) order by rec_id) as n from records
-), recs as (
-  select row_number() over () as id, blocks from first where n = 1
-), words as (
-  select id, unnest(regexp_extract_all(lower(t.b.text), '[\p{L}\p{N}]+')) as term
-  from recs, unnest(blocks) as t(b) where t.b.type = 'text' and t.b.text is not null
-), counted as (select term, count(distinct id) as records from words group by term)
+    "p4_found": "with " + _TERMS + """
 select term, case when records < 3 then 'rare' else 'common' end as mark from counted
 where records < 3 or records * 25 > (select count(distinct id) from words)
+""",
+    "p4_terms": "with " + _TERMS + """
+select term, occurrences, records, case when records < 3 then 'rare' when records * 25 > (select count(distinct id) from words) then 'common' else '' end as mark from counted
 """,
 }

@@ -1,8 +1,9 @@
 """How often every distinct term occurs (problem 4), by recursive radix spilling.
 
 Terms are counted inside each task first; the counts are spilled to the shared
-folder in partitions by the top hash bits of the term; a partition above
-``max_bytes`` is split by the next bits, and so on; each leaf is then summed
+folder in partitions by the top hash bits of the term, as many bits as the size
+of the input asks for.  Partitions above ``max_bytes`` are split by the next
+bits, all of one level in one job, and so on; each leaf is then summed
 out-of-core by DuckDB in a task of its own.
 
 Defined results: rows with one ``uuid`` count once (the one with the least
@@ -21,16 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.session import delete_path, fresh_path, materialize
+from threadloom.session import fresh_path, materialize
 
 #: Longest runs of letters and digits of any script.
 TERM = re.compile(r"[^\W_]+")
-RADIX_BITS = 4
+#: Hash bits of one level: at least and at most.
+MIN_BITS, MAX_BITS = 2, 12
 #: A leaf of so many compressed bytes is summed by one DuckDB in DUCKDB_MEMORY.
 MAX_LEAF_BYTES = 48 << 20
 DUCKDB_MEMORY = "384MB"
 #: A task hands on its counts when it holds so many distinct terms.
 FLUSH_TERMS = 200_000
+_COUNTS = "term string, occurrences long, records long"
 
 
 def first_copies(rows: DataFrame) -> DataFrame:
@@ -67,91 +70,133 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rec.update(own.keys())
                 occ[None] += 1  # the row of the null term counts the records that hold any term
                 rec[None] += 1
-        if len(occ) >= FLUSH_TERMS:
-            yield flush()
+            if len(occ) >= FLUSH_TERMS:
+                yield flush()
     if occ:
         yield flush()
 
 
-def _radix(level: int, bits: int) -> Column:
-    return F.shiftrightunsigned(F.shiftleft(F.xxhash64("term"), level * bits), 64 - bits).cast("int")
+def _radix(first: int, bits: int) -> Column:
+    """The ``bits`` bits of a term's hash behind its ``first`` ones."""
+    h = F.xxhash64(F.coalesce("term", F.lit("")), F.col("term").isNull())
+    return F.shiftrightunsigned(F.shiftleft(h, first), 64 - bits)
 
 
-def _spill(counts: DataFrame, path: str, level: int, bits: int) -> list[str]:
-    """Write the partitions of one level; the folders that were written."""
-    counts.withColumn("radix", _radix(level, bits)).repartition(1 << bits, "radix").write.partitionBy("radix").option("compression", "zstd").parquet(path)
-    return [f"{path}/radix={r}" for r in range(1 << bits)]
+def _spill(counts: DataFrame, path: str, used: int, bits: int) -> None:
+    """Write the partitions of one level below ``path``, named by all hash bits used so far.
 
+    Rows of one partition go through as many tasks as the session shuffles with:
+    further bits of the hash spread a partition that many others would share.
+    """
+    spread = F.shiftrightunsigned(F.shiftleft(F.xxhash64("term"), used + bits if used + bits < 64 else 0), 61)
+    counts.withColumn("radix", _radix(0, used + bits)).repartition("radix", spread).write.partitionBy("radix").option("compression", "zstd").parquet(path)
+
+
+def _partitions(spark: SparkSession, path: str) -> DataFrame:
+    """(radix, paths, bytes) of the partitions written below ``path``, from the listing of files; no file is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    return files.groupBy(F.regexp_extract("path", r"/radix=(-?\d+)/", 1).cast("long").alias("radix")).agg(F.collect_list("path").alias("paths"), F.sum("length").alias("bytes"))
+
+
+def _bits_for(size: int, max_bytes: int) -> int:
+    return min(MAX_BITS, max(MIN_BITS, (max(1, size) // max_bytes).bit_length()))
+
+
+def _leaves(counts: DataFrame, max_bytes: int, bits: int | None, size: int) -> list[DataFrame]:
+    """(paths, bytes) of the leaves of every level."""
+    spark = counts.sparkSession
+    out: list[DataFrame] = []
+    used, level_bits = 0, bits or _bits_for(size, max_bytes)
+    while True:
+        path = fresh_path(spark, f"terms-{len(out)}")
+        _spill(counts, path, used, level_bits)
+        used += level_bits
+        if not _has_files(spark, path):
+            return out
+        parts = materialize(_partitions(spark, path), "terms-parts")
+        big = parts.where(F.col("bytes") > max_bytes)
+        largest = big.agg(F.max("bytes")).first()[0]
+        if largest is None or used >= 63:
+            return [*out, parts.select("paths", "bytes")]
+        out.append(parts.where(F.col("bytes") <= max_bytes).select("paths", "bytes"))
+        # Counts of one term from many tasks are combined on the way down.
+        counts = spark.read.schema(_COUNTS + ", radix long").parquet(path).join(big.select("radix"), "radix", "left_semi").groupBy("term").agg(
+            F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")
+        )
+        level_bits = min(63 - used, bits or _bits_for(largest, max_bytes))
 
-def _sizes(spark: SparkSession, paths: list[str]) -> dict[str, int]:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    out = {}
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(conf)
-        if fs.exists(p):
-            out[path] = fs.getContentSummary(p).getLength()
-    return out
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return any(s.isDirectory() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
 
-def _leaves(spark: SparkSession, counts: DataFrame, bits: int, max_bytes: int) -> list[str]:
-    top = fresh_path(spark, "terms")
-    todo, out = [(p, n, 1) for p, n in _sizes(spark, _spill(counts, top, 0, bits)).items()], []
-    while todo:
-        path, size, level = todo.pop()
-        if size <= max_bytes or (level + 1) * bits > 64:
-            out.append(path)
-            continue
-        # Counts of one term from many tasks are combined on the way down.
-        finer = spark.read.parquet(path).groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-        parts = _sizes(spark, _spill(finer, fresh_path(spark, "terms"), level, bits))
-        delete_path(spark, path)
-        todo += [(p, n, level + 1 if n < size else 64) for p, n in parts.items()]
-    return sorted(out)
+
+def _megabytes(memory: str) -> float:
+    n, unit = re.fullmatch(r"(\d+)\s*([KMG])B", memory).groups()
+    return int(n) * {"K": 1 / 1024, "M": 1, "G": 1024}[unit]
 
 
-def _sum_leaf(uri: str, spill: str, memory: str) -> Iterator[pa.RecordBatch]:
+def _sum_leaf(paths: list[str], size: int, spill: str, memory: str) -> Iterator[pa.RecordBatch]:
+    """Sum one leaf in at most ``memory``.
+
+    On a shared file system DuckDB spills into the shared folder.  An object
+    store can't take its spill; there the leaf is read in as many passes as it
+    needs, each over one slice of the terms' hashes, so no local disk is used.
+    """
     import duckdb
     import pyarrow.dataset as ds
     from pyarrow import fs
 
-    where, path = fs.FileSystem.from_uri(uri)
-    data = ds.dataset(path, filesystem=where, format="parquet", partitioning=None, exclude_invalid_files=True)
-    # DuckDB spills into the shared folder; a leaf on an object store fits the memory by its size.
-    con = duckdb.connect(config={"threads": 1, "memory_limit": memory} | ({"temp_directory": spill} if spill else {}))
+    where = fs.FileSystem.from_uri(paths[0])[0]
+    data = ds.dataset([fs.FileSystem.from_uri(p)[1] for p in paths], filesystem=where, format="parquet", partitioning=None)
+    # Unpacked, a leaf takes some ten times its compressed bytes.
+    passes = 1 if spill else max(1, -(-size * 20 // int(_megabytes(memory) * (1 << 20))))
+    con = duckdb.connect(config={"threads": 1, "memory_limit": memory, "preserve_insertion_order": False} | ({"temp_directory": spill} if spill else {}))
     try:
-        rows = data.scanner(columns=["term", "occurrences", "records"], batch_size=32_768).to_reader()  # noqa: F841
-        done = con.sql(
-            "select term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from rows group by term"
-        ).to_arrow_reader(32_768)
-        yield from done
+        for k in range(passes):
+            rows = data.scanner(columns=["term", "occurrences", "records"], batch_size=8_192).to_reader()  # noqa: F841
+            own = "" if passes == 1 else f"where hash(term) % {passes} = {k}"
+            yield from con.sql(f"select term, sum(occurrences)::bigint as occurrences, sum(records)::bigint as records from rows {own} group by term").to_arrow_reader(8_192)
     finally:
         con.close()
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """What the optimizer takes for the size of a table, from its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def term_counts(
-    records: DataFrame, bits: int = RADIX_BITS, max_bytes: int = MAX_LEAF_BYTES, memory: str = DUCKDB_MEMORY
+    records: DataFrame, bits: int | None = None, max_bytes: int = MAX_LEAF_BYTES, memory: str = DUCKDB_MEMORY, spill: bool | None = None
 ) -> DataFrame:
     """records(rec_id, uuid, texts array<string>) -> (term, occurrences, records).
 
-    The row of the null term holds the number of records with any term.
+    The row of the null term holds the number of records with any term.  ``bits``
+    sets the hash bits of a level, else the sizes do; ``spill`` whether DuckDB may
+    spill into the shared folder, else whether that is a file system.
     """
     spark = records.sparkSession
-    counts = first_copies(records.select("rec_id", "uuid", "texts")).select("texts").mapInArrow(
-        _count, "term string, occurrences long, records long"
-    )
-    leaves = _leaves(spark, counts, bits, max_bytes)
+    counts = first_copies(records.select("rec_id", "uuid", "texts")).select("texts").mapInArrow(_count, _COUNTS)
+    leaves = None
+    for part in _leaves(counts, max_bytes, bits, min(_input_bytes(records), 1 << 62)):
+        leaves = part if leaves is None else leaves.unionByName(part)
+    if leaves is None:
+        return spark.createDataFrame([], _COUNTS)
+    leaves = materialize(leaves, "terms-leaves")
+    n = leaves.count()
     root = fresh_path(spark, "duckdb")
-    local = root.startswith(("file:", "/"))
+    local = root.startswith(("file:", "/")) if spill is None else spill
+    folder = re.sub(r"^file:/*", "/", root) if local else ""
 
     def sum_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         for b in batches:
-            for i in b.column(0).to_pylist():
-                yield from _sum_leaf(leaves[i], root.removeprefix("file://") + f"/{uuid.uuid4().hex}" if local else "", memory)
+            for paths, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                yield from _sum_leaf(paths, size, f"{folder}/{uuid.uuid4().hex}" if folder else "", memory)
 
-    return spark.range(0, len(leaves), 1, max(1, len(leaves))).mapInArrow(sum_leaves, "term string, occurrences long, records long")
+    # Each task gets the rows of its own leaves and nothing of the others.
+    return leaves.repartition(max(1, min(n, 1 << 17))).mapInArrow(sum_leaves, _COUNTS)
 
 
 def term_frequencies(records: DataFrame, rare_below: int = 3, common_percent: int = 4, **spilling) -> DataFrame:
