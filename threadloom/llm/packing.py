@@ -140,7 +140,7 @@ def invariants(packed: DataFrame, sizes: DataFrame, containers: DataFrame) -> Da
         F.count("*").alias("n_items"), F.count_if((F.col("pieces") > 1) & (F.col("whole") <= F.col("cap"))).alias("cut"),
         F.count_if(F.coalesce((F.col("got") != F.col("whole")) | (F.col("end") != F.col("whole")) | (F.col("starts") != F.col("pieces")), F.lit(True))).alias("misplaced"),
     )
-    missing = sizes.agg(F.count_if("n_tokens > 0").alias("n"))
+    missing = sizes.agg(F.count_if(F.col("n_tokens") > 0).alias("n"))
     return kinds.join(over, "container_kind", "left").join(bad, "container_kind", "left").crossJoin(missing).select(
         "container_kind", F.coalesce("overfull", F.lit(0)).alias("overfull"), F.coalesce("cut", F.lit(0)).alias("cut"), F.coalesce("misplaced", F.lit(0)).alias("misplaced"),
         (F.col("n") - F.coalesce("n_items", F.lit(0))).alias("missing"),
