@@ -11,6 +11,44 @@ HELD_OUT = {
 }
 
 
+#: Languages the centroids don't know.
+FOREIGN = {
+    "it": "Nessuno sapeva dire perché il treno fosse in ritardo, quindi siamo tornati a casa a piedi sotto la pioggia. Vorrei sapere se potete aiutarci con questa richiesta prima di domani.",
+    "nl": "Niemand kon zeggen waarom de trein te laat was, dus liepen we door de regen naar huis. Ik zou graag willen weten of jullie ons hiermee kunnen helpen voor morgen.",
+    "pl": "Nikt nie wiedział, dlaczego pociąg się spóźnił, więc wróciliśmy do domu pieszo w deszczu. Chciałbym wiedzieć, czy możecie nam z tym pomóc przed jutrem.",
+    "ro": "Nimeni nu știa de ce trenul a întârziat, așa că ne-am întors acasă pe jos prin ploaie. Aș vrea să știu dacă ne puteți ajuta cu asta până mâine.",
+    "uk": "Ніхто не знав, чому потяг запізнився, тому ми пішли додому пішки під дощем. Я хотів би знати, чи можете ви нам із цим допомогти до завтра.",
+    "sv": "Ingen visste varför tåget var försenat, så vi gick hem genom regnet. Jag skulle vilja veta om ni kan hjälpa oss med detta före imorgon.",
+    "tr": "Trenin neden geç kaldığını kimse bilmiyordu, bu yüzden yağmurda eve yürüdük. Yarından önce bu konuda bize yardım edip edemeyeceğinizi bilmek istiyorum.",
+    "cs": "Nikdo nevěděl, proč měl vlak zpoždění, a tak jsme šli domů pěšky v dešti. Rád bych věděl, zda nám s tím můžete pomoci do zítřka.",
+    "fi": "Kukaan ei tiennyt, miksi juna oli myöhässä, joten kävelimme kotiin sateessa. Haluaisin tietää, voitteko auttaa meitä tässä ennen huomista.",
+    "da": "Ingen vidste, hvorfor toget var forsinket, så vi gik hjem gennem regnen. Jeg vil gerne vide, om I kan hjælpe os med dette inden i morgen.",
+    "hu": "Senki sem tudta, miért késett a vonat, ezért gyalog mentünk haza az esőben. Szeretném tudni, hogy tudnak-e segíteni ebben holnap előtt.",
+}
+#: Held-out texts of the eight languages, about things the corpus never speaks of.
+KNOWN = {
+    "en": "Nobody could tell why the train was late, so we walked home through the rain. I would be glad if you could help us with this request before tomorrow morning. She bought three apples and a loaf of bread at the market.",
+    "es": "Nadie supo decir por qué el tren llegó tarde, así que volvimos a casa andando. Me alegraría que pudieras ayudarnos con esta petición antes de mañana. Ella compró tres manzanas y una barra de pan en el mercado.",
+    "fr": "Personne ne savait pourquoi le train était en retard, alors nous sommes rentrés à pied. Je serais heureux si vous pouviez nous aider avant demain matin. Elle a acheté trois pommes et une baguette au marché.",
+    "de": "Niemand wusste, warum der Zug zu spät kam, deshalb gingen wir zu Fuß nach Hause. Ich wäre froh, wenn ihr uns vor morgen früh dabei helfen könntet. Sie kaufte drei Äpfel und ein Brot auf dem Markt.",
+    "pt": "Ninguém sabia por que o trem atrasou, então voltamos para casa a pé debaixo da chuva. Eu ficaria feliz se você pudesse nos ajudar antes de amanhã cedo. Ela comprou três maçãs e um pão no mercado.",
+    "ru": "Никто не знал, почему поезд опоздал, поэтому мы пошли домой пешком. Я был бы рад, если бы вы помогли нам до завтрашнего утра. Она купила три яблока и буханку хлеба на рынке.",
+    "ja": "電車がなぜ遅れたのか誰も知らなかったので、雨の中を歩いて帰りました。明日の朝までに手伝っていただけると嬉しいです。彼女は市場でりんごを三つ買いました。",
+    "zh": "没有人知道火车为什么晚点，所以我们冒着雨走回家。如果你能在明天早上之前帮助我们，我会很高兴。她在市场买了三个苹果和一条面包。",
+}
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    return L.fit(read_table(spark, "/root/testdata/sf0.01", "documents"))
+
+
+def test_other_languages_are_rejected_and_the_eight_are_kept(wide):
+    assert {k: [x[0] for x in L.segments(t, wide)] for k, t in KNOWN.items()} == {k: [k] for k in KNOWN}
+    kept = {k: held for k, t in FOREIGN.items() if (held := [x[0] for x in L.segments(t, wide) if x[0]])}
+    assert not kept
+
+
 @pytest.fixture(scope="module")
 def model(spark, data):
     return L.fit(read_table(spark, data, "documents"))

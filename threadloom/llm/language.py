@@ -2,8 +2,14 @@
 
 Prose is cut into sentences; each becomes a normalised TF-IDF vector of character
 n-grams and words and is compared by cosine with several clustered centroids per
-language.  A sentence farther from every centroid than REJECT stays undetermined;
-a sentence near two languages takes the one its item already holds.
+language; a sentence near two languages takes the one its item already holds.
+
+Rejection is by distance.  Features that no fitted sentence has count in full as
+distance, so words and n-grams of another language take a text away from every
+centroid.  Each language has a bound, taken from sentences its centroids weren't
+fitted on; the sentences of an item that go to one language are kept if together
+they lie within its bound and are written in its letters, else they stay
+undetermined.
 
 The centroids start from the seed sentences below and are refitted on sentences
 of a bounded sample of labelled documents (SAMPLE_PER_LABEL rows a label) on
@@ -19,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
@@ -41,8 +48,14 @@ STATED = {w: k for k, v in _CODES.items() for w in v.split()}
 SAMPLE_PER_LABEL = 300
 CLUSTERS = 10
 MAX_FEATURES = 30_000
-#: Least cosine with the nearest centroid.
+#: Least cosine of a sentence with the nearest centroid, among known features.
 REJECT = 0.08
+#: An item's sentences of a language lie within its bound if their mean cosine, unknown features counted, is at least this
+#: share of what all but BOUND_QUANTILE of the held-out sentences reach, and never more than BOUND_MOST.  Scripts without
+#: spaces, which few languages share, get a wider bound.
+BOUND_SHARE, BOUND_QUANTILE, BOUND_MOST, BOUND_CJK = 0.55, 0.03, 0.16, 0.04
+#: A text with a larger share of letters that no fitted sentence has is in another language.
+FOREIGN_LETTERS = 0.03
 #: Cosines closer than this are near each other, of sentences of 40 letters or more and of shorter ones.
 NEAR, NEAR_SHORT = 0.03, 0.06
 MIN_LETTERS = 20
@@ -64,7 +77,8 @@ _SEED = {
     "Quand on ouvre le fichier, il ne reste que quelques autres ; d’après le journal, cela ne passe pas encore. Je vais le faire et ensuite je te montre le résultat, mais seulement avec les données.",
     "de": "Die Leute, die hier wohnen, warten seit Anfang der Woche auf eine Antwort. Ich möchte wissen, ob du uns dabei helfen kannst, bitte. "
     "Nach der Besprechung müssen wir es noch einmal ansehen, weil niemand erklären konnte, was geschehen ist. Ich glaube, es ist kaputt und wir sollten es vor morgen ändern. "
-    "Als die Datei geöffnet wurde, waren nur einige der anderen da; laut dem Protokoll läuft es noch nicht durch. Ich werde das jetzt machen und zeige dir dann das Ergebnis, aber nur für die Daten.",
+    "Als die Datei geöffnet wurde, waren nur einige der anderen da; laut dem Protokoll läuft es noch nicht durch. Ich werde das jetzt machen und zeige dir dann das Ergebnis, aber nur für die Daten. "
+    "Mein Bruder arbeitet in einem kleinen Laden in der Nähe des Bahnhofs und kommt abends oft spät nach Hause. Gestern haben wir mit unseren Freunden gegessen und über das alte Haus am Meer gesprochen. Es gibt nichts Besseres als ein gutes Buch und eine Tasse Tee, wenn es draußen kalt ist. Sie waren sehr glücklich, weil ihre Kinder alle Prüfungen in der Schule bestanden hatten.",
     "pt": "As pessoas que moram aqui estão esperando uma resposta desde o começo da semana. Eu gostaria de saber se você pode nos ajudar com isso, por favor. "
     "Depois da reunião temos que olhar outra vez, porque ninguém conseguiu explicar o que aconteceu. Acho que está com erro e que precisamos mudar isso antes de amanhã. "
     "Quando o arquivo foi aberto, só estavam alguns dos outros; conforme o registro, ainda não funciona. Já consegui fazer, então vou mostrar como ficou e o que falta, mas só com os dados.",
@@ -179,24 +193,34 @@ def _plain(s: str) -> str:
 class Centroids:
     """TF-IDF weights and unit centroids, several per language."""
 
-    def __init__(self, index: dict[str, int], idf: np.ndarray, centroids: np.ndarray, owner: list[str]):
-        self.index, self.idf, self.centroids, self.owner = index, idf, centroids.astype(np.float32), owner
+    def __init__(self, index: dict[str, int], idf: np.ndarray, centroids: np.ndarray, owner: list[str], unknown: float, bounds: dict[str, float] | None = None):
+        self.index, self.idf, self.centroids, self.owner, self.unknown = index, idf, centroids.astype(np.float32), owner, unknown
+        self.bounds = bounds or {}
         self.by_feature = np.ascontiguousarray(self.centroids.T)
         self.held = sorted(set(owner), key=owner.index)
         self.starts = np.array([owner.index(k) for k in self.held])
         self.slots = [LANGUAGES.index(k) for k in self.held]
-        self.words: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.words: dict[str, tuple[np.ndarray, np.ndarray, float, int]] = {}
         self.sentences: dict[str, tuple[float, ...]] = {}
 
     def __getstate__(self):
-        return self.index, self.idf, self.centroids, self.owner
+        return self.index, self.idf, self.centroids, self.owner, self.unknown, self.bounds
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     @staticmethod
-    def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS, rounds: int = 12) -> Centroids:
-        """samples: (language, normalised sentence)."""
+    def fit(samples: list[tuple[str, str]], clusters: int = CLUSTERS, rounds: int = 12, bounded: bool = True) -> Centroids:
+        """samples: (language, normalised sentence); bounds come from every other sentence, by centroids of the rest."""
+        bounds = {}
+        if bounded:
+            part = Centroids.fit(samples[::2], clusters, rounds, False)
+            for lang in LANGUAGES:
+                own = [n for k, n in samples[1::2] if k == lang]
+                near = sorted(part.fitness(x) for n, x in zip(own, part.similarities(own)) if x[LANGUAGES.index(lang)] == max(x[: len(LANGUAGES)]))
+                low = near[int(len(near) * BOUND_QUANTILE)] if len(near) >= 20 else 1.0
+                bounds[lang] = min(BOUND_CJK if lang in ("ja", "zh") else BOUND_MOST, BOUND_SHARE * low) if near else 0.0
+            del part
         counts = [Counter(g for w in pieces(s) for g in grams(w)) for _, s in samples]
         df = Counter(g for c in counts for g in c)
         top = sorted(df.items(), key=lambda x: (-x[1], x[0]))[:MAX_FEATURES]
@@ -224,23 +248,32 @@ class Centroids:
                 at /= np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-9)
             cents.append(at)
             owner += [lang] * k
-        return Centroids(index, idf.astype(np.float32), np.vstack(cents), owner)
-
-    def _word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
-        """(feature ids, their part of the product with every centroid) of a word."""
-        ids = np.array([j for g in grams(w) if (j := self.index.get(g)) is not None], dtype=np.int64)
-        hit = ids, self.idf[ids] @ self.by_feature[ids] if len(ids) else np.zeros(len(self.owner), np.float32)
+        return Centroids(index, idf.astype(np.float32), np.vstack(cents), owner, float(np.log((1 + len(samples)) / 2) + 0.3), bounds)
+
+    def _word(self, w: str) -> tuple[np.ndarray, np.ndarray, float, int]:
+        """(feature ids, their part of the product with every centroid, squared weight of unknown features, unknown letters) of a word."""
+        ids, beyond, letters = [], 0.0, 0
+        for g in grams(w):
+            j = self.index.get(g)
+            if j is not None:
+                ids.append(j)
+            else:
+                beyond += (WORD_WEIGHT * self.unknown if g[0] == "\x02" else self.unknown) ** 2
+                letters += len(g) == 1 and not _CJK.match(g)
+        ids = np.array(ids, dtype=np.int64)
+        hit = ids, self.idf[ids] @ self.by_feature[ids] if len(ids) else np.zeros(len(self.owner), np.float32), beyond, letters
         if len(self.words) < MEMO_WORDS:
             self.words[w] = hit
         return hit
 
     def similarities(self, sentences: list[str]) -> list[tuple[float, ...]]:
-        """Cosine with the nearest centroid of each language, in the order of LANGUAGES, for each normalised sentence.
+        """For each normalised sentence its cosine with the nearest centroid of each language, in the order of LANGUAGES,
+        then the factor that unknown features shorten cosines by, and the number of unknown letters.
 
         A sentence's product with a centroid is the sum of its words' products;
         its length comes from the summed weights of its features.
         """
-        none, fresh = (0.0,) * len(LANGUAGES), {}
+        none, fresh = (0.0,) * (len(LANGUAGES) + 2), {}
         out = [self.sentences.get(s) for s in sentences]
         todo = list(dict.fromkeys(s for s, x in zip(sentences, out) if x is None))
         for at in range(0, len(todo), 512):
@@ -261,15 +294,27 @@ class Centroids:
             starts = np.cumsum([0, *n_words])[held]
             dots = np.add.reduceat(np.array([k[1] for k in flat]), starts, axis=0)
             best = np.maximum.reduceat(dots, self.starts, axis=1) / np.maximum(norm[held], 1e-9)[:, None]
-            rows = np.zeros((len(part), len(LANGUAGES)))
+            rows = np.zeros((len(part), len(LANGUAGES) + 2))
             rows[np.ix_(held, self.slots)] = best
+            beyond = np.array([sum(k[2] for k in ks) for ks in known])
+            rows[:, -2] = norm / np.maximum(np.sqrt(norm * norm + beyond), 1e-9)
+            rows[:, -1] = [sum(k[3] for k in ks) for ks in known]
             fresh.update(zip(part, map(tuple, rows.tolist())))
         if len(self.sentences) < MEMO_SENTENCES:
             self.sentences.update(fresh)
         return [x if x is not None else fresh[s] for s, x in zip(sentences, out)]
 
     def similarity(self, s: str) -> tuple[float, ...]:
-        return self.similarities([s])[0]
+        return self.similarities([s])[0][: len(LANGUAGES)]
+
+    @staticmethod
+    def fitness(row: tuple[float, ...], best: int | None = None) -> float:
+        """Cosine with the nearest centroid (of one language), unknown features counted."""
+        return (max(row[: len(LANGUAGES)]) if best is None else row[best]) * row[-2]
+
+    def within(self, lang: str, fit: float, letters: int, foreign: int) -> bool:
+        """Whether sentences of so many letters, at this letter-weighted sum of cosines, belong to a language."""
+        return fit >= self.bounds.get(lang, 0.0) * letters and foreign <= FOREIGN_LETTERS * letters
 
 
 def classified_all(texts: list[str | None], labels: list[str | None], model: Centroids) -> Iterator[list[tuple[str, float, int, str]]]:
@@ -286,16 +331,18 @@ def classified_all(texts: list[str | None], labels: list[str | None], model: Cen
     for rows, label in zip(cut, labels):
         scored, held = [], [0] * len(LANGUAGES)
         for s, n in rows:
-            sim, letters = next(sims), len(n) - n.count(" ")
+            row, letters = next(sims), len(n) - n.count(" ")
+            sim = row[: len(LANGUAGES)]
             second, first = sorted(sim)[-2:]
             gap = NEAR if letters >= 40 else NEAR_SHORT
-            scored.append((s, letters, sim, first, gap))
+            scored.append((s, letters, sim, first, gap, row))
             if first >= REJECT and first - second >= gap:
                 held[sim.index(first)] += letters
         stated = stated_language(label)
         known = LANGUAGES.index(stated) if stated else -1
         out = []
-        for s, letters, sim, first, gap in scored:
+        sums: dict[str, list] = {}
+        for s, letters, sim, first, gap, row in scored:
             if first < REJECT:
                 out.append(("", 0.0, letters, s))
                 continue
@@ -303,7 +350,12 @@ def classified_all(texts: list[str | None], labels: list[str | None], model: Cen
             best = near[0] if len(near) == 1 else max(near, key=lambda j: (held[j], j == known, sim[j]))
             rest = max(x for j, x in enumerate(sim) if j != best)
             out.append((LANGUAGES[best], min(1.0, max(0.0, 0.5 + (sim[best] - rest) / (2 * sim[best]))), letters, s))
-        yield out
+            pooled = sums.setdefault(LANGUAGES[best], [0.0, 0, 0])
+            pooled[0] += Centroids.fitness(row, best) * letters
+            pooled[1] += letters
+            pooled[2] += int(row[-1])
+        gone = {k for k, v in sums.items() if not model.within(k, *v)}
+        yield [("", 0.0, *x[2:]) if x[0] in gone else x for x in out] if gone else out
 
 
 def joined_segments(sentences: list[tuple[str, float, int, str]]) -> list[tuple[str, float, int, str]]:
@@ -325,7 +377,7 @@ def seed_model() -> Centroids:
     """Centroids of the seed sentences, with and without accents."""
     rows = [(k, normalised(s)) for k, v in _SEED.items() for s in prose_sentences(v) if s.strip()]
     rows += [(k, _plain(s)) for k, s in rows if k in ("es", "fr", "de", "pt")]
-    return Centroids.fit(rows, clusters=1)
+    return Centroids.fit(rows, clusters=1, bounded=False)
 
 
 def fit(labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL, key: str = "doc_id") -> Centroids:
@@ -359,7 +411,8 @@ def fit(labelled: DataFrame, per_label: int = SAMPLE_PER_LABEL, key: str = "doc_
                 per[lang] += 1
                 rows.append((lang, n))
     rows += [(k, _plain(s)) for k, s in rows if k in ("es", "fr", "de", "pt") and _plain(s) != s]
-    return Centroids.fit(rows)
+    # Sentences are spread by their hashes, so that halves of them are alike.
+    return Centroids.fit(sorted(rows, key=lambda r: (zlib.crc32(r[1].encode()), r)))
 
 
 def _joined(items: DataFrame) -> DataFrame:
