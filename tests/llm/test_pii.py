@@ -58,3 +58,27 @@ def test_label_model_separates_contradicted_spans():
     votes = np.array([[1, 1, 1, 1, 0], [1, 1, 0, 1, 0], [1, -1, 0, -1, -1]], float)
     _, p = pii.label_model(votes, np.array([500, 100, 60.0]))
     assert p[0] > 0.9 and p[1] > 0.9 and p[2] < 0.1
+
+
+#: Names, numbers and places that no list holds; sentences of everyday kind.
+HELD_OUT = [
+    ("Ask Priya Raghunathan whether the figures are right.", "name", "Priya Raghunathan"), ("Please contact Wei Zhang about the invoice.", "name", "Wei Zhang"),
+    ("Mr. Mohammed Al-Farsi wrote to us on Monday.", "name", "Mohammed Al-Farsi"), ("Dr. John Smith said it would take a week.", "name", "John Smith"),
+    ("Thank Jennifer Miller for the kind words.", "name", "Jennifer Miller"), ("reviewed by Oluwaseun Adeyemi", "name", "Oluwaseun Adeyemi"), ("Frau Annegret Hubschmid ruft morgen an.", "name", "Annegret Hubschmid"),
+    ("Mme Solène Kerbrat est absente.", "name", "Solène Kerbrat"), ("author: Siobhan O'Connell", "name", "Siobhan O'Connell"), ("передай Ивану Петрову отчёт", "name", "Ивану Петрову"),
+    ("请联系王伟先生处理这件事。", "name", "王伟"), ("我叫李小龙。", "name", "李小龙"), ("田中 太郎さんに連絡してください。", "name", "田中 太郎"), ("Signora Giulia Ferrero ha chiamato.", "name", "Giulia Ferrero"),
+    ("the ssn 123456789 was in the log", "id_number", "123456789"), ("passport number X1234567 is on file", "id_number", "X1234567"), ("phone 5551234567 for help", "phone", "5551234567"), ("Tel: 02079460958", "phone", "02079460958"),
+    ("he moved to Via Roma 15, Milano", "address", "Via Roma 15"), ("she lives at Linkstraat 12 now", "address", "Linkstraat 12"), ("the parcel goes to 14 Elm Street, Springfield", "address", "14 Elm Street"),
+]
+NOTHING = ["IBAN DE89 3704 0044 0532 0130 00 is on the invoice", "Amber Harbor and Quiet Lantern are code names", "Open Source and Pull Request", "The Main Street dataset", "version 123456789 of the tool"]
+
+
+def test_recall_on_what_no_list_holds(spark, make_records):
+    """By the classifier trained on the test table: at least nine in ten, and no harmless text."""
+    from threadloom.session import read_table
+
+    weights, _ = pii.fit(pii.spans(pii.block_fields(read_table(spark, "/root/testdata/sf0.01", "records"))))
+    found = lambda t: {(k, t[a:b]) for a, b, k, form, votes in pii.candidates(t) if pii.score(weights, k, form, votes) >= 0.5}
+    missed = [(t, found(t)) for t, kind, value in HELD_OUT if (kind, value) not in found(t)]
+    assert len(missed) <= len(HELD_OUT) // 10, missed
+    assert {t: found(t) for t in NOTHING if found(t)} == {}

@@ -96,6 +96,11 @@ _IDS = {
     "insee": r"[12] \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?",
     "snils": r"\d{3}-\d{3}-\d{3} \d{2}",
 }
+#: Bare digits behind a word that says what they are.
+_LABELLED_ID = re.compile(r"\b(?:ssn|social security(?: number)?|passport(?: number)?|national id|tax id|dni|nif|cpf|снилс|инн|паспорт)\W{0,4}(?:(?:is|number|no|№)\W{0,3})?(\d{6,12}|[A-Z]{1,2}\d{6,9}[A-Z]?)(?![A-Za-z0-9_.\-])", re.I)
+_LABELLED_PHONE = re.compile(r"\b(?:phone|telephone|tel|mobile|cell|whatsapp|call (?:me|us)?(?: at| on)?|ring|telefon|teléfono|telefone|téléphone|телефон)\W{0,4}(?:(?:is|number|no)\W{0,3})?(\+?\d{9,13})(?![A-Za-z0-9_.\-])", re.I)
+#: International bank account numbers, whose groups look like telephone numbers.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ID = re.compile(_LEFT_EDGE + "(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _IDS.items()) + ")" + _RIGHT_EDGE)
 _WORD = r"[^\W\d_]+(?:[’'\-][^\W\d_]+)*"
 _STREETS = {
@@ -103,6 +108,8 @@ _STREETS = {
     "de": r"(?:(?:Alte|Neue|Am|An der|Große|Kleine) )?[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|str\.|weg|allee|platz|gasse|ring|damm|ufer)(?: |-)\d{1,4} ?[a-z]?\b",
     "fr": r"\d{1,4}(?: ?(?:bis|ter|quater|[A-D]))?,? (?:rue|avenue|chemin|boulevard|place|allée|impasse|route|quai|cours|av\.|bd)\b (?:(?:de la|de l[’']|du|des|de|d[’']) ?)?[A-ZÀ-Ý][\w’'\-]+(?: [A-ZÀ-Ý][\w’'\-]+)?",
     "ib": r"(?:(?:Calle|Avenida|Avda\.?|Paseo|Plaza|Camino|Carretera|Rua|Travessa|Alameda|Praça|Largo|Estrada)\b|C/|R\.|Av\.|Pza\.) ?(?:(?:de la|del|de|da|do|dos|das) )?[A-ZÀ-Ý][\w’'\-]+(?: [A-ZÀ-Ý][\w’'\-]+)?,? (?:n[.º°o]+ ?)?\d{1,5}(?: ?[A-Za-z]\b)?",
+    "it": r"(?:Via|Viale|Piazza|Piazzale|Corso|Largo|Vicolo)\b (?:(?:della|delle|dei|degli|del|di|dell[’'])[ ]?)?[A-ZÀ-Ý][\w’'\-]+(?: [A-ZÀ-Ý][\w’'\-]+)?,? \d{1,4}(?:/?[A-Za-z]\b)?",
+    "nl": r"[A-Z][a-z]+(?:straat|laan|gracht|plein|kade|dijk|singel|weg) \d{1,4} ?[a-z]?\b",
     "ru": r"(?:ул\.|улица|пр\.|проспект|пер\.|переулок) ?[А-ЯЁ][\w\-]+,? (?:д\. ?|дом )?\d{1,4}[а-я]?",
 }
 _ADDRESS = re.compile(r"(?<![A-Za-z0-9_./\-])(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _STREETS.items()) + r")(?![A-Za-z0-9_])")
@@ -116,6 +123,39 @@ _FIELD = re.compile(r"(?:\"(?:assignee|name|owner|author|reviewer|reporter|custo
 _STOP = set("the this that then there main old new north south east west from for and not but api get post error warn sha select insert values into with at on in by we you".split())
 
 
+#: Titles and relations that a name follows, whatever the name.
+_TITLE = r"(?:Dr|Mr|Mrs|Ms|Miss|Prof|Sir|Frau|Herr|Mme|Mlle|Monsieur|Madame|Sr|Sra|Srta|Dra|Señora?|Senhora?|Dona|Don|Sig|Signora?|Mevrouw|Meneer|Pan|Pani)\.?"
+_RELATION = (
+    r"(?:(?:[Aa]sk|[Tt]ell|[Pp]ing|[Cc]ontact|[Ee]mail|[Mm]eet|[Tt]hank|[Nn]otify|[Ii]nvite|[Aa]ssigned to|[Rr]eported by|[Ww]ritten by|[Rr]eviewed by|[Ss]igned by|[Aa]pproved by|[Oo]wned by|[Rr]egards,|[Ss]incerely,|[Mm]y name is|[Tt]his is|[Ii] am"
+    r"|[Aa]uthor|[Oo]wner|[Aa]ssignee|[Rr]eviewer|[Nn]ame|[Cc]ustomer|[Pp]atient|[Ee]mployee|[Nn]ombre|[Nn]om|[Nn]ome|[Ff]rag(?:e|t)?|[Pp]regunta a|[Dd]emande à|[Pp]ergunte a) ?:?)"
+)
+_PART = r"[A-ZÀ-ÖØ-ÞŠŽĆČĐŁŃŚŹŻ][^\W\d_]*[a-zà-öø-ÿāăąćčďđēęěğīłńňőřśšťūůűźżž][^\W\d_]*(?:[-’'][A-ZÀ-ÖØ-Þ]?[^\W\d_]+)*"
+_PARTICLE = r"(?:(?:[Aa]l|[Ee]l|[Bb]en|[Bb]in|[Dd]e(?: la)?|[Dd]el|[Dd]i|[Dd]a|[Dd]os|[Dd]u|[Vv]an(?: de[rn]?)?|[Vv]on|[Zz]u)[ -])?"
+_FULL = rf"{_PART}(?: [A-Z]\.)?(?: {_PARTICLE}{_PART}){{1,2}}"
+_TITLED = re.compile(rf"(?<![\w.]){_TITLE} ({_FULL})(?![\w@/])")
+_RELATED = re.compile(rf"(?<![\w.@/-]){_RELATION} ({_FULL})(?![\w@/(])(?!\.\w)")
+#: Family names and patronymics in Cyrillic letters have endings of their own, whatever their case.
+_SLAVIC_ENDING = r"(?:[оеё]в|[иы]н|ск[иоа]|цк[иоа]|енк|ук|юк)(?:а|у|ым|ом|ой|е|й|я|ю|ого|ому|их|им|о)?"
+_SLAVIC = re.compile(rf"(?<![\w])([А-ЯЁІЇЄҐ][а-яёіїєґ]+(?: [А-ЯЁ][а-яё]+(?:вич|вн)[а-яё]{{0,2}})? [А-ЯЁІЇЄҐ][а-яёіїєґ]{{1,12}}?{_SLAVIC_ENDING})(?![\w])")
+#: The commonest Chinese family names; a given name of one or two characters follows.  One of them with a title or a word of address is a name.
+_HAN_FAMILY = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
+_HAN_NAME = re.compile(rf"([{_HAN_FAMILY}][\u4e00-\u9fff]{{1,2}}?)(?=先生|女士|小姐|老师|经理|医生|博士|教授|同学|总监|工程师)")
+_HAN_CALLED = re.compile(rf"(?:我叫|名叫|姓名[是为：: ]{{0,2}}|联系人[是为：: ]{{0,2}}|作者[是为：: ]{{0,2}}|负责人[是为：: ]{{0,2}})([{_HAN_FAMILY}][\u4e00-\u9fff]{{1,2}})(?![\u4e00-\u9fff])")
+_KANA_NAME = re.compile(r"(?<![\u4e00-\u9fff])([\u4e00-\u9fff]{2,3}[ 　][\u4e00-\u9fff]{1,3})(?=さん|様|氏|先生|君)")
+
+
+def _by_context(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, form) of names that their surroundings give away, whatever they are."""
+    for pattern, form in ((_TITLED, "titled"), (_RELATED, "related")):
+        for m in pattern.finditer(text):
+            if not any(w.lower().strip(".") in _STOP for w in m[1].split()):
+                yield *m.span(1), form
+    if not text.isascii():
+        for pattern, form in ((_SLAVIC, "slavic"), (_HAN_NAME, "han"), (_HAN_CALLED, "han"), (_KANA_NAME, "han")):
+            for m in pattern.finditer(text):
+                yield *m.span(1), form
+
+
 def _folding() -> dict[int, str]:
     out = {ord("ø"): "o", ord("Ø"): "O", ord("ł"): "l", ord("Ł"): "L"}
     for o in range(0xC0, 0x180):
@@ -163,6 +203,10 @@ def _names(text: str, folded: str) -> Iterator[tuple[int, int, str, int, int]]:
             if last.lower() not in _STOP:
                 taken.update(range(*m.span()))
                 yield m.start(), m.end(), "initial", 1 if _family(last) else 0, 0
+    for a, b, form in _by_context(text):
+        if not taken & set(range(a, b)):
+            taken.update(range(a, b))
+            yield a, b, form, 1, 0
     for m in _FIELD.finditer(text):
         a, b = m.span(1)
         if not taken & {a, b - 1}:
@@ -183,12 +227,14 @@ def candidates(text: str) -> list[tuple[int, int, str, str, tuple[int, ...]]]:
     digits = any(c.isdigit() for c in text)
     if digits:
         raw += [(*m.span(), "id_number", m.lastgroup, 1, 0) for m in _ID.finditer(text)]
+        raw += [(*m.span(1), "id_number", "labelled", 1, 1) for m in _LABELLED_ID.finditer(text)]
+        raw += [(*m.span(1), "phone", "labelled", 1, 1) for m in _LABELLED_PHONE.finditer(text)]
         raw += [(*m.span(), "phone", m.lastgroup, 1 if m.lastgroup != "other" else 0, 1 if m[0][0] in "+(0" or m.lastgroup == "nanp" else 0) for m in _PHONE.finditer(text)]
         raw += [(*m.span(), "address", m.lastgroup, 1, 1) for m in _ADDRESS.finditer(text)]
     raw += [(a, b, "name", form, sv, gv) for a, b, form, sv, gv in _names(text, text.translate(_FOLD))]
     rank = {k: i for i, k in enumerate(KINDS)}
     out: list[tuple[int, int, str, str, tuple[int, ...]]] = []
-    used: list[tuple[int, int]] = []
+    used: list[tuple[int, int]] = [m.span() for m in _IBAN.finditer(text)] if digits else []
     for a, b, kind, form, shape, gaz in sorted(raw, key=lambda x: (rank[x[2]], x[0] - x[1], x[0])):
         if any(a < d and c < b for c, d in used):
             continue
@@ -205,12 +251,16 @@ def candidates(text: str) -> list[tuple[int, int, str, str, tuple[int, ...]]]:
                 lv = -1
             if re.match(r"\s?(?:ms|kb|mb|gb|%|px|bytes)\b", right, re.I):
                 rv = -1
+            if form == "labelled":
+                lv = 1
             n = sum(c.isdigit() for c in text[a:b])
             fv = (1 if 9 <= n <= 14 else -1) if kind == "phone" else (1 if n >= 6 else -1)
         elif kind == "name":
             if re.search(r"[/@_]$", left) or re.match(r"[/@_]|\.\w|\(", right):
                 fv = -1
-            elif form in ("title", "upper", "reversed"):
+            elif form in ("titled", "related", "slavic", "han"):
+                lv = fv = 1
+            elif form in ("title", "upper", "reversed", "initial", "field"):
                 fv = 1
         out.append((a, b, kind, form, (shape, gaz, lv, rv, fv)))
     return out
