@@ -296,9 +296,9 @@ class Centroids:
             best = np.maximum.reduceat(dots, self.starts, axis=1) / np.maximum(norm[held], 1e-9)[:, None]
             rows = np.zeros((len(part), len(LANGUAGES) + 2))
             rows[np.ix_(held, self.slots)] = best
-            beyond = np.array([sum(k[2] for k in ks) for ks in known])
-            rows[:, -2] = norm / np.maximum(np.sqrt(norm * norm + beyond), 1e-9)
-            rows[:, -1] = [sum(k[3] for k in ks) for ks in known]
+            beyond, letters = np.add.reduceat(np.array([k[2:] for k in flat]), starts, axis=0).T
+            rows[held, -2] = norm[held] / np.maximum(np.sqrt(norm[held] ** 2 + beyond), 1e-9)
+            rows[held, -1] = letters
             fresh.update(zip(part, map(tuple, rows.tolist())))
         if len(self.sentences) < MEMO_SENTENCES:
             self.sentences.update(fresh)
@@ -351,7 +351,7 @@ def classified_all(texts: list[str | None], labels: list[str | None], model: Cen
             rest = max(x for j, x in enumerate(sim) if j != best)
             out.append((LANGUAGES[best], min(1.0, max(0.0, 0.5 + (sim[best] - rest) / (2 * sim[best]))), letters, s))
             pooled = sums.setdefault(LANGUAGES[best], [0.0, 0, 0])
-            pooled[0] += Centroids.fitness(row, best) * letters
+            pooled[0] += sim[best] * row[-2] * letters
             pooled[1] += letters
             pooled[2] += int(row[-1])
         gone = {k for k, v in sums.items() if not model.within(k, *v)}
