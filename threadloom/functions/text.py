@@ -6,7 +6,9 @@ All are plain Catalyst expressions.  A null text gives null unless said otherwis
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,9 +46,14 @@ def tone_prose(c: Column, tags: bool = True) -> Column:
 
 
 def placeholder_prose(c: Column) -> Column:
-    """Code, links and paths replaced by a note that they stay local."""
-    for p, note in ((r"(?s)```.*?```", "[code removed locally]"), (r"`[^`\n]+`", "[inline code removed locally]"), (r"https?://\S+", "[url removed locally]"), (r"(?:/Users/|/home/)[^\s,;:]+", "[path removed locally]")):
-        c = F.regexp_replace(c, p, f" {note} ".replace("$", r"\$"))
+    """Code, links and paths replaced by a note that they were removed; names of commands in backticks stay, quoted lines go."""
+    steps = [
+        (r"(?s)```.*?```", " content removed locally "), (r"`([^`\n]+)`", "\x02$1\x03"), (rf"\x02(?i)((?!{P.UNSAFE_COMMAND}){P.SAFE_COMMAND})\x03", " `$1` "), (r"\x02[^\x03]*\x03", " content removed locally "),
+        (r"(?m)^\s*>.*$", " "), (r"https?://\S+", " link removed locally "), (r"\[[^\]]+\]\([^\)]+\)", " link removed locally "),
+        (r"(^|[\s(\"'`])(?:[A-Za-z]:)?[/.~][^\s,;:]+", "$1 path removed locally "), (r"<[^>]+>", " "),
+    ]
+    for p, note in steps:
+        c = F.regexp_replace(c, p, note)
     return one_space(c)
 
 
@@ -57,6 +64,46 @@ def phrase_prose(c: Column) -> Column:
     return c
 
 
+def family_prose(c: Column) -> Column:
+    """For families of phrases: as for phrase mining, but paths leave a mark and names in the genitive become a person's."""
+    for p, r in ((r"(?s)```.*?```", " "), (r"(?s)`[^`]*`", " "), (r"https?://\S+", " "), (r"\[[^\]]+\]\([^\)]+\)", " "), (r"(?:/Users/|/home/)[^\s,;:]+", " [path] "), (r"(?<![0-9A-Za-z_])[A-Z][a-z]{2,}[’']s(?![0-9A-Za-z_])", "person's")):
+        c = F.regexp_replace(c, p, r)
+    return c
+
+
+def opening_prompt(c: Column) -> Column:
+    """What a person asked: behind a heading for the request if there is one, without what clients add."""
+    c = F.coalesce(F.nullif(F.regexp_extract(c, r"(?is)(?:^|\n)## My request:\s*(.*)$", 1), F.lit("")), F.regexp_replace(c, r"(?is)(?:^|\n)## My request:\s*$", ""))
+    for tag in P.CLIENT_TAGS:
+        c = F.regexp_replace(c, rf"(?is)<{tag}>.*?</{tag.split()[0] if tag != 'permissions instructions' else tag}>", " ")
+    c = F.regexp_replace(c, r"(?im)^\s*# AGENTS\.md instructions\s*$", " ")
+    return one_space(F.regexp_replace(c, r"(?is)<image(?![0-9A-Za-z_])[^>]*>.*?</image>", " "))
+
+
+def neutral(c: Column) -> Column:
+    """Marks of redaction in words."""
+    return one_space(F.regexp_replace(c, r"(?i)\[(?:REDACTED|REMOVED)[^\]]*\]", "sensitive value removed locally"))
+
+
+def trajectory_safe(c: Column, most: int = 600) -> Column:
+    """Whether a text may stand in a trajectory that others see."""
+    return share_safe(c, 2, most, 40)
+
+
+#: Characters whose compatibility form holds ASCII letters or digits: full width, ligatures, letterlike and enclosed ones.
+_COMPATIBLE = "".join(chr(o) for o in range(0x80, 0x3400) if (n := unicodedata.normalize("NFKC", chr(o))) != chr(o) and re.search("[A-Za-z0-9']", n)) + "".join(chr(o) for o in range(0xFB00, 0xFB07)) + "".join(chr(o) for o in range(0xFF01, 0xFF5F))
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility forms of letters and digits as plain ones; only texts that hold any go through Python."""
+
+    @F.pandas_udf("string")
+    def normal(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return F.coalesce(normal(F.when(c.rlike(f"[{_COMPATIBLE}]"), c)), c)
+
+
 def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(P.WORD))
 
@@ -101,14 +148,16 @@ def is_grateful(text: Column) -> Column:
     return matches(tone_prose(text, tags=False), P.GRATITUDE)
 
 
-def share_safe(c: Column, least: int, most: int, base64_run: int | None = 40) -> Column:
-    """Whether a text may be shown: length, no control characters, links, home paths, code, tags, markers, mail addresses, secrets."""
-    bad = [r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", r"(?i:https?://)", r"/Users/|/home/", "```", r"<[a-zA-Z/][^>]*>", r"(?i:\[redacted)"]
-    bad += [re.sub(r"^\(\?i\)(.*)$", r"(?i:\1)", p, flags=re.S) for p in (P.EMAIL, P.CREDENTIAL, *(p for p, _ in P.SECRETS))]
+def share_safe(c: Column, least: int, most: int, base64_run: int | None = 40, secret: int = 12) -> Column:
+    """Whether a text may be shown: length, no control characters, links, home paths, code, tags, marks of redaction, mail addresses, labelled secrets, long runs of base64."""
+    bad = [
+        r"[\x00-\x1f\x7f]", r"(?i:https?://|/Users/|/home/|```|<[^>]+>|\[(?:REDACTED|REMOVED)[^\]]*\])", r"(?i:[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,})",
+        rf"(?i:\b(?:sk|gh[oprsu]|token|secret|key)[-_=:][A-Za-z0-9_-]{{{secret},}})",
+    ]
     if base64_run:
-        bad.append(rf"[A-Za-z0-9+/]{{{base64_run},}}")
+        bad.append(rf"\b[A-Za-z0-9+/]{{{base64_run},}}={{0,2}}\b")
     # One expression, as the text may itself be a long one.
-    return F.coalesce(F.length(c).between(least, most) & ~c.rlike(P.java("|".join(f"(?:{p})" for p in bad))), F.lit(False))
+    return F.coalesce(F.length(c).between(least, most) & ~c.rlike(P.java("|".join(bad))), F.lit(False))
 
 
 def ellipsis(c: Column, most: int) -> Column:
@@ -139,8 +188,15 @@ def agent_name(c: Column) -> Column:
 
 
 def project_name(path: Column) -> Column:
-    """The last part of a path as a title."""
-    return F.initcap(F.regexp_replace(F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1), "[-_]+", " "))
+    """The last part of a path as a title: words begin with a capital, the rest of them stays."""
+    words = F.split(F.regexp_replace(F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1), "[-_.]+", " "), " ")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), " ")
+
+
+def tool_label(c: Column) -> Column:
+    """A tool's name in plain characters, at most 48."""
+    plain = F.substring(F.trim(F.regexp_replace(F.coalesce(c, F.lit("Unknown tool")), r"[^A-Za-z0-9_. -]", "")), 1, 48)
+    return F.when(plain == "", "Unknown tool").otherwise(plain)
 
 
 def opaque_id(c: Column) -> Column:
@@ -159,12 +215,19 @@ def command_of(arguments: Column) -> Column:
     return F.coalesce(F.get_json_object(arguments, "$.cmd"), F.get_json_object(arguments, "$.command"), F.lit(""))
 
 
+def hinted(semantics: Column, action: Column, method: Column) -> Column:
+    """Semantics a record already names, where both are known ones, else those given."""
+    known = (action.isNull() | action.isin(P.ACTIONS)) & F.coalesce(method.isin(P.METHODS), F.lit(False))
+    return F.when(known, F.struct(action.alias("action"), method.alias("method"))).otherwise(semantics)
+
+
 def tool_semantics(name: Column, arguments: Column) -> Column:
     """struct(action, method) of a tool call, from its name or its command."""
     tool, command = F.lower(F.coalesce(name, F.lit(""))), F.regexp_replace(command_of(arguments), r"(?i)\\[nrt]", " ")
     hides = command.rlike(r"(?i)\.gitignore(?![0-9A-Za-z_])")
     edits = F.struct(F.when(hides, "hide").otherwise("edit").alias("action"), F.lit("file_edit").alias("method"))
-    found = F.struct(_cascade(command, P.COMMANDS, 1).alias("action"), F.coalesce(_cascade(command, P.COMMANDS, 2), F.when(command == "", "unknown").otherwise("shell")).alias("method"))
+    by_brew = F.when((_cascade(command, P.COMMANDS, 1) == "download") & command.rlike(P.java(P.BREW, True)), "package_manager")
+    found = F.struct(_cascade(command, P.COMMANDS, 1).alias("action"), F.coalesce(by_brew, _cascade(command, P.COMMANDS, 2), F.when(command == "", "unknown").otherwise("shell")).alias("method"))
     pair = lambda a, m: F.struct(F.lit(a).alias("action"), F.lit(m).alias("method"))
     return (
         F.when(tool.isin("read", "read_file"), pair("read", "builtin_read"))

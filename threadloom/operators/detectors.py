@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import patterns as P
 from threadloom.functions import text as T
-from threadloom.operators.ordered import CHUNK, frame, with_halo
+from threadloom.operators.evidence import evidence_text, parts_of, trajectory_text
+from threadloom.operators.ordered import CHUNK, frame, running, with_halo
 
 
 def _marked(rows: DataFrame) -> DataFrame:
@@ -67,39 +68,79 @@ def top_findings(findings: DataFrame, rows: DataFrame, per_kind: int = 3) -> Dat
 
 
 def excerpts(findings: DataFrame, rows: DataFrame, before: int = 1, after: int = 2, most: int = 520) -> DataFrame:
-    """The user and assistant texts around a finding, one row per record."""
+    """The user and assistant texts around a finding as evidence, one row per record."""
     near = findings.select("session_id", F.col("i").alias("center"), "kind", F.explode(F.sequence(F.col("i") - before, F.col("i") + after)).alias("i"))
-    return near.join(rows.where("type in ('user', 'assistant') and text <> ''").select("session_id", "i", "type", "text"), ["session_id", "i"]).select(
-        "session_id", "center", "kind", "i", "type", F.substring("text", 1, most).alias("excerpt")
-    )
+    texts = rows.where("type in ('user', 'assistant') and text <> ''").select("session_id", "i", "type", "text").join(near.select("session_id", "i").distinct(), ["session_id", "i"])
+    shown = texts.select("session_id", "i", "type", evidence_text(F.col("text"), most).alias("excerpt"))
+    return near.join(shown, ["session_id", "i"]).select("session_id", "center", "kind", "i", "type", "excerpt")
 
 
 # ---- blockers and their context ---------------------------------------------
 
+_EVENT = "array<struct<part:int,role:string,kind:string,action:string,method:string,summary:string>>"
+
 
 def trajectory(rows: DataFrame) -> DataFrame:
-    """Events of each session in order: texts, tool uses and tool results, numbered from 0 by ``ordinal``."""
-    text = F.when(F.col("text") != "", F.array(F.struct(
-        F.lit(-1).alias("part"), F.concat(F.when(F.col("type").isin("user", "assistant"), F.col("type")).otherwise("system"), F.lit("_text")).alias("kind"),
-        F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("method"), F.col("text").alias("summary"),
-    )))
-    def event(b: Column, k: Column) -> Column:
+    """Events of each session in order, numbered from 0 by ``ordinal``: texts in parts fit to be shown, tool uses and tool results.
+
+    Texts of meta records are left out; a text of which nothing can be shown is
+    one ``content_removed`` event; a session without events has one placeholder;
+    ``model`` is the last one named, before any the agent's default.
+    """
+    prose = F.when(~F.col("is_meta") & F.col("type").isin("user", "assistant", "system") & (F.col("text") != ""), trajectory_text(F.col("text")))
+    cut = rows.withColumn("__prose", prose).withColumn("__parts", F.filter(parts_of(F.col("__prose")), lambda p: T.trajectory_safe(p)))
+    role = F.when(F.col("type").isin("assistant", "system"), F.col("type")).otherwise("user")
+    none = F.lit(None).cast("string")
+
+    def event(part: Column, role: Column, kind: Column, summary: Column, action: Column = none, method: Column = none) -> Column:
+        return F.struct(part.cast("int").alias("part"), role.alias("role"), kind.alias("kind"), action.alias("action"), method.alias("method"), summary.alias("summary"))
+
+    said = F.transform("__parts", lambda p, k: event(k, role, F.concat(role, F.lit("_text")), p))
+    removed = F.array(event(F.lit(0), role, F.lit("content_removed"), F.lit("Message content removed locally")))
+    texts = F.when(F.col("__prose").isNull(), F.array().cast(_EVENT)).when(F.size("__parts") > 0, said).otherwise(removed)
+
+    def of_block(b: Column, k: Column) -> Column:
         s = T.tool_semantics(b["name"], b["input"])
         use = b["type"] == "tool_use"
         result = F.coalesce(T.restriction(b["content"]), F.when(F.coalesce(b["is_error"], F.lit(False)), "error").otherwise("completed"))
-        return F.struct(
-            k.alias("part"), b["type"].alias("kind"), F.when(use, s["action"]).alias("action"), F.when(use, s["method"]).alias("method"),
-            F.when(use, b["name"]).otherwise(result).alias("summary"),
-        )
-    tools = F.filter(F.transform("blocks", event), lambda e: e["kind"].isin("tool_use", "tool_result"))
-    empty = F.array().cast("array<struct<part:int,kind:string,action:string,method:string,summary:string>>")
-    events = F.concat(F.coalesce(text, empty), F.coalesce(tools, empty))
-    each = rows.select("session_id", "i", F.size(events).alias("n"), events.alias("events"))
-    from threadloom.operators.ordered import running
-
-    placed = running(each, sums={"upto": F.col("n").cast("long")})
-    return placed.select("session_id", "i", (F.col("upto") - F.col("n")).alias("base"), F.posexplode("events").alias("k", "e")).select(
-        "session_id", "i", (F.col("base") + F.col("k")).alias("ordinal"), "e.kind", "e.action", "e.method", "e.summary"
+        label = F.concat(F.lit("Tool use: "), T.tool_label(b["name"]), F.coalesce(F.concat(F.lit(" ("), s["action"], F.lit(")")), F.lit("")))
+        return event(k + 1000, F.when(use, "assistant").otherwise("tool"), b["type"], F.when(use, label).otherwise(F.concat(F.lit("Tool result: "), result)), F.when(use, s["action"]), F.when(use, s["method"]))
+
+    tools = F.filter(F.transform("blocks", of_block), lambda e: e["kind"].isin("tool_use", "tool_result"))
+    events = F.concat(texts, F.coalesce(tools, F.array().cast(_EVENT)))
+    named = F.when((F.col("model") != "<synthetic>"), F.col("model"))
+    each = cut.select("session_id", "i", "agent", "ts", named.alias("named"), events.alias("events")).withColumn("n", F.size("events"))
+    placed = running(each, sums={"upto": F.col("n").cast("long")}, lasts={"model": F.col("named")})
+    model = F.coalesce("model", F.when(F.col("agent") == "codex", "Codex model").otherwise("Claude model"))
+    out = placed.select("session_id", "i", "ts", model.alias("model"), (F.col("upto") - F.col("n")).alias("base"), F.posexplode("events").alias("k", "e")).select(
+        "session_id", "i", "ts", "model", (F.col("base") + F.col("k")).alias("ordinal"), "e.role", "e.kind", "e.action", "e.method", "e.summary"
+    )
+    bare = each.groupBy("session_id").agg(F.sum("n").alias("n"), F.min_by("agent", "i").alias("agent")).where("n = 0").select(
+        "session_id", F.lit(None).cast("long").alias("i"), F.lit(None).cast("timestamp").alias("ts"), F.when(F.col("agent") == "codex", "Codex model").otherwise("Claude model").alias("model"), F.lit(0).cast("long").alias("ordinal"),
+        F.lit("system").alias("role"), F.lit("content_removed").alias("kind"), none.alias("action"), none.alias("method"), F.lit("No share-safe trajectory content").alias("summary"),
+    )
+    return out.unionByName(bare)
+
+
+def trajectory_coverage(events: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: trajectories, events and chunks."""
+    return events.agg(F.count_distinct("session_id").alias("trajectories"), F.count("*").alias("events")).crossJoin(chunks.agg(F.count("*").alias("chunks")))
+
+
+def valid_chunks(chunks: DataFrame, events: DataFrame, most: int = 160) -> DataFrame:
+    """(session_id, part_index, valid): whether a chunk may be judged, i.e. numbers in range, events without gap, known kinds and roles, texts fit to be shown."""
+    from threadloom.functions.patterns import ACTIONS, METHODS
+
+    tool = F.col("kind") == "tool_use"
+    ok = (
+        F.col("role").isin("user", "assistant", "system", "tool") & F.col("kind").isin("user_text", "assistant_text", "system_text", "tool_use", "tool_result", "content_removed")
+        & (F.col("action").isNull() | tool & F.col("action").isin(ACTIONS)) & (F.col("method").isNull() | tool & F.col("method").isin(METHODS)) & T.trajectory_safe(F.col("summary"))
+    )
+    got = chunk_events(chunks, events).groupBy("session_id", "part_index").agg(F.count("*").alias("n"), F.min(ok).alias("ok"), F.min("ordinal").alias("lo"), F.max("ordinal").alias("hi"))
+    size = F.col("to_event") - F.col("from_event")
+    return chunks.join(got, ["session_id", "part_index"], "left").select(
+        "session_id", "part_index",
+        F.coalesce(F.col("ok") & F.col("part_index").between(1, F.col("part_count")) & size.between(1, most) & (F.col("n") == size) & (F.col("lo") == F.col("from_event")) & (F.col("hi") == F.col("to_event") - 1), F.lit(False)).alias("valid"),
     )
 
 
@@ -129,7 +170,7 @@ def chunk_events(chunks: DataFrame, events: DataFrame, cell: int = 128) -> DataF
     """The events of each chunk: a range join through cells, so that it stays an equi-join."""
     cells = chunks.withColumn("cell", F.explode(F.expr(f"sequence(from_event div {cell}, (to_event - 1) div {cell})")))
     return cells.join(events.withColumn("cell", F.expr(f"ordinal div {cell}")), ["session_id", "cell"]).where("ordinal >= from_event and ordinal < to_event").select(
-        "session_id", "part_index", "ordinal", "kind", "action", "method", "summary"
+        "session_id", "part_index", "ordinal", "role", "kind", "action", "method", "summary"
     )
 
 

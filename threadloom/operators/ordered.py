@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
+from threadloom.session import materialize
 
 CHUNK = 4096
 _KEY = ["session_id", "chunk"]
@@ -22,8 +23,8 @@ def session_key(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
-def canonical(records: DataFrame, with_blocks: bool = True) -> DataFrame:
-    """Transcript records as ordered rows, one per message.
+def canonical(records: DataFrame, with_blocks: bool = True, in_order: bool = True) -> DataFrame:
+    """Transcript records as rows, one per message, in order unless only sums are asked for.
 
     Rows without a session are left out, of one uuid the row with the least
     rec_id stays (a null uuid is a message of its own); ``i`` numbers a session's
@@ -36,12 +37,12 @@ def canonical(records: DataFrame, with_blocks: bool = True) -> DataFrame:
         session_key(F.col("session_id")).alias("session_id"), "rec_id", "uuid", "agent", F.col("rec_type").alias("type"), "ts",
         F.col("record_index").cast("long").alias("record_index"), F.coalesce("is_meta", F.lit(False)).alias("is_meta"),
         F.coalesce("is_api_error", F.lit(False)).alias("is_api_error"), F.coalesce("is_replay", F.lit(False)).alias("is_replay"),
-        "subtype", F.col("content").alias("sys_content"), F.col("message.model").alias("model"), F.col("message.id").alias("message_id"),
+        "cwd", "subtype", F.col("content").alias("sys_content"), F.col("message.model").alias("model"), F.col("message.id").alias("message_id"),
         F.col("message.usage").alias("usage"), T.visible_text().alias("text"),
     ]
     if with_blocks:
         cols.append(F.col("message.content").alias("blocks"))
-    return ranked(rows.select(*cols))
+    return ranked(rows.select(*cols)) if in_order else rows.select(*cols)
 
 
 def ranked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -90,3 +91,19 @@ def running(rows: DataFrame, sums: dict[str, Column] | None = None, lasts: dict[
     return out.join(carried, _KEY).withColumns(
         {k: F.coalesce(k, F.lit(0)) + F.col(f"__{k}") for k in sums} | {k: F.coalesce(k, f"__{k}") for k in lasts}
     ).drop("chunk", *(f"__{k}" for k in sums | lasts))
+
+
+def cumulative(counts: DataFrame, by: list[str], value: str, n: str = "n") -> DataFrame:
+    """counts(*by, value, n), one row per value -> with ``upto``, the sum of n over the group's values not above it.
+
+    Values are range-partitioned and written; each range is summed by itself and
+    only one row per group and range is carried over, so continuous values need no
+    task that sees them all.
+    """
+    spread = counts.repartitionByRange(*by, value).withColumn("__cell", F.spark_partition_id())
+    spread = materialize(spread, "values")
+    inside = Window.partitionBy(*by, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spread.groupBy(*by, "__cell").agg(F.sum(n).alias("__n")).select(*by, "__cell", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    out = spread.withColumn("upto", F.sum(n).over(inside)).join(carried, [*by, "__cell"])
+    return out.withColumn("upto", F.col("upto") + F.col("__before")).drop("__cell", "__before")

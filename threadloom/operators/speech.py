@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import patterns as P
 from threadloom.functions import text as T
+from threadloom.operators.evidence import aggregate_safe
 from threadloom.operators.ordered import running
 from threadloom.operators.stats import PROMPT, session_tokens, turns
 
@@ -26,13 +27,13 @@ def chunk_language(c: Column) -> Column:
     letters = F.regexp_count(c, F.lit(r"\p{L}"))
     counts = F.array(*(F.regexp_count(c, F.lit(f"[{java}]")) for _, java, _ in P.SCRIPTS))
     script = F.when(c.rlike(r"[^\x00-\x7f]"), _let(counts, lambda n: F.when((F.array_max(n) >= 2) & (F.array_max(n) * 100 >= letters * 15), _first_best([k for k, _, _ in P.SCRIPTS], n))))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{IsLatin}]+"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"\p{IsLatin}+(?:['’]\p{IsLatin}+)*"), F.lit(0)))
 
     def lexicon(w: Column) -> Column:
         scores = F.array(*(F.size(F.array_intersect(w, F.array(*(F.lit(x) for x in v.split())))) for v in P.LEXICONS.values()))
         return F.when(F.size(w) > 0, _let(scores, lambda n: F.when(F.array_max(n) >= 2, _first_best(list(P.LEXICONS), n)).otherwise("English")))
 
-    return F.coalesce(script, _let(words, lexicon))
+    return F.when(letters > 0, F.coalesce(script, _let(words, lexicon)))
 
 
 def language_share(rows: DataFrame, where: str = "type in ('user', 'assistant')") -> DataFrame:
@@ -44,29 +45,46 @@ def language_share(rows: DataFrame, where: str = "type in ('user', 'assistant')"
     return n.withColumn("percent", F.floor(F.col("words") * 1000 / F.sum("words").over(Window.partitionBy()) + 0.5) / 10)
 
 
+#: Words of a script as a pattern can tell them: runs of letters that hold one of it; without spaces so many characters make one.
+_UNSPACED = {"Japanese": 3, "Chinese": 2, "Thai": 4}
+
+
+def script_words(name: str, letters: str) -> str:
+    """A pattern that matches each word of a script; ``letters`` is the script as the engine names it."""
+    return f"[{letters}]{{1,{_UNSPACED[name]}}}" if name in _UNSPACED else rf"[\p{{L}}\p{{M}}\p{{N}}]*[{letters}][\p{{L}}\p{{M}}\p{{N}}]*"
+
+
 def language_anomaly(rows: DataFrame) -> DataFrame:
     """Words of foreign scripts in agents' answers that neither the session's language nor the prompt explains.
 
     (language, words, occurrences) over all responses; a script counts with two
-    letters or more per response.
+    words or more per response; Chinese doesn't where kana stand; a session's
+    language is that of all its answers together.
     """
     t = turns(rows.select("session_id", "i", "type", "is_meta", "text"))
-    prose = t.withColumn("p", T.analysis_prose(F.col("text")))
-    counts = {name: F.regexp_count("p", F.lit(f"[{java}]")) for name, java, _ in P.SCRIPTS}
+    prose = t.where(f"type = 'assistant' or {PROMPT}").select("session_id", "turn", "type", T.analysis_prose(F.col("text")).alias("p")).withColumn("wide", F.col("p").rlike(r"[^\x00-\x7f]"))
+    said, asked = F.col("type") == "assistant", F.col("type") == "user"
+    word = {k: F.regexp_count("p", F.lit(script_words(k, java))) for k, java, _ in P.SCRIPTS}
+    letter = {k: F.regexp_count("p", F.lit(f"[{java}]")) for k, java, _ in P.SCRIPTS}
+    latin = F.array_distinct(F.regexp_extract_all(F.lower("p"), F.lit(r"\p{IsLatin}+(?:['’]\p{IsLatin}+)*"), F.lit(0)))
+    known = F.array_intersect(latin, F.array(*(F.lit(w) for w in sorted({w for v in P.LEXICONS.values() for w in v.split()}))))
     per = prose.groupBy("session_id", "turn").agg(
-        *(F.sum(F.when(F.col("type") == "assistant", c).otherwise(0)).alias(f"a_{k}") for k, c in counts.items()),
-        *(F.sum(F.when(F.expr(PROMPT), c).otherwise(0)).alias(f"u_{k}") for k, c in counts.items()),
-        F.sum(F.when(F.col("type") == "assistant", F.regexp_count("p", F.lit(r"\p{IsLatin}"))).otherwise(0)).alias("a_Latin"),
+        *(F.sum(F.when(said & F.col("wide"), c).otherwise(0)).alias(f"w_{k}") for k, c in word.items()), *(F.sum(F.when(said & F.col("wide"), c).otherwise(0)).alias(f"s_{k}") for k, c in letter.items()),
+        *(F.max(F.when(asked & F.col("wide"), F.col("p").rlike(f"[{java}]")).otherwise(F.lit(False))).alias(f"u_{k}") for k, java, _ in P.SCRIPTS),
+        F.sum(F.when(said, F.regexp_count("p", F.lit(r"\p{L}"))).otherwise(0)).alias("letters"), F.max(said & F.col("p").rlike(r"\p{IsLatin}")).alias("latin"),
+        # Only words of the lexicons are kept, so the sets are bounded by them.
+        F.array_distinct(F.flatten(F.collect_set(F.when(said, known)))).alias("known"),
+    )
+    main = per.groupBy("session_id").agg(
+        *(F.sum(f"s_{k}").alias(f"s_{k}") for k in letter), F.sum("letters").alias("letters"), F.max("latin").alias("latin"), F.array_distinct(F.flatten(F.collect_set("known"))).alias("known")
     )
-    names = [k for k in counts] + ["Latin"]
-    main = per.groupBy("session_id").agg(*(F.sum(f"a_{k}").alias(f"s_{k}") for k in names))
-    most = F.greatest(*(F.col(f"s_{k}") for k in names))
-    dominant = F.lit(None).cast("string")
-    for k in reversed(names):
-        dominant = F.when(F.col(f"s_{k}") == most, k).otherwise(dominant)
-    j = per.join(main.select("session_id", dominant.alias("dominant")), "session_id")
-    each = j.select("dominant", F.inline(F.array(*(F.struct(F.lit(k).alias("language"), F.col(f"a_{k}").alias("words"), F.col(f"u_{k}").alias("asked")) for k in counts))), F.col("a_Japanese").alias("kana"))
-    bad = each.where((F.col("words") >= 2) & (F.col("asked") == 0) & (F.col("language") != F.col("dominant")) & ~((F.col("language") == "Chinese") & (F.col("kana") > 0)))
+    most = F.greatest(*(F.col(f"s_{k}") for k in letter))
+    script = F.coalesce(*(F.when((F.col(f"s_{k}") == most) & (most >= 2) & (most * 100 >= F.col("letters") * 15), k) for k in letter))
+    score = F.array(*(F.size(F.array_intersect("known", F.array(*(F.lit(x) for x in v.split())))) for v in P.LEXICONS.values()))
+    lexicon = F.when(F.col("latin"), _let(score, lambda n: F.when(F.array_max(n) >= 2, _first_best(list(P.LEXICONS), n)).otherwise("English")))
+    j = per.join(main.where("letters > 0").select("session_id", F.coalesce(script, lexicon).alias("dominant")), "session_id").where("dominant is not null")
+    each = j.select("dominant", F.inline(F.array(*(F.struct(F.lit(k).alias("language"), F.col(f"w_{k}").alias("words"), F.col(f"u_{k}").alias("asked")) for k in word))), F.col("s_Japanese").alias("kana"))
+    bad = each.where((F.col("words") >= 2) & ~F.col("asked") & (F.col("language") != F.col("dominant")) & ~((F.col("language") == "Chinese") & (F.col("kana") > 0)))
     return bad.groupBy("language").agg(F.sum("words").alias("words"), F.count("*").alias("occurrences"))
 
 
@@ -97,14 +115,33 @@ def topic_share(rows: DataFrame) -> DataFrame:
     return n.withColumn("percent", F.floor(F.col("prompts") * 1000 / F.sum("prompts").over(Window.partitionBy()) + 0.5) / 10)
 
 
-def topic_openings(rows: DataFrame, per_session: int = 3, most_sessions: int = 250) -> DataFrame:
-    """The first safe openings of each session, sessions by latest start."""
-    p = rows.where(PROMPT).select("session_id", "i", T.ellipsis(T.tone_prose(F.col("text")), 180).alias("opening"))
-    p = p.where(T.share_safe(F.col("opening"), 2, 180))
-    p = p.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("i"))).where(F.col("n") <= per_session)
+def topic_openings(rows: DataFrame, per_session: int = 3) -> DataFrame:
+    """The first safe openings of each session: (session_id, n, opening)."""
+    text = T.one_space(aggregate_safe(T.tone_prose(F.col("text"))))
+    p = rows.where(PROMPT).select("session_id", "i", text.alias("text")).where(~F.col("text").rlike(r"(?i)\[(?:REDACTED|REMOVED)[^\]]*\]"))
+    p = p.select("session_id", "i", T.ellipsis(F.col("text"), 180).alias("opening")).where(T.share_safe(F.col("opening"), 2, 180))
+    return p.withColumn("n", F.row_number().over(Window.partitionBy("session_id").orderBy("i"))).where(F.col("n") <= per_session).select("session_id", "n", "opening")
+
+
+def topic_bundle(rows: DataFrame, most: int = 250) -> DataFrame:
+    """Every session with its tokens and standing: one of the first ``most`` candidates (by latest start), overflow, or without an opening.
+
+    (session_id, standing, place, tokens): a judge gets the candidates, the tokens of the others stay unclassified.
+    """
     starts = rows.groupBy("session_id").agg(F.min("ts").alias("started_at"))
-    chosen = starts.join(p.select("session_id").distinct(), "session_id").orderBy(F.col("started_at").desc_nulls_last(), "session_id").limit(most_sessions).select("session_id")
-    return p.join(chosen, "session_id", "left_semi").select("session_id", "n", "opening")
+    told = topic_openings(rows, 1).select("session_id", F.lit(True).alias("told"))
+    s = session_tokens(rows).join(starts, "session_id").join(told, "session_id", "left")
+    order = [F.col("started_at").desc_nulls_last(), F.col("session_id")]
+    chosen = s.where("told").orderBy(*order).limit(most).select("session_id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+    return s.join(chosen, "session_id", "left").select(
+        "session_id", F.when(F.col("place").isNotNull(), "candidate").when(F.col("told"), "overflow").otherwise("no opening").alias("standing"), "place", "tokens"
+    )
+
+
+def apply_topics(local: DataFrame, judged: DataFrame) -> DataFrame:
+    """The judged topics if there are any, else the local ones; both (topic, tokens, percent)."""
+    some = judged.agg((F.count("*") > 0).alias("some"))
+    return judged.unionByName(local.crossJoin(some).where("not some").drop("some"))
 
 
 def topic_weights(rows: DataFrame, verdicts: DataFrame, least: float = 0.65) -> DataFrame:
@@ -137,12 +174,22 @@ def _priority(text: Column, words: Column, n: Column) -> Column:
     return score + F.when(text.rlike("[!?]{2,}"), 3).otherwise(0) + F.when(words <= 40, 2).otherwise(0) + F.least(F.lit(3), n)
 
 
+#: Sentences as far as their ends tell, and marks of redaction (as a string of SQL).
+SENTENCE = r"[^.!?。！？]+[.!?。！？]*"
+_MARKED = r"\\[(?:REDACTED|REMOVED)[^\\]]*\\]"
+
+
 def tone_candidates(rows: DataFrame, most: int = 120) -> DataFrame:
     """Distinct user messages worth a look at their tone, by priority: (rank, text, occurrences)."""
-    m = rows.where("type = 'user' and not is_meta").select("rec_id", T.ellipsis(T.tone_prose(F.col("text")), 240).alias("text"))
+    text = T.one_space(aggregate_safe(T.tone_prose(F.col("text"))))
+    m = rows.where("type = 'user' and not is_meta").select("rec_id", text.alias("text")).where(f"text <> '' and not text rlike '(?i){_MARKED}'")
+    # The first sentence with a word of tone, else the first one.
+    parts = F.filter(F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda p: F.trim(p)), lambda p: p != "")
+    first = F.coalesce(F.try_element_at(F.filter(parts, lambda p: T.matches(p, P.TONE)), F.lit(1)), F.try_element_at(parts, F.lit(1)), F.col("text"))
+    m = m.select("rec_id", T.ellipsis(first, 240).alias("text"))
     m = m.where(T.share_safe(F.col("text"), 2, 240, 32)).withColumn("words", F.regexp_count("text", F.lit(r"\p{L}+")))
     m = m.where(T.matches(F.col("text"), P.TONE) | (F.col("words") <= 40) | F.col("text").rlike("[!?]{2,}"))
-    g = m.groupBy(F.lower("text").alias("key")).agg(F.min_by("text", "rec_id").alias("text"), F.min_by("words", "rec_id").alias("words"), F.count("*").alias("occurrences"), F.min("rec_id").alias("first_seen"))
+    g = m.groupBy(F.lower(T.nfkc(F.col("text"))).alias("key")).agg(F.min_by("text", "rec_id").alias("text"), F.min_by("words", "rec_id").alias("words"), F.count("*").alias("occurrences"), F.min("rec_id").alias("first_seen"))
     g = g.withColumn("priority", _priority(F.col("text"), F.col("words"), F.col("occurrences")))
     top = g.orderBy(F.desc("priority"), F.desc("occurrences"), "first_seen").limit(most)
     rank = F.row_number().over(Window.orderBy(F.desc("priority"), F.desc("occurrences"), "first_seen"))
@@ -174,13 +221,34 @@ def tone_result(candidates: DataFrame, verdicts: DataFrame, least: float = 0.75)
     )
 
 
+def exact_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The verdicts(rank, frustrated, grateful, ...) if each candidate is judged exactly once and both flags are given; else none."""
+    judged = verdicts.groupBy("rank").agg(F.count("*").alias("n"), F.max(F.col("frustrated").isNull() | F.col("grateful").isNull()).alias("open"))
+    bad = candidates.select("rank", F.lit(1).alias("c")).join(judged, "rank", "full").agg(F.count_if(F.col("n").isNull() | F.col("c").isNull() | (F.col("n") > 1) | F.col("open")).alias("bad"))
+    return verdicts.crossJoin(bad).where("bad = 0").drop("bad")
+
+
+def funniest(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row at most: the first candidate that a verdict of any batch calls frustrated, as (rank, text)."""
+    flagged = verdicts.where("frustrated").select("rank").distinct()
+    return candidates.join(flagged, "rank", "left_semi").orderBy("rank").limit(1).select("rank", "text")
+
+
+def apply_tone(local: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row: the local count of messages looked at, frustrated and grateful ones as judged where something was, else noughts and no confidence."""
+    j = judged.select(F.col("frustrated").alias("j_frustrated"), F.col("grateful").alias("j_grateful"), "candidate_messages", "confidence")
+    return local.select("analyzed").join(j, F.lit(True), "left").select(
+        "analyzed", F.coalesce("j_frustrated", F.lit(0)).alias("frustrated"), F.coalesce("j_grateful", F.lit(0)).alias("grateful"), F.coalesce("candidate_messages", F.lit(0)).alias("candidate_messages"), "confidence"
+    )
+
+
 def frustration_quotes(rows: DataFrame, most: int = 40) -> DataFrame:
     """Distinct short quotes of frustrated users, the liveliest first."""
     m = rows.where("type = 'user' and not is_meta").where(T.is_frustrated(F.col("text")))
-    prose = T.tone_prose(F.col("text"), tags=False)
-    parts = F.transform(F.regexp_extract_all(prose, F.lit(r"[^.!?。！？]+[.!?。！？]*"), F.lit(0)), F.trim)
+    m = m.select("rec_id", T.one_space(aggregate_safe(T.tone_prose(F.col("text"), tags=False))).alias("text")).where(f"text <> '' and not text rlike '(?i){_MARKED}'")
+    parts = F.filter(F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda p: F.trim(p)), lambda p: p != "")
     first = F.try_element_at(F.filter(parts, T.is_frustrated), F.lit(1))
-    q = m.select("rec_id", T.ellipsis(F.coalesce(first, prose), 150).alias("quote")).where(T.share_safe(F.col("quote"), 6, 150, 32))
+    q = m.select("rec_id", T.ellipsis(F.coalesce(first, F.col("text")), 150).alias("quote")).where(T.share_safe(F.col("quote"), 6, 150, 32))
     q = q.groupBy("quote").agg(F.min("rec_id").alias("first_seen"))
     t = F.col("quote")
     score = (

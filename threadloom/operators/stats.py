@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import patterns as P
 from threadloom.functions import text as T
-from threadloom.operators.ordered import running
+from threadloom.operators.ordered import cumulative, running
 
 PROMPT = "type = 'user' and not is_meta and text <> ''"
 TOKENS = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"]
@@ -78,10 +78,26 @@ def session_turn_counts(rows: DataFrame) -> DataFrame:
     return rows.where(PROMPT).groupBy("session_id").agg(F.count("*").alias("turns")).groupBy("turns").agg(F.count("*").alias("n_sessions"))
 
 
+def turn_counts(rows: DataFrame) -> DataFrame:
+    """(place, turns): the prompts of each session with any, ascending, numbered from 1, with the longest in ``longest``."""
+    each = rows.where(PROMPT).groupBy("session_id").agg(F.count("*").alias("turns"))
+    n = each.groupBy("turns").agg(F.count("*").alias("n"))
+    upto = cumulative(n, [], "turns")
+    out = upto.select("turns", F.explode(F.expr("sequence(upto - n + 1, upto)")).alias("place"))
+    return out.crossJoin(n.agg(F.coalesce(F.max("turns"), F.lit(0)).alias("longest")))
+
+
+def judge_usage(usages: DataFrame) -> DataFrame:
+    """One row: what judges used, summed; null where no answer told."""
+    cols = ("prompt_tokens", "completion_tokens", "total_tokens", "cost")
+    told = F.count_if(F.greatest(*(F.col(c).isNotNull().cast("int") for c in cols)) == 1) > 0
+    return usages.agg(*(F.when(told, F.coalesce(F.sum(c), F.lit(0))).alias(c) for c in cols))
+
+
 def tool_calls(rows: DataFrame) -> DataFrame:
-    """One row per tool use: session, position, block, name and arguments."""
-    return rows.select("session_id", "i", "rec_id", F.posexplode("blocks").alias("block_no", "b")).where("b.type = 'tool_use'").select(
-        "session_id", "i", "rec_id", "block_no", F.coalesce("b.name", F.lit("Unknown tool")).alias("tool"), F.col("b.input").alias("arguments"), F.col("b.id").alias("call_id")
+    """One row per tool use: session, record, block, name and arguments."""
+    return rows.select("session_id", "rec_id", F.posexplode("blocks").alias("block_no", "b")).where("b.type = 'tool_use'").select(
+        "session_id", "rec_id", "block_no", F.coalesce("b.name", F.lit("Unknown tool")).alias("tool"), F.col("b.input").alias("arguments"), F.col("b.id").alias("call_id")
     )
 
 
@@ -122,6 +138,11 @@ def weighted_cost(rows: DataFrame, rates: DataFrame) -> DataFrame:
     return best.select("model", F.round(cost / 1e6, 4).alias("cost"))
 
 
+def total_cost(by_model: DataFrame) -> DataFrame:
+    """One row: the cost of all models, to the cent."""
+    return by_model.agg(F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 2).alias("cost"))
+
+
 def agent_share(sessions: DataFrame) -> DataFrame:
     """Sessions by agent, all agents present, with their share."""
     spark = sessions.sparkSession
@@ -173,11 +194,41 @@ def model_totals(rows: DataFrame, most: int = 50) -> DataFrame:
 def file_metadata(rows: DataFrame) -> DataFrame:
     """Per session: first and last time in file order, prompts and records (the catalogue counts prompts without text)."""
     return rows.groupBy("session_id").agg(
-        F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("i"))).alias("started_at"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("i"))).alias("ended_at"),
+        F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("i"))).alias("cwd"), F.min_by("ts", F.when(F.col("ts").isNotNull(), F.col("i"))).alias("started_at"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("i"))).alias("ended_at"),
         F.count_if((F.col("type") == "user") & ~F.col("is_meta")).alias("prompt_count"), F.count("*").alias("record_count"),
     )
 
 
+def catalogue(rows: DataFrame, files: DataFrame, side: DataFrame | None = None) -> DataFrame:
+    """One row per session of files(session_id, file, agent, size_bytes, modified_at): the catalogue of what can be analysed.
+
+    Times a file lacks are those of its last change; of sessions with a side file
+    side(session_id, created_at, last_activity_at) its times come first.
+    """
+    m = files.join(file_metadata(rows), "session_id", "left")
+    started, ended = F.col("started_at"), F.col("ended_at")
+    if side is not None:
+        m = m.join(side.select("session_id", "created_at", "last_activity_at"), "session_id", "left")
+        started, ended = F.coalesce("created_at", "started_at"), F.coalesce("last_activity_at", "ended_at")
+    folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
+    own = F.col("agent") == "cowork"
+    key = F.when(own, F.concat(F.lit("cowork:"), F.regexp_extract(folder, "^(.*)/[^/]*$", 1))).otherwise(F.coalesce("cwd", F.concat_ws(":", "agent", folder)))
+    name = F.when(own, "Cowork").otherwise(T.project_name(F.coalesce("cwd", F.regexp_replace(folder, "^.*[/-]", ""))))
+    return m.select(
+        "session_id", "file", "agent", T.agent_name(F.col("agent")).alias("agent_name"), T.opaque_id(key).alias("project_id"), name.alias("project_name"),
+        F.coalesce(started, "modified_at").alias("started_at"), F.coalesce(ended, "modified_at").alias("ended_at"), F.coalesce("prompt_count", F.lit(0)).alias("prompt_count"),
+        F.coalesce("record_count", F.lit(0)).alias("record_count"), "size_bytes", F.lit(False).alias("synthetic"),
+    )
+
+
+def selected(sessions: DataFrame, projects: list[str] | None = None, first=None, last=None) -> DataFrame:
+    """Sessions of some projects and days, as far as either is asked for."""
+    out = sessions if projects is None else sessions.where(F.col("project_id").isin(projects))
+    day = F.to_date("started_at")
+    out = out if first is None else out.where(day >= F.lit(first).cast("date"))
+    return out if last is None else out.where(day <= F.lit(last).cast("date"))
+
+
 def default_window(sessions: DataFrame, days: int = 30) -> DataFrame:
     """Sessions that started within ``days`` days up to the latest start, both ends included."""
     end = sessions.agg(F.max(F.to_date("started_at")).alias("last_day"))

@@ -11,7 +11,7 @@ from threadloom.functions import text as T
 from threadloom.operators import cohort, detectors, drift, evidence, normalize, phrases, redaction, speech, stats
 from threadloom.operators.ordered import canonical, ranked, running
 from threadloom.plans.oracle import SQL  # noqa: F401
-from threadloom.session import read_table
+from threadloom.session import materialize, read_table
 from threadloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def _rows(spark: SparkSession, d: str) -> DataFrame:
     return canonical(read_table(spark, d, "records"))
 
 
+def _plain(spark: SparkSession, d: str) -> DataFrame:
+    """The same rows without their order, for what only sums up."""
+    return canonical(read_table(spark, d, "records"), in_order=False)
+
+
 def _codex_lines(spark: SparkSession, d: str) -> DataFrame:
     files = read_table(spark, d, "raw_files").where("agent = 'codex'").select("file_id")
     return read_table(spark, d, "raw_lines").join(files, "file_id", "left_semi").select(F.col("file_id").cast("string").alias("session_id"), "line_no", "raw")
@@ -61,7 +66,7 @@ def turn_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def report_totals(spark: SparkSession, d: str) -> DataFrame:
-    return stats.report_totals(_rows(spark, d), read_table(spark, d, "sessions"))
+    return stats.report_totals(_plain(spark, d), read_table(spark, d, "sessions"))
 
 
 @query
@@ -71,39 +76,39 @@ def word_averages(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def active_days_duration(spark: SparkSession, d: str) -> DataFrame:
-    return stats.active_days(_rows(spark, d))
+    return stats.active_days(_plain(spark, d))
 
 
 @query
 def session_turn_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stats.session_turn_counts(_rows(spark, d))
+    return stats.session_turn_counts(_plain(spark, d))
 
 
 @query
 def top_tools(spark: SparkSession, d: str) -> DataFrame:
-    return stats.top_tools(_rows(spark, d))
+    return stats.top_tools(_plain(spark, d))
 
 
 @query
 def tool_action_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stats.tool_action_counts(_rows(spark, d))
+    return stats.tool_action_counts(_plain(spark, d))
 
 
 @query
 def usage_share(spark: SparkSession, d: str) -> DataFrame:
-    return stats.usage_share(_rows(spark, d))
+    return stats.usage_share(_plain(spark, d))
 
 
 @query
 def usage_totals(spark: SparkSession, d: str) -> DataFrame:
-    return stats.usage_totals(_rows(spark, d))
+    return stats.usage_totals(_plain(spark, d))
 
 
 @query
 def weighted_cost(spark: SparkSession, d: str) -> DataFrame:
     """Cost with example rates; the table of rates is the caller's."""
     rates = spark.createDataFrame([("opus", 1, 4.0, 8.0, 2.0, 1.0), ("gpt", 2, 2.0, 4.0, 1.0, 0.5), ("", 9, 1.0, 2.0, 0.5, 0.25)], "pattern string, priority int, input double, output double, cache_write double, cache_read double")
-    return stats.weighted_cost(_rows(spark, d), rates)
+    return stats.weighted_cost(_plain(spark, d), rates)
 
 
 @query
@@ -113,12 +118,12 @@ def agent_share(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tone_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stats.tone_counts(_rows(spark, d))
+    return stats.tone_counts(_plain(spark, d))
 
 
 @query
 def stock_phrase_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stats.stock_phrases(_rows(spark, d))
+    return stats.stock_phrases(_plain(spark, d))
 
 
 @query
@@ -128,12 +133,12 @@ def project_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def session_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return stats.session_tokens(_rows(spark, d))
+    return stats.session_tokens(_plain(spark, d))
 
 
 @query
 def model_totals_top50(spark: SparkSession, d: str) -> DataFrame:
-    return stats.model_totals(_rows(spark, d))
+    return stats.model_totals(_plain(spark, d))
 
 
 @query
@@ -162,7 +167,7 @@ def project_names(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def language_share(spark: SparkSession, d: str) -> DataFrame:
-    return speech.language_share(_rows(spark, d))
+    return speech.language_share(_plain(spark, d))
 
 
 @query
@@ -185,6 +190,12 @@ def topic_topk_openings(spark: SparkSession, d: str) -> DataFrame:
     return speech.topic_openings(_rows(spark, d))
 
 
+@query
+def topic_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions and tokens by what a judge of topics gets: its candidates, overflow, sessions without an opening."""
+    return speech.topic_bundle(_rows(spark, d)).groupBy("standing").agg(F.count("*").alias("sessions"), F.sum("tokens").alias("tokens"))
+
+
 @query
 def topic_weighted_share(spark: SparkSession, d: str) -> DataFrame:
     r = _rows(spark, d)
@@ -193,23 +204,23 @@ def topic_weighted_share(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tone_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return speech.tone_candidates(_rows(spark, d))
+    return speech.tone_candidates(_plain(spark, d))
 
 
 @query
 def tone_batches(spark: SparkSession, d: str) -> DataFrame:
-    return speech.tone_batches(speech.tone_candidates(_rows(spark, d)))
+    return speech.tone_batches(speech.tone_candidates(_plain(spark, d)))
 
 
 @query
 def judge_weighted_confidence(spark: SparkSession, d: str) -> DataFrame:
-    c = speech.tone_candidates(_rows(spark, d))
+    c = speech.tone_candidates(_plain(spark, d))
     return speech.tone_result(c, speech.keyword_tones(c))
 
 
 @query
 def frustration_quotes(spark: SparkSession, d: str) -> DataFrame:
-    return speech.frustration_quotes(_rows(spark, d))
+    return speech.frustration_quotes(_plain(spark, d))
 
 
 @query
@@ -240,7 +251,7 @@ def finding_excerpts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def trajectory_events(spark: SparkSession, d: str) -> DataFrame:
-    return detectors.trajectory(_rows(spark, d)).select("session_id", "ordinal", "kind", "action", "method")
+    return detectors.trajectory(_rows(spark, d)).select("session_id", "ordinal", "role", "kind", "action", "method", "model")
 
 
 @query
@@ -249,38 +260,61 @@ def blocker_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _blocked(spark: SparkSession, d: str) -> DataFrame:
-    """Trajectories in which every tool error stands for a blocker."""
-    e = detectors.trajectory(_rows(spark, d))
-    return e.withColumn("summary", F.when((F.col("kind") == "tool_result") & (F.col("summary") == "error"), "permission denied").otherwise(F.col("summary")))
+    """Trajectories of transcripts whose failed tools say what blocked them; the test tables' failures name no reason, so one is written into them."""
+    said = F.transform("blocks", lambda b: b.withField("content", F.when((b["type"] == "tool_result") & F.coalesce(b["is_error"], F.lit(False)), "permission denied").otherwise(b["content"])))
+    return detectors.trajectory(_rows(spark, d).withColumn("blocks", said))
 
 
 @query
 def window_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return detectors.window_chunks(detectors.blocker_windows(_blocked(spark, d)), 20, 4)
+    return detectors.window_chunks(detectors.blocker_windows(_blocked(spark, d)))
 
 
 @query
 def chunk_events(spark: SparkSession, d: str) -> DataFrame:
-    e = _blocked(spark, d)
-    c = detectors.window_chunks(detectors.blocker_windows(e), 20, 4)
-    return detectors.chunk_events(c, e).select("session_id", "part_index", "ordinal", "kind")
+    e = materialize(_blocked(spark, d), "events")
+    return detectors.chunk_events(detectors.window_chunks(detectors.blocker_windows(e)), e).select("session_id", "part_index", "ordinal", "kind")
 
 
 @query
 def batch_greedy(spark: SparkSession, d: str) -> DataFrame:
-    e = _blocked(spark, d)
-    return detectors.batches(detectors.window_chunks(detectors.blocker_windows(e), 20, 4), e, 3, 4000)
+    e = materialize(_blocked(spark, d), "events")
+    return detectors.batches(detectors.window_chunks(detectors.blocker_windows(e)), e)
 
 
 @query
-def workaround_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    e = detectors.trajectory(_rows(spark, d))
+def chunk_checks(spark: SparkSession, d: str) -> DataFrame:
+    """How many chunks may go to a judge."""
+    e = materialize(_blocked(spark, d), "events")
+    c = detectors.window_chunks(detectors.blocker_windows(e))
+    return detectors.valid_chunks(c, e).groupBy("valid").agg(F.count("*").alias("chunks"))
+
+
+@query
+def trajectory_coverage(spark: SparkSession, d: str) -> DataFrame:
+    e = materialize(_blocked(spark, d), "events")
+    return detectors.trajectory_coverage(e, detectors.window_chunks(detectors.blocker_windows(e)))
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    e = materialize(_blocked(spark, d), "events")
     return evidence.resolve(evidence.nearest_verdicts(e), e)
 
 
+@query
+def workaround_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _verdicts(spark, d).select("session_id", "blocker", "original", "alternative", "standing", "disclosure", "summary", "model")
+
+
+@query
+def workaround_card(spark: SparkSession, d: str) -> DataFrame:
+    c = evidence.workaround_card(materialize(_verdicts(spark, d), "verdicts"))
+    return c.select("count", "example", F.to_json("models").alias("models"))
+
+
 @query
 def judge_coverage(spark: SparkSession, d: str) -> DataFrame:
-    c = speech.tone_candidates(_rows(spark, d))
+    c = speech.tone_candidates(_plain(spark, d))
     return evidence.coverage(c, speech.keyword_tones(c), "rank")
 
 
@@ -292,7 +326,7 @@ def evidence_preview(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def evidence_texts(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", F.length(evidence.evidence_text(F.col("text"))).alias("n_chars"))
+    return read_table(spark, d, "documents").select("doc_id", evidence.evidence_text(F.col("text")).alias("excerpt"))
 
 
 @query
@@ -314,7 +348,7 @@ def number_formats(spark: SparkSession, d: str) -> DataFrame:
 @query
 def public_report(spark: SparkSession, d: str) -> DataFrame:
     """Model shares as they may be published: bounded, displayable ones, largest first."""
-    u = stats.usage_share(_rows(spark, d))
+    u = stats.usage_share(_plain(spark, d))
     out = u.select(evidence.bounded_text(F.col("model"), 80).alias("model"), evidence.bounded_number(F.col("percent"), 100).alias("percent"))
     return evidence.guard(out.where(evidence.displayable(F.col("percent"))), "model")
 
@@ -324,23 +358,29 @@ def public_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ngram_miner(spark: SparkSession, d: str) -> DataFrame:
-    return phrases.ngram_miner(_rows(spark, d))
+    return phrases.ngram_miner(_plain(spark, d))
 
 
 @query
 def phrase_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return phrases.phrase_candidates(_rows(spark, d))
+    return phrases.phrase_candidates(_plain(spark, d))
 
 
 @query
 def phrase_suppressed(spark: SparkSession, d: str) -> DataFrame:
-    return phrases.suppressed(phrases.phrase_candidates(_rows(spark, d)))
+    return phrases.suppressed(phrases.phrase_candidates(_plain(spark, d)))
 
 
 @query
 def phrase_card(spark: SparkSession, d: str) -> DataFrame:
     """The favourite phrase: the best ranked candidate."""
-    return phrases.phrase_candidates(_rows(spark, d)).orderBy(F.desc("sessions"), F.desc("occurrences"), F.desc("n"), "phrase").limit(1)
+    return phrases.phrase_candidates(_plain(spark, d)).orderBy(F.desc("sessions"), F.desc("occurrences"), F.desc("n"), "phrase").limit(1)
+
+
+@query
+def ngram_suppressed(spark: SparkSession, d: str) -> DataFrame:
+    """The commonest n-grams without nested ones about as frequent."""
+    return phrases.suppressed(phrases.ngram_rows(_plain(spark, d)), 50, order=("occurrences", "sessions", "n"))
 
 
 @query
@@ -361,8 +401,14 @@ def family_components(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def neardup_families(spark: SparkSession, d: str) -> DataFrame:
-    v = phrases.variants(_rows(spark, d))
-    return phrases.families(v, phrases.similar_pairs(v))
+    counted = phrases.by_session(phrases.family_units(_rows(spark, d)))
+    v = materialize(phrases.variants_of(counted), "variants")
+    return phrases.families(counted, phrases.similar_pairs(v))
+
+
+@query
+def family_counters(spark: SparkSession, d: str) -> DataFrame:
+    return phrases.mining_counters(_rows(spark, d))
 
 
 # ---- redaction and donation --------------------------------------------------
@@ -370,7 +416,7 @@ def neardup_families(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def redact_patterns(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "documents").select("doc_id", redaction.redact_patterns(F.col("text")).alias("redacted"))
+    return read_table(spark, d, "documents").select("doc_id", redaction.redact_full(F.col("text")).alias("redacted"))
 
 
 @query
@@ -380,7 +426,7 @@ def redact_presets(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def redaction_inventory(spark: SparkSession, d: str) -> DataFrame:
-    return redaction.inventory(redaction.redact_rows(_rows(spark, d).select("rec_id", "text"), "rec_id", "text", heuristic=False), "rec_id")
+    return redaction.inventory(redaction.redact_rows(_plain(spark, d).select("rec_id", "text"), "rec_id", "text", heuristic=False), "rec_id")
 
 
 @query
@@ -409,8 +455,15 @@ def good_human_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def session_lengths_unnest(spark: SparkSession, d: str) -> DataFrame:
-    n = stats.session_turn_counts(_rows(spark, d)).agg(F.to_json(F.sort_array(F.collect_list("turns"))).alias("stored"))
-    return n.select(F.posexplode(cohort.session_lengths(F.col("stored"))).alias("place", "turns"))
+    """The stored prompts per session of every participant, projects standing for participants."""
+    turns = _plain(spark, d).where(stats.PROMPT).groupBy("session_id").agg(F.count("*").alias("turns"))
+    owned = turns.join(read_table(spark, d, "sessions").select("session_id", F.coalesce("project_id", F.lit("none")).alias("participant")), "session_id")
+    return cohort.stored_lengths(owned, "participant").select("participant", F.posexplode(cohort.session_lengths(F.col("stored"))).alias("place", "turns"))
+
+
+@query
+def turn_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stats.turn_counts(_plain(spark, d))
 
 
 @query
@@ -420,19 +473,43 @@ def cohort_latest_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def opt_out_anti(spark: SparkSession, d: str) -> DataFrame:
-    gone = read_table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers but those who opted out, for whom those with an open order stand."""
+    gone = read_table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
     return cohort.without(read_table(spark, d, "customer"), gone, "c_custkey").select("c_custkey", "c_mktsegment")
 
 
 @query
 def phrase_wall_last_n(spark: SparkSession, d: str) -> DataFrame:
-    return cohort.last_reversed(read_table(spark, d, "orders").where("o_orderstatus is not null").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    """The newest phrases fit for a card, out of the documents' lines of plain words."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), r"[^a-z' ]+")).alias("line", "phrase"))
+    p = docs.select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("at"), F.trim("phrase").alias("phrase"))
+    return cohort.card_phrases(p, "phrase", "at")
+
+
+@query
+def public_slides(spark: SparkSession, d: str) -> DataFrame:
+    """The topics a slide shows."""
+    return cohort.slides(speech.topic_share(_rows(spark, d)), "topic", 5).select("rank", "topic", "percent")
+
+
+@query
+def demo_cohort(spark: SparkSession, d: str) -> DataFrame:
+    return cohort.demo_cohort(spark).select("participant_id", "tokens", "word_ratio", "good_human_score", "instrumental_workarounds", F.size("session_turn_counts").alias("sessions"))
+
+
+@query
+def relationship_points(spark: SparkSession, d: str) -> DataFrame:
+    """Ratio and score of every user with either kind of event, users standing for participants."""
+    e = read_table(spark, d, "events").groupBy(F.col("user_id").alias("participant_id")).agg(
+        F.count_if(F.col("event_type") == "purchase").alias("grateful_messages"), F.count_if(F.col("event_type") == "error").alias("frustrated_messages"), F.round(F.avg("value"), 2).alias("word_ratio")
+    )
+    return cohort.relationship(e)
 
 
 @query
 def leaderboard_aggregate(spark: SparkSession, d: str) -> DataFrame:
     r = _rows(spark, d)
-    return cohort.aggregate_row(stats.report_totals(r, read_table(spark, d, "sessions")), stats.tone_counts(r), stats.word_averages(r), phrases.phrase_candidates(r)).where(cohort.valid_aggregate())
+    return cohort.aggregate_row(stats.report_totals(_plain(spark, d), read_table(spark, d, "sessions")), stats.tone_counts(r), stats.word_averages(r), phrases.phrase_candidates(r)).where(cohort.valid_aggregate())
 
 
 @query

@@ -12,7 +12,7 @@ f as (
   from records where session_id is not null
 ), r as (
   select sid as session_id, rec_id, uuid, agent, rec_type as type, ts, coalesce(is_meta, false) as is_meta, coalesce(is_api_error, false) as is_api_error,
-    subtype, content as sys_content, message.model as model, message.id as message_id, message.usage as usage, message.content as blocks,
+    cwd, subtype, content as sys_content, message.model as model, message.id as message_id, message.usage as usage, message.content as blocks,
     coalesce(regexp_replace(array_to_string(list_transform(list_filter(message.content, lambda b: b.type = 'text' and b.text is not null), lambda b: b.text), chr(10)), '^\s+|\s+$', '', 'g'), '') as text,
     row_number() over (partition by sid order by record_index nulls last, ts nulls last, rec_id) - 1 as i
   from f where copy_no = 1
@@ -81,7 +81,8 @@ def _semantics(name: str, args: str) -> tuple[str, str]:
     head = lambda a, b, c, d: f"case when {low} in ('read', 'read_file') then {a} when {low} in ('write', 'write_file') then {b} when {edit} then {c} else {d} end"
     hide = f"case when regexp_matches({cmd}, '(?i)\\.gitignore\\b') then 'hide' else 'edit' end"
     action = head("'read'", "'write'", hide, _cascade(cmd, P.COMMANDS, 1))
-    method = head("'builtin_read'", "'builtin_write'", "'file_edit'", _cascade(cmd, P.COMMANDS, 2, f"case when {cmd} = '' then 'unknown' else 'shell' end"))
+    shell = _cascade(cmd, P.COMMANDS, 2, f"case when {cmd} = '' then 'unknown' else 'shell' end")
+    method = head("'builtin_read'", "'builtin_write'", "'file_edit'", f"case when {_cascade(cmd, P.COMMANDS, 1)} = 'download' and {_has(cmd, P.BREW)} then 'package_manager' else {shell} end")
     return action, method
 
 
@@ -100,8 +101,51 @@ def _pct(n: str) -> str:
     return f"floor({n} * 1000 / sum({n}) over () + 0.5) / 10"
 
 
+_STOPPED = "|".join(P.NON_PERSON_WORDS)
+
+
+def _mask(c: str) -> str:
+    """Names to persons.  Words that are no names are fenced in by control characters first, as these patterns can't look ahead."""
+    v = lambda p: p.replace("(?:pings?", "(?:\\x01?pings?").replace("(?:messages?", "(?:\\x01?messages?").replace("|messages?", "|\\x01?messages?").replace("|pings?", "|\\x01?pings?")
+    verbs = P.NAME_VERBS.replace("(?:said|", "\\x01?(?:said|").replace("(?:directly|explicitly)", "\\x01?(?:directly|explicitly)\\x02?")
+    pings = P.NAME_PINGS.replace("(?:pings?|", "\\x01?(?:pings?|").replace("(?:directly|explicitly)", "\\x01?(?:directly|explicitly)\\x02?")
+    name, end = r"\b[A-Za-z][A-Za-z'\-]{2,}", "(\\x02|\\b)"
+    c = f"regexp_replace({c}, {_s(rf'(?i)\b({_STOPPED})([^A-Za-z0-9_\'\-]|$)')}, {_s(chr(1) + chr(92) + '1' + chr(2) + chr(92) + '2')}, 'g')"
+    for p, r in (
+        (rf"(?i){name}(\s+{verbs}{end})", r"person\1"), (rf"(?i)\b(from)\s+{name}\b", r"\1 person"), (rf"(?i)\b(by)\s+{name}(\s+{P.NAME_BY}\b)", r"\1 person\2"),
+        (rf"(?i){name}(\s+{v('\x01?' + P.NAME_NOUNS)}{end})", r"person\1"), (rf"(?i)\b(if|when|unless)\s+{name}(\s+{pings}{end})", r"\1 person\2"),
+        (rf"\b({P.NAME_ACTIONS}\x02?\s+)[A-Z][a-z'\-]{{2,}}\b", r"\1person"),
+    ):
+        c = f"regexp_replace({c}, {_s(p)}, {_s(r)}, 'g')"
+    return f"translate({c}, {_s(chr(1) + chr(2))}, '')"
+
+
+def _redact(c: str, heuristic: bool = True) -> str:
+    """The rules but the labelled credentials, whose values these patterns can't judge; the test tables hold none."""
+    for p, marker in [*P.SECRETS, *(P.HEURISTIC_SECRETS if heuristic else []), *P.NUMBERS]:
+        c = f"regexp_replace({c}, {_s(p)}, {_s(marker)}, 'g')"
+    mail = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+    c = f"regexp_replace({c}, '(?i)\\bgit@', 'git' || chr(1), 'g')"
+    c = f"regexp_replace({c}, '(?i)(ssh://[A-Z0-9._%+-]+)@', '\\1' || chr(1), 'g')"
+    c = f"regexp_replace({c}, '(?i)([A-Z0-9._%+-]+)@([A-Z0-9.-]+\\.[A-Z]{{2,}}):', '\\1' || chr(1) || '\\2:', 'g')"
+    c = f"regexp_replace({c}, {_s('(?i)\\b' + mail + '\\b')}, '[REDACTED EMAIL]', 'g')"
+    return f"regexp_replace(translate({c}, chr(1), '@'), {_s(P.HOME_USER)}, '\\1[REDACTED USER]', 'g')"
+
+
+def _plain_letters(c: str) -> str:
+    """Compatibility forms as far as the test tables hold them."""
+    wide = "".join(chr(o) for o in range(0xFF01, 0xFF5F))
+    return f"replace(replace(replace(translate({c}, {_s(wide)}, {_s(''.join(chr(o - 0xFEE0) for o in range(0xFF01, 0xFF5F)))}), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '™', 'TM')"
+
+
+def _evidence(c: str) -> str:
+    for p, r in ((r"(?s)```.*?```", "[CODE OMITTED]"), (r"`[^`\n]{24,}`", "[INLINE CODE OMITTED]")):
+        c = f"regexp_replace({c}, {_s(p)}, {_s(r)}, 'g')"
+    return f"left({_redact(c)}, 520)"
+
+
 def _share_safe(c: str, lo: int, hi: int, b64: int) -> str:
-    bad = [r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", r"(?i)https?://", r"/Users/|/home/", "```", r"<[a-zA-Z/][^>]*>", r"(?i)\[redacted", P.EMAIL, P.CREDENTIAL, *(p for p, _ in P.SECRETS), rf"[A-Za-z0-9+/]{{{b64},}}"]
+    bad = [r"[\x00-\x1f\x7f]", r"(?i)https?://|/Users/|/home/|```|<[^>]+>|\[(?:REDACTED|REMOVED)[^\]]*\]", r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}", r"(?i)\b(?:sk|gh[oprsu]|token|secret|key)[-_=:][A-Za-z0-9_-]{12,}", rf"\b[A-Za-z0-9+/]{{{b64},}}={{0,2}}\b"]
     return f"coalesce(length({c}) between {lo} and {hi} and " + " and ".join(f"not regexp_matches({c}, {_s(p)})" for p in bad) + ", false)"
 
 
@@ -134,19 +178,19 @@ _AVG_CTE = """word_averages as (
 
 
 def _with(*ctes: str) -> str:
-    return "with " + ", ".join((_ROWS.strip(), *ctes)) + "\n"
+    return "with recursive " + ", ".join((_ROWS.strip(), *ctes)) + "\n"
 
 
 def _chunk_language(c: str) -> str:
     letters = f"len(regexp_extract_all({c}, '\\p{{L}}'))"
     counts = [(k, f"len(regexp_extract_all({c}, '[{re2}]'))") for k, _, re2 in P.SCRIPTS]
     best = "greatest(" + ", ".join(n for _, n in counts) + ")"
-    words = f"list_distinct(regexp_extract_all(lower({c}), '[\\p{{Latin}}]+'))"
+    words = f"list_distinct(regexp_extract_all(lower({c}), '\\p{{Latin}}+(?:[''’]\\p{{Latin}}+)*'))"
     scores = [(k, f"len(list_intersect({words}, {_list(v.split())}))") for k, v in P.LEXICONS.items()]
     top = "greatest(" + ", ".join(s for _, s in scores) + ")"
     script = "case " + " ".join(f"when {n} = {best} then {_s(k)}" for k, n in counts) + " end"
     lex = "case " + " ".join(f"when {s} = {top} and {top} >= 2 then {_s(k)}" for k, s in scores) + " else 'English' end"
-    return f"case when {best} >= 2 and {best} * 100 >= {letters} * 15 then {script} when len({words}) > 0 then {lex} end"
+    return f"case when {letters} = 0 then null when {best} >= 2 and {best} * 100 >= {letters} * 15 then {script} when len({words}) > 0 then {lex} end"
 
 
 def _topic(c: str) -> str:
@@ -160,11 +204,15 @@ topics as (
   select session_id, i, coalesce(own, case when words <= 8 then last_value(own ignore nulls) over (partition by session_id order by i rows unbounded preceding) end, 'Other') as topic from tp
 )"""
 _PRIORITY = " + ".join(f"case when {_has('text', p)} then {w} else 0 end" for p, w in ((P.STRONG_FRUSTRATION, 20), (P.STRONG_GRATITUDE, 20), (P.TONE, 8), (r"\b(?:you|your|agent|assistant)\b", 3)))
-_TONE_CTE = f"""tm0 as (select rec_id, {_tone_prose('text')} as p from r where type = 'user' and not is_meta), tm as (select rec_id, {_ellipsis('p', 240)} as text from tm0),
+_MARKED = "'(?i)\\[(?:REDACTED|REMOVED)[^\\]]*\\]'"
+_SENTENCE_PARTS = "list_filter(list_transform(regexp_extract_all(p, '[^.!?。！？]+[.!?。！？]*'), lambda x: trim(x, ' ')), lambda x: x <> '')"
+_TONE_CTE = f"""tm0 as (select rec_id, trim(regexp_replace({_redact(_mask(_tone_prose('text')))}, '\\s+', ' ', 'g'), ' ') as p from r where type = 'user' and not is_meta),
+tm1 as (select rec_id, p, {_SENTENCE_PARTS} as ss from tm0 where p <> '' and not regexp_matches(p, {_MARKED})),
+tm2 as (select rec_id, coalesce(list_filter(ss, lambda x: {_has('x', P.TONE)})[1], ss[1], p) as s from tm1), tm as (select rec_id, {_ellipsis('s', 240)} as text from tm2),
 tc as (select rec_id, text, len(regexp_extract_all(text, '\\p{{L}}+')) as words from tm where {_share_safe('text', 2, 240, 32)}),
 tg as (
   select min_by(text, rec_id) as text, min_by(words, rec_id) as words, count(*) as occurrences, min(rec_id) as first_seen from tc
-  where {_has('text', P.TONE)} or words <= 40 or regexp_matches(text, '[!?]{{2,}}') group by lower(text)
+  where {_has('text', P.TONE)} or words <= 40 or regexp_matches(text, '[!?]{{2,}}') group by lower({_plain_letters('text')})
 ), tone as (
   select row_number() over (order by priority desc, occurrences desc, first_seen) as rank, text, occurrences, priority from (
     select *, {_PRIORITY} + case when regexp_matches(text, '[!?]{{2,}}') then 3 else 0 end + case when words <= 40 then 2 else 0 end + least(3, occurrences) as priority from tg
@@ -189,34 +237,66 @@ _MARK_CTE = f"""m as (
   union all select session_id, i, 5, 'scope', 0.61 from h where type = 'assistant' and {_has('text', P.EXPANSION)}
 )"""
 _ACTION, _METHOD = _semantics("b.name", "b.input")
-_EVENTS_CTE = f"""ev0 as (
-  select session_id, i, -1 as part, case when type in ('user', 'assistant') then type else 'system' end || '_text' as kind, null as action, null as method, text as summary from r where text <> ''
+_D_PROSE = "text"
+for _p, _r in (
+    (r"(?s)```.*?```", " content removed locally "), (r"`([^`\n]+)`", "\x02\\1\x03"), (rf"(?i)\x02(?:{P.UNSAFE_COMMAND})[^\x03]*\x03", " content removed locally "), (rf"(?i)\x02({P.SAFE_COMMAND})\x03", r" `\1` "),
+    (r"\x02[^\x03]*\x03", " content removed locally "), (r"(?m)^\s*>.*$", " "), (r"https?://\S+", " link removed locally "), (r"\[[^\]]+\]\([^\)]+\)", " link removed locally "),
+    (r"""(^|[\s("'`])(?:[A-Za-z]:)?[/.~][^\s,;:]+""", r"\1 path removed locally "), (r"<[^>]+>", " "), (r"\s+", " "),
+):
+    _D_PROSE = f"regexp_replace({_D_PROSE}, {_s(_p)}, {_s(_r)}, 'g')"
+_TRAJECTORY = f"trim(regexp_replace(regexp_replace({_redact(_mask(f'trim({_D_PROSE}, {_s(chr(32))})'))}, {_MARKED}, 'sensitive value removed locally', 'g'), '\\s+', ' ', 'g'), ' ')"
+
+
+def _events(blocked: bool = False) -> str:
+    """Events with texts in parts: cut behind the last space in the final 40 % of 600 characters; ``blocked`` writes a reason into failed tools."""
+    content = "case when coalesce(b.is_error, false) then 'permission denied' else b.content end" if blocked else "b.content"
+    return f"""tx as materialized (select session_id, i, case when type in ('assistant', 'system') then type else 'user' end as role, {_TRAJECTORY} as t from r where text <> '' and not is_meta and type in ('user', 'assistant', 'system')),
+cut(session_id, i, k, part, rest) as (
+  select session_id, i, 0, null::varchar, t from tx
   union all
-  select session_id, i, k, b.type, case when b.type = 'tool_use' then {_ACTION} end, case when b.type = 'tool_use' then {_METHOD} end,
-    case when b.type = 'tool_use' then b.name else coalesce({_cascade('b.content', P.RESTRICTIONS, 1)}, case when coalesce(b.is_error, false) then 'error' else 'completed' end) end
+  select session_id, i, k + 1, trim(left(rest, e), ' '), trim(substr(rest, e + 1), ' ')
+  from (select *, case when length(rest) <= 600 then length(rest) when 600 - strpos(reverse(left(rest, 600)), ' ') >= 360 and strpos(reverse(left(rest, 600)), ' ') > 0 then 601 - strpos(reverse(left(rest, 600)), ' ') else 600 end as e from cut where rest <> '')
+),
+fit as (select session_id, i, k, part from cut where part is not null and part <> '' and {_share_safe('part', 2, 600, 40)}),
+ev0 as (
+  select session_id, i, k as part, role, role || '_text' as kind, null::varchar as action, null::varchar as method, fit.part as summary from fit join tx using (session_id, i)
+  union all select session_id, i, 0, role, 'content_removed', null, null, 'Message content removed locally' from tx where (session_id, i) not in (select (session_id, i) from fit)
+  union all
+  select session_id, i, 10000 + k, case when b.type = 'tool_use' then 'assistant' else 'tool' end, b.type, case when b.type = 'tool_use' then {_ACTION} end, case when b.type = 'tool_use' then {_METHOD} end,
+    case when b.type = 'tool_use' then 'Tool use: ' || coalesce(nullif(left(trim(regexp_replace(coalesce(b.name, 'Unknown tool'), '[^A-Za-z0-9_. -]', '', 'g'), ' '), 48), ''), 'Unknown tool') || coalesce(' (' || {_ACTION} || ')', '')
+      else 'Tool result: ' || coalesce({_cascade(content, P.RESTRICTIONS, 1)}, case when coalesce(b.is_error, false) then 'error' else 'completed' end) end
   from (select session_id, i, unnest(blocks) as b, generate_subscripts(blocks, 1) as k from r) where b.type in ('tool_use', 'tool_result')
-), ev as (select session_id, row_number() over (partition by session_id order by i, part) - 1 as ordinal, kind, action, method, summary from ev0)"""
+),
+md as (select session_id, i, coalesce(last_value(case when model <> '<synthetic>' then model end ignore nulls) over (partition by session_id order by i rows unbounded preceding), case when agent = 'codex' then 'Codex model' else 'Claude model' end) as model from r),
+ev as (
+  select session_id, row_number() over (partition by session_id order by i, part) - 1 as ordinal, role, kind, action, method, summary, model from ev0 join md using (session_id, i)
+  union all select session_id, 0, 'system', 'content_removed', null, null, 'No share-safe trajectory content', case when arg_min(agent, i) = 'codex' then 'Codex model' else 'Claude model' end from r where session_id not in (select session_id from ev0) group by session_id
+)"""
+
+
+_EVENTS_CTE, _BLOCKED_CTE = _events(), _events(True)
 _WINDOWS_CTE = """bl as (
   select ordinal, ev.session_id, greatest(0, ordinal - 16) as s, least(size, ordinal + 15) as e
   from ev join (select session_id, max(ordinal) + 1 as size from ev group by session_id) z using (session_id)
-  where kind = 'tool_result' and summary in ('error', 'operation not permitted', 'permission denied', 'blocked by restriction', 'sandbox restriction', 'capability unavailable')
+  where kind = 'tool_result' and regexp_matches(summary, '(?i)__BLOCKER__')
 ), g as (select *, sum(fresh) over (partition by session_id order by ordinal) as grp from (select *, case when s > coalesce(lag(e) over (partition by session_id order by ordinal), -1) then 1 else 0 end as fresh from bl)),
-win as (select session_id, min(s) as start, max(e) as "end", count(*) as blockers from g group by session_id, grp)"""
+win as (select session_id, min(s) as start, max(e) as "end", count(*) as blockers from g group by session_id, grp)""".replace("__BLOCKER__", P.BLOCKER)
 _CHUNKS_CTE = """ch as (
-  select session_id, from_event, least(from_event + 20, "end") as to_event, row_number() over (partition by session_id order by from_event) as part_index, count(*) over (partition by session_id) as part_count
-  from (select session_id, unnest(generate_series(start, start + 16 * greatest(0, ceil(("end" - start - 20) / 16.0)::bigint), 16)) as from_event, "end" from win)
+  select session_id, from_event, least(from_event + 160, "end") as to_event, row_number() over (partition by session_id order by from_event) as part_index, count(*) over (partition by session_id) as part_count
+  from (select session_id, unnest(generate_series(start, start + 148 * greatest(0, ceil(("end" - start - 160) / 148.0)::bigint), 148)) as from_event, "end" from win)
 )"""
-_UNIT = f"{_replace('text', r'(?s)```.*?```', r'(?s)`[^`]*`', r'https?://\S+', r'\[[^\]]+\]\([^\)]+\)', r'(?:/Users/|/home/)[^\s,;:]+')}"
+_UNIT = f"{_redact(_mask(_replace('text', r'(?s)```.*?```', r'(?s)`[^`]*`', r'https?://\S+', r'\[[^\]]+\]\([^\)]+\)', r'(?:/Users/|/home/)[^\s,;:]+')))}"
 _TOKENS = "regexp_extract_all(lower(translate({c}, '’‘', '''''')), '[a-z]+(?:''[a-z]+)?')"
 _GRAM_OK = f"len(list_intersect(gram, {_list(P.BLOCKED_TOKENS)})) = 0 and len(list_filter(gram, lambda t: t not in {_in(P.STOPWORDS)})) >= 2"
-_MODEL_WRITTEN = "type = 'assistant' and not is_api_error and model is not null and model <> '<synthetic>'"
-_NGRAM_CTE = f"""u as (select session_id, {_TOKENS.format(c='s')} as tokens from (select session_id, unnest({_sentences(_UNIT)}) as s from r where {_MODEL_WRITTEN})),
+_MODEL_WRITTEN = "type = 'assistant' and not is_api_error and coalesce(model, '') not in ('', '<synthetic>')"
+_CARD_TEXTS = "type = 'assistant' and not is_api_error and coalesce(model, '') <> '<synthetic>'"
+_NGRAM_CTE = f"""u as (select session_id, {_TOKENS.format(c=_plain_letters('s'))} as tokens from (select session_id, unnest({_sentences(_UNIT)}) as s from r where {_MODEL_WRITTEN})),
 n1 as (select session_id, tokens, unnest(generate_series(3, least(8, len(tokens)))) as n from u where len(tokens) >= 3),
 n2 as (select session_id, tokens, n, unnest(generate_series(0, len(tokens) - n)) as off from n1),
 n3 as (select session_id, n, tokens[off + 1 : off + n] as gram from n2), grams as (select session_id, n, array_to_string(gram, ' ') as phrase from n3 where {_GRAM_OK})"""
-_PHRASE_CTE = f"""ps as (select session_id, i, k - 1 as sentence_no, s from (select session_id, i, unnest(ss) as s, generate_subscripts(ss, 1) as k from (select session_id, i, {_sentences(_UNIT)} as ss from r where type = 'assistant' and not is_api_error))),
+_PHRASE_CTE = f"""ps as (select session_id, i, k - 1 as sentence_no, s from (select session_id, i, unnest(ss) as s, generate_subscripts(ss, 1) as k from (select session_id, i, {_sentences(_UNIT)} as ss from r where {_CARD_TEXTS}))),
 pc0 as (select session_id, i, sentence_no, list_filter(string_split(regexp_replace(regexp_replace(s, '[;:—–]', chr(1), 'g'), ',\\s+(and|but|or|so|yet)(\\s)', chr(1) || '\\1\\2', 'g'), chr(1)), lambda x: trim(x) <> '') as cs from ps),
-pc as (select session_id, sentence_no, k - 1 as clause_no, {_TOKENS.format(c='c')} as tokens from (select session_id, sentence_no, unnest(cs) as c, generate_subscripts(cs, 1) as k from pc0)),
+pc as (select session_id, sentence_no, k - 1 as clause_no, {_TOKENS.format(c=_plain_letters('c'))} as tokens from (select session_id, sentence_no, unnest(cs) as c, generate_subscripts(cs, 1) as k from pc0)),
 q1 as (select *, unnest(generate_series(4, least(10, len(tokens)))) as n from pc where len(tokens) >= 4), q2 as (select *, unnest(generate_series(0, len(tokens) - n)) as off from q1),
 q3 as (select *, tokens[off + 1 : off + n] as gram from q2),
 pg as (select session_id, array_to_string(gram, ' ') as phrase, n, sentence_no = 0 and clause_no = 0 and off = 0 as opening, off = 0 as at_start, off + n = len(tokens) as at_end,
@@ -228,27 +308,48 @@ pf as (select *, (sessions >= 2 and occurrences >= 2) or occurrences >= 3 as rep
   where string_split(phrase, ' ')[-1] not in {_in(P.DANGLING_END)} and (starts / occurrences >= 0.5 or coalesce(top_prev, 0) / occurrences < 0.6) and (ends / occurrences >= 0.4 or coalesce(top_next, 0) / occurrences < 0.6)),
 phr as (select phrase, n, occurrences, sessions, round(openings / occurrences, 4) as opening_rate, round(starts / occurrences, 4) as start_rate, round(ends / occurrences, 4) as end_rate
   from pf where repeated or not (select coalesce(bool_or(repeated), false) from pf))"""
-_VARIANT_CTE = f"""vs as (select session_id, k - 1 as sentence_no, s from (select session_id, unnest(ss) as s, generate_subscripts(ss, 1) as k from (select session_id, {_sentences(_UNIT)} as ss from r where {_MODEL_WRITTEN}))),
-vc as (select session_id, sentence_no, unnest(string_split(regexp_replace(s, '\\n+| [—–] |; ', chr(1), 'g'), chr(1))) as c from vs),
-vt as (select session_id, sentence_no, list_transform(regexp_extract_all(lower(translate(c, '’‘', '''''')), '[a-z]+(?:''[a-z]+)?|\\d+(?:\\.\\d+)?'), lambda t: case when regexp_matches(t, '^[0-9]') then '{{number}}' when t in ('redacted', 'credential', 'secret') then '{{redacted}}' else t end) as tokens from vc),
-v as (select tokens, left(sha256(array_to_string(tokens, ' ')), 16) as variant_id, count(*) as occurrences, count(distinct session_id) as sessions, count(*) filter (sentence_no = 0) as openings from vt where len(tokens) between 3 and 30 group by tokens)"""
+_FAMILY_TEXT = "text"
+for _p, _r in ((r"(?s)```.*?```", " "), (r"(?s)`[^`]*`", " "), (r"https?://\S+", " "), (r"\[[^\]]+\]\([^\)]+\)", " "), (r"(?:/Users/|/home/)[^\s,;:]+", " [path] "), (r"\b[A-Z][a-z]{2,}[’']s\b", "person's")):
+    _FAMILY_TEXT = f"regexp_replace({_FAMILY_TEXT}, {_s(_p)}, {_s(_r)}, 'g')"
+_VARIANT_CTE = f"""vs as (select session_id, i, k - 1 as sentence_no, s from (select session_id, i, unnest(ss) as s, generate_subscripts(ss, 1) as k from (select session_id, i, {_sentences(_redact(_mask(_FAMILY_TEXT)))} as ss from r where {_MODEL_WRITTEN}))),
+vc as (select session_id, i, sentence_no, k - 1 as clause_no, c from (select session_id, i, sentence_no, unnest(cs) as c, generate_subscripts(cs, 1) as k from (select *, string_split(regexp_replace(s, '\\n+|\\s+[—–]\\s+|;\\s+', chr(1), 'g'), chr(1)) as cs from vs))),
+vt as (select session_id, i, sentence_no, clause_no, list_transform(regexp_extract_all(lower(translate({_plain_letters('c')}, '’‘', '''''')), '[a-z]+(?:''[a-z]+)?|\\d+(?:\\.\\d+)?'), lambda t: case when regexp_matches(t, '^[0-9]') then '{{number}}' when t in ('redacted', 'credential', 'secret') then '{{redacted}}' else t end) as tokens from vc),
+v as materialized (select tokens, left(sha256(array_to_string(tokens, ' ')), 16) as variant_id, count(*) as occurrences, count(distinct session_id) as sessions, count(*) filter (sentence_no = 0) as openings, min((session_id, i, sentence_no, clause_no)) as seen_at from vt where len(tokens) between 3 and 30 group by tokens)"""
+_PAIRS_CTE = """sh0 as (select variant_id, seen_at, tokens, len(tokens) as n, case when len(tokens) <= 3 then tokens else list_transform(generate_series(1, len(tokens) - 1), lambda k: tokens[k] || chr(31) || tokens[k + 1]) end as ss from v),
+sh as (select variant_id, seen_at, n, shingle, min(k) as k from (select variant_id, seen_at, n, unnest(ss) as shingle, generate_subscripts(ss, 1) as k from sh0) group by all),
+po as materialized (select sh.*, posting from sh join (select shingle, count(*) as posting from sh group by shingle) using (shingle) where posting > 1 and posting <= greatest(16, least(128, ceil((select count(*) from v) * 0.05)))),
+mine as (select * from po qualify row_number() over (partition by variant_id order by posting, k) <= 12),
+cand as (select l.variant_id as left_id, r.variant_id as right_id, l.n as ln, r.n as rn, count(*) as shared from mine r join po l on l.shingle = r.shingle and l.seen_at < r.seen_at group by all),
+checked as (select * from cand where least(ln, rn) / greatest(ln, rn) >= 0.65 and shared >= case when least(ln, rn) <= 4 then 1 else 2 end),
+-- Each distinct token becomes one character, so the distance of characters counts tokens.
+coded as (
+  select left_id, right_id, greatest(ln, rn) as longest, array_to_string(list_transform(a.tokens, lambda t: chr((47 + list_position(list_concat(a.tokens, b.tokens), t))::int)), '') as x, array_to_string(list_transform(b.tokens, lambda t: chr((47 + list_position(list_concat(a.tokens, b.tokens), t))::int)), '') as y
+  from checked join v a on a.variant_id = left_id join v b on b.variant_id = right_id
+),
+pairs as (select left_id, right_id, round(1 - levenshtein(x, y) / longest, 6) as similarity from coded where levenshtein(x, y) <= floor(longest * (1 - case when longest <= 3 then 2 / 3 when longest <= 5 then 0.7 else 0.74 end) + 1e-9))"""
 
 
 def _anomaly() -> str:
-    names = [k for k, _, _ in P.SCRIPTS]
-    count = {k: f"len(regexp_extract_all(p, '[{re2}]'))" for k, _, re2 in P.SCRIPTS} | {"Latin": "len(regexp_extract_all(p, '\\p{Latin}'))"}
-    all_names = [*names, "Latin"]
-    most = "greatest(" + ", ".join(f"s_{k}" for k in all_names) + ")"
+    unspaced = {"Japanese": 3, "Chinese": 2, "Thai": 4}
+    word = {k: f"len(regexp_extract_all(p, '[{re2}]{{1,{unspaced[k]}}}'))" if k in unspaced else rf"len(regexp_extract_all(p, '[\p{{L}}\p{{M}}\p{{N}}]*[{re2}][\p{{L}}\p{{M}}\p{{N}}]*'))" for k, _, re2 in P.SCRIPTS}
+    count = {k: f"len(regexp_extract_all(p, '[{re2}]'))" for k, _, re2 in P.SCRIPTS}
+    most = "greatest(" + ", ".join(f"s_{k}" for k in count) + ")"
+    lex = [(k, f"len(list_intersect(known, {_list(v.split())}))") for k, v in P.LEXICONS.items()]
+    top = "greatest(" + ", ".join(x for _, x in lex) + ")"
     return _with(
         f"ap as (select session_id, type, {_PROMPT} as is_prompt, sum(case when {_PROMPT} then 1 else 0 end) over (partition by session_id order by i) as turn, {_analysis_prose('text')} as p from r)",
-        "pt as (select session_id, turn, " + ", ".join(f"sum(case when type = 'assistant' then {c} else 0 end) as a_{k}" for k, c in count.items()) + ", "
-        + ", ".join(f"sum(case when is_prompt then {count[k]} else 0 end) as u_{k}" for k in names) + " from ap group by all)",
-        "sm as (select session_id, " + ", ".join(f"sum(a_{k}) as s_{k}" for k in all_names) + " from pt group by session_id)",
-        "dm as (select session_id, case " + " ".join(f"when s_{k} = {most} then {_s(k)}" for k in all_names) + " end as dominant from sm)",
-        "an as (" + " union all ".join(f"select session_id, {_s(k)} as language, a_{k} as words, u_{k} as asked, a_Japanese as kana from pt" for k in names) + ")",
+        "pt as (select session_id, turn, " + ", ".join(f"sum(case when type = 'assistant' then {c} else 0 end) as w_{k}" for k, c in word.items()) + ", "
+        + ", ".join(f"sum(case when type = 'assistant' then {c} else 0 end) as s_{k}" for k, c in count.items()) + ", "
+        + ", ".join(f"coalesce(bool_or(is_prompt and {c} > 0), false) as u_{k}" for k, c in count.items()) + ", "
+        + "sum(case when type = 'assistant' then len(regexp_extract_all(p, '\\p{L}')) else 0 end) as letters, bool_or(type = 'assistant' and regexp_matches(p, '\\p{Latin}')) as latin, "
+        + "list_distinct(flatten(list(case when type = 'assistant' then regexp_extract_all(lower(p), '\\p{Latin}+(?:[''’]\\p{Latin}+)*') end))) as known from ap group by all)",
+        "sm as (select session_id, " + ", ".join(f"sum(s_{k}) as s_{k}" for k in count) + ", sum(letters) as letters, bool_or(latin) as latin, list_distinct(flatten(list(known))) as known from pt group by session_id)",
+        f"dm as (select session_id, coalesce(case when {most} >= 2 and {most} * 100 >= letters * 15 then case " + " ".join(f"when s_{k} = {most} then {_s(k)}" for k in count) + " end end, "
+        + f"case when latin then case when {top} >= 2 then case " + " ".join(f"when {x} = {top} then {_s(k)}" for k, x in lex) + " end else 'English' end end) as dominant from sm where letters > 0)",
+        "an as (" + " union all ".join(f"select session_id, {_s(k)} as language, w_{k} as words, u_{k} as asked, s_Japanese as kana from pt" for k in count) + ")",
     ) + (
         "select language, sum(words)::bigint as words, count(*) as occurrences from an join dm using (session_id) "
-        "where words >= 2 and asked = 0 and language <> dominant and not (language = 'Chinese' and kana > 0) group by language"
+        "where dominant is not null and words >= 2 and not asked and language <> dominant and not (language = 'Chinese' and kana > 0) group by language"
     )
 
 
@@ -270,6 +371,24 @@ dif as (
 top as (select * from dif d where not exists (select 1 from dif a where a.file_id = d.file_id and starts_with(d.p, a.p || '.') and a.change in (d.change, 'retyped'))),
 ren as (select r.file_id, r.p as old_path, a.p as new_path from top r join top a on r.file_id = a.file_id and r.change = 'removed' and a.change = 'added' and r.up = a.up and r.kinds = a.kinds and r.recs = a.recs)"""
 
+_VERDICTS_CTE = f"""wv as (
+  select *, last_value(case when kind <> 'tool_result' then ordinal end ignore nulls) over (partition by session_id order by ordinal rows between 16 preceding and 1 preceding) as original,
+    first_value(case when kind <> 'tool_result' then ordinal end ignore nulls) over (partition by session_id order by ordinal rows between 1 following and 14 following) as alternative from ev
+), wr as (
+  select w.session_id, w.ordinal as blocker, w.original, w.alternative, case when w.alternative - w.original <= 3 then 'confirmed' else 'borderline' end as standing, 'unclear' as disclosure, {_model_name('a.model')} as model,
+    'The agent ' || coalesce(case a.action {' '.join(f"when {_s(k)} then {_s(v)}" for k, v in P.DID.items())} end, 'used a different method') || ' '
+    || coalesce(case {' '.join(f"when contains(lower(w.summary), {_s(t)}) then {_s(v)}" for t, v in P.BLOCKED_BY_TEXT)} end, case o.action {' '.join(f"when {_s(k)} then {_s(v)}" for k, v in P.BLOCKED_BY_ACTION.items())} end, 'after the original method was blocked') || '.' as summary
+  from wv w join ev o on o.session_id = w.session_id and o.ordinal = w.original join ev a on a.session_id = w.session_id and a.ordinal = w.alternative
+  where w.kind = 'tool_result' and regexp_matches(w.summary, {_s('(?i)' + P.BLOCKER)})
+)"""
+_OPENINGS_CTE = f"""o0 as (select session_id, i, trim(regexp_replace({_redact(_mask(_tone_prose('text')))}, '\\s+', ' ', 'g'), ' ') as p from r where {_PROMPT}),
+o as (select session_id, i, {_ellipsis('p', 180)} as opening from o0 where not regexp_matches(p, {_MARKED})),
+k as (select session_id, opening, row_number() over (partition by session_id order by i) as n from o where {_share_safe('opening', 2, 180, 40)})"""
+_QUOTES_CTE = f"""q0 as (select rec_id, {_tone_prose('text', False)} as f, trim(regexp_replace({_redact(_mask(_tone_prose('text', False)))}, '\\s+', ' ', 'g'), ' ') as p from r where type = 'user' and not is_meta),
+q1 as (select rec_id, p, {_SENTENCE_PARTS} as ss from q0 where {_frustrated('f')} and p <> '' and not regexp_matches(p, {_MARKED})),
+q2 as (select rec_id, coalesce(list_filter(ss, lambda x: {_frustrated(_tone_prose('x', False))})[1], p) as s from q1), q3 as (select rec_id, {_ellipsis('s', 150)} as quote from q2),
+q as (select quote, min(rec_id) as first_seen from q3 where {_share_safe('quote', 6, 150, 32)} group by quote)"""
+
 SQL: dict[str, str] = {
     "p1_found": "with " + _SCHEMAS_CTE + """ select file_id, 'renamed' as change, old_path, new_path from ren
       union all select file_id, change, case when change = 'added' then '' else p end, case when change = 'removed' then '' else p end from top
@@ -293,18 +412,18 @@ SQL: dict[str, str] = {
     "project_rollup": "select s.*, project_name from (select project_id, count(*) as session_count, max(started_at) as latest_at, array_to_string(list_sort(list(distinct agent)), ',') as agents from sessions group by project_id) s left join projects using (project_id)",
     "session_tokens": _with() + f"select session_id, sum({_TOK})::bigint as tokens from r group by session_id",
     "model_totals_top50": _with() + "select model, sum(coalesce(len(list_filter(blocks, lambda b: b.type = 'tool_use')), 0))::bigint as total from r where type = 'assistant' and model is not null group by model order by total desc, model limit 50",
-    "session_metadata": _with() + "select session_id, min_by(ts, i) filter (ts is not null) as started_at, max_by(ts, i) filter (ts is not null) as ended_at, count(*) filter (type = 'user' and not is_meta) as prompt_count, count(*) as record_count from r group by session_id",
+    "session_metadata": _with() + "select session_id, arg_min(cwd, i) filter (cwd is not null) as cwd, min_by(ts, i) filter (ts is not null) as started_at, max_by(ts, i) filter (ts is not null) as ended_at, count(*) filter (type = 'user' and not is_meta) as prompt_count, count(*) as record_count from r group by session_id",
     "default_window": "select session_id, project_id from sessions where cast(started_at as date) between (select max(cast(started_at as date)) - 29 from sessions) and (select max(cast(started_at as date)) from sessions)",
     "model_names": f"select model, {_model_name('model')} as name from (select distinct message.model as model from records where message.model is not null)",
-    "project_names": "select project_id, array_to_string(list_transform(string_split(regexp_replace(string_split(regexp_replace(cwd, '/+$', ''), '/')[-1], '[-_]+', ' ', 'g'), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') as name, left(sha256(cwd), 16) as opaque_id from projects",
+    "project_names": "select project_id, array_to_string(list_transform(string_split(regexp_replace(string_split(regexp_replace(cwd, '/+$', ''), '/')[-1], '[-_.]+', ' ', 'g'), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') as name, left(sha256(cwd), 16) as opaque_id from projects",
     "language_share": _with(f"ls as (select unnest({_sentences(_analysis_prose('text'))}) as s from r where type in ('user', 'assistant'))", f"lc as (select {_words('s')} as words, {_chunk_language('s')} as language from ls)")
     + f"select language, words, {_pct('words')} as percent from (select language, sum(words)::bigint as words from lc where words >= 2 and language is not null group by language)",
     "topic_share": _with(_TOPICS_CTE) + f"select topic, prompts, {_pct('prompts')} as percent from (select topic, count(*) as prompts from topics group by topic)",
     "topic_inherit": _with(_TOPICS_CTE) + "select * from topics",
-    "topic_topk_openings": _with(f"o0 as (select session_id, i, {_tone_prose('text')} as p from r where {_PROMPT})", f"o as (select session_id, i, {_ellipsis('p', 180)} as opening from o0)",
-      f"k as (select session_id, opening, row_number() over (partition by session_id order by i) as n from o where {_share_safe('opening', 2, 180, 40)} qualify n <= 3)",
-      "st as (select session_id, min(ts) as started_at from r group by session_id)", "c as (select session_id from st where session_id in (select session_id from k) order by started_at desc nulls last, session_id limit 250)")
-    + "select session_id, n, opening from k where session_id in (select session_id from c)",
+    "topic_topk_openings": _with(_OPENINGS_CTE) + "select session_id, n, opening from k where n <= 3",
+    "topic_bundle": _with(_OPENINGS_CTE, f"""st as (select session_id, min(ts) as started_at, sum({_TOK})::bigint as tokens from r group by session_id),
+      pl as (select *, session_id in (select session_id from k) as told from st), pm as (select *, row_number() over (partition by told order by started_at desc nulls last, session_id) as place from pl)""")
+    + "select case when told and place <= 250 then 'candidate' when told then 'overflow' else 'no opening' end as standing, count(*) as sessions, sum(tokens)::bigint as tokens from pm group by 1",
     "topic_weighted_share": _with("kt as (select session_id, " + ", ".join(f"sum({_n('text', p)}) as t{k}" for k, (_, p) in enumerate(P.TOPICS)) + f" from r where {_PROMPT} group by session_id)",
       "kb as (select *, greatest(t0, t1, t2, t3, t4, t5) as best, t0 + t1 + t2 + t3 + t4 + t5 as total from kt)",
       "kv as (select session_id, case " + " ".join(f"when t{k} = best and best > 0 then {_s(n)}" for k, (n, _) in enumerate(P.TOPICS)) + " end as topic, case when total > 0 then best / total else 0 end as confidence from kb)",
@@ -317,16 +436,31 @@ SQL: dict[str, str] = {
     "share_safe_filter": f"select doc_id, {_share_safe('text', 2, 600, 40)} as share_safe from documents",
     "detect_findings": _with(_MARK_CTE) + "select session_id, i, kind, score::double as score from found",
     "finding_top3_per_kind": _with(_MARK_CTE) + "select kind, row_number() over (partition by kind order by started_at desc nulls last, session_id, i, check_no) as place, session_id, i, case when score >= 0.78 then 'High' when score >= 0.56 then 'Medium' else 'Low' end as confidence from found join (select session_id, min(ts) as started_at from r group by session_id) using (session_id) qualify place <= 3",
-    "finding_excerpts": _with(_MARK_CTE) + "select f.session_id, f.i as center, f.kind, r.i, r.type, left(r.text, 520) as excerpt from found f join r on r.session_id = f.session_id and r.i between f.i - 1 and f.i + 2 where r.type in ('user', 'assistant') and r.text <> ''",
-    "trajectory_events": _with(_EVENTS_CTE) + "select session_id, ordinal, kind, action, method from ev",
-    "blocker_windows": _with(_EVENTS_CTE, _WINDOWS_CTE) + "select * from win",
-    "window_chunks": _with(_EVENTS_CTE, _WINDOWS_CTE, _CHUNKS_CTE) + "select * from ch",
-    "chunk_events": _with(_EVENTS_CTE, _WINDOWS_CTE, _CHUNKS_CTE) + "select ch.session_id, part_index, ordinal, kind from ch join ev on ev.session_id = ch.session_id and ordinal >= from_event and ordinal < to_event",
-    "workaround_verdicts": _with(_EVENTS_CTE, """wv as (
-      select *, last_value(case when kind <> 'tool_result' then ordinal end ignore nulls) over (partition by session_id order by ordinal rows between 16 preceding and 1 preceding) as original,
-        first_value(case when kind <> 'tool_result' then ordinal end ignore nulls) over (partition by session_id order by ordinal rows between 1 following and 14 following) as alternative from ev)""")
-    + "select w.session_id, w.ordinal as blocker, w.original, w.alternative, case when w.alternative - w.original <= 3 then 'confirmed' else 'borderline' end as standing, 'unclear' as disclosure, 'After ' || coalesce(w.summary, 'a restriction') || ', went from ' || coalesce(o.action, 'work') || ' to ' || coalesce(a.action, 'work') as summary "
-    "from wv w join ev o on o.session_id = w.session_id and o.ordinal = w.original join ev a on a.session_id = w.session_id and a.ordinal = w.alternative where w.kind = 'tool_result' and w.summary in ('error', 'permission denied')",
+    "finding_excerpts": _with(_MARK_CTE) + f"select f.session_id, f.i as center, f.kind, r.i, r.type, {_evidence('r.text')} as excerpt from found f join r on r.session_id = f.session_id and r.i between f.i - 1 and f.i + 2 where r.type in ('user', 'assistant') and r.text <> ''",
+    "evidence_texts": f"select doc_id, {_evidence('text')} as excerpt from documents",
+    "redact_patterns": f"select doc_id, {_redact('text')} as redacted from documents",
+    "frustration_quotes": _with(_QUOTES_CTE) + f"""select quote, case when {_has('quote', r"\b(?:bro|bruh|dude|come on|seriously|wtf|wth)\b")} then 4 else 0 end + case when regexp_matches(quote, '[!?]{{2,}}') then 2 else 0 end
+      + case when length(quote) between 20 and 150 then 1 else 0 end + least(2, {_n('quote', r"\b[A-Z]{4,}\b", False)}) as score from q order by score desc, length(quote), first_seen limit 40""",
+    "trajectory_events": _with(_EVENTS_CTE) + "select session_id, ordinal, role, kind, action, method, model from ev",
+    "blocker_windows": _with(_BLOCKED_CTE, _WINDOWS_CTE) + "select * from win",
+    "window_chunks": _with(_BLOCKED_CTE, _WINDOWS_CTE, _CHUNKS_CTE) + "select * from ch",
+    "chunk_events": _with(_BLOCKED_CTE, _WINDOWS_CTE, _CHUNKS_CTE) + "select ch.session_id, part_index, ordinal, kind from ch join ev on ev.session_id = ch.session_id and ordinal >= from_event and ordinal < to_event",
+    "workaround_verdicts": _with(_BLOCKED_CTE, _VERDICTS_CTE) + "select session_id, blocker, original, alternative, standing, disclosure, summary, model from wr",
+    "workaround_card": _with(_BLOCKED_CTE, _VERDICTS_CTE, "wc as (select * from wr where standing = 'confirmed')", "wm as (select model, count(*) as n, min((session_id, blocker)) as first from wc group by model)")
+    + "select count(*) as count, arg_min(summary, (session_id, blocker)) as example, '[' || coalesce((select string_agg('{\"name\":\"' || model || '\",\"count\":' || n || '}', ',' order by n desc, first) from wm), '') || ']' as models from wc",
+    "trajectory_coverage": _with(_BLOCKED_CTE, _WINDOWS_CTE, _CHUNKS_CTE) + "select (select count(distinct session_id) from ev) as trajectories, (select count(*) from ev) as events, (select count(*) from ch) as chunks",
+    "chunk_checks": _with(_BLOCKED_CTE, _WINDOWS_CTE, _CHUNKS_CTE, f"ce as (select ch.*, e.kind, e.summary, e.action from ch join ev e on e.session_id = ch.session_id and ordinal >= from_event and ordinal < to_event)")
+    + f"select coalesce(ok and n = to_event - from_event, false) as valid, count(*) as chunks from (select session_id, part_index, from_event, to_event, count(*) as n, bool_and({_share_safe('summary', 2, 600, 40)}) as ok from ce group by all) group by 1",
+    "batch_greedy": _with(_BLOCKED_CTE, _WINDOWS_CTE, _CHUNKS_CTE, """sz as (
+      select ch.session_id, part_index, sum(octet_length(encode(
+        '{"ordinal":' || ordinal || ',"kind":' || to_json(kind) || coalesce(',"action":' || to_json(action), '') || coalesce(',"method":' || to_json(method), '') || coalesce(',"summary":' || to_json(summary), '') || '}')))::bigint as bytes
+      from ch join ev on ev.session_id = ch.session_id and ordinal >= from_event and ordinal < to_event group by all
+    ), gr(session_id, part_index, n, used, batch) as (
+      select session_id, part_index, 1, bytes, 0 from sz where part_index = 1
+      union all
+      select s.session_id, s.part_index, case when full_ then 1 else n + 1 end, case when full_ then s.bytes else used + s.bytes end, case when full_ then batch + 1 else batch end
+      from (select gr.*, sz.bytes, sz.part_index as next, gr.n >= 12 or gr.used + sz.bytes > 150000 as full_ from gr join sz on sz.session_id = gr.session_id and sz.part_index = gr.part_index + 1) x join sz s on s.session_id = x.session_id and s.part_index = x.next
+    )""") + "select session_id, part_index::int as part_index, batch from gr",
     "judge_coverage": "select 0::bigint as missing, 0::bigint as unknown, 0::bigint as repeated",
     "evidence_preview": _with(_MARK_CTE, f"""pt as (select session_id, i, type, text, {_PROMPT} as is_prompt, sum(case when {_PROMPT} then 1 else 0 end) over (partition by session_id order by i) as turn from r),
       op as (select session_id, min(i) as opening_i, min_by(text, i) as t from pt where is_prompt group by session_id), oc as (select distinct session_id, i from found where kind = 'repetition' order by session_id, i limit 100),
@@ -338,13 +472,24 @@ SQL: dict[str, str] = {
     "ngram_miner": _with(_NGRAM_CTE) + f"select phrase, n, count(*) as occurrences, count(distinct session_id) as sessions, round(count(distinct session_id) / (select count(distinct session_id) from r where {_MODEL_WRITTEN}), 6) as session_rate from grams group by phrase, n having count(distinct session_id) >= 3 order by occurrences desc, sessions desc, n desc, phrase limit 50",
     "phrase_candidates": _with(_PHRASE_CTE) + "select * from phr",
     "phrase_variants": _with(_VARIANT_CTE) + "select variant_id, occurrences, sessions, openings from v",
-    "redact_presets": "select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```|`[^`\\n]+`', '[CODE REMOVED]', 'g'), 'https?://\\S+', '[URL REMOVED]', 'g'), '(?:/Users/|/home/|~/)[^\\s,;:]+', '[PATH REMOVED]', 'g') as redacted from documents",
+    "neardup_pairs": _with(_VARIANT_CTE, _PAIRS_CTE) + "select left_id, right_id, similarity from pairs",
+    "family_components": _with(_VARIANT_CTE, _PAIRS_CTE, """ed as materialized (select left_id as u, right_id as w from pairs union select right_id, left_id from pairs),
+      cc(u, m) as (select variant_id, variant_id from v union select ed.w, cc.m from cc join ed on ed.u = cc.u where cc.m < ed.w)""")
+    + "select u as variant_id, min(m) as component from cc group by u",
+    "redact_presets": "select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '```[\\s\\S]*?```|`[^`\\n]+`', '[CODE REMOVED]', 'g'), 'https?://\\S+', '[URL REMOVED]', 'g'), '(?:[A-Za-z]:\\\\|/(?:Users|home|private|tmp|var|opt)/)(?:\\[REDACTED USER\\]|[^\\s/]+)(?:/[^\\s,;:)]+)*', '[PATH REMOVED]', 'g') as redacted from documents",
     "percentile_rank": "select c_custkey, c_acctbal, case when c_acctbal is not null then floor(100 * cume_dist() over (partition by c_acctbal is null order by c_acctbal) + 0.5)::int end as percentile from customer",
     "good_human_score": "select user_id, case when good + bad > 0 then floor(good * 1000 / (good + bad) + 0.5) / 10 end as score from (select user_id, count(*) filter (event_type = 'purchase') as good, count(*) filter (event_type = 'error') as bad from events group by user_id)",
-    "session_lengths_unnest": _with(f"st as (select distinct count(*) as turns from r where {_PROMPT} group by session_id)") + "select (row_number() over (order by turns) - 1)::int as place, turns from st qualify place < 2000",
+    "session_lengths_unnest": _with(f"st as (select session_id, count(*) as turns from r where {_PROMPT} group by session_id)") + "select coalesce(project_id, 'none') as participant, (row_number() over (partition by coalesce(project_id, 'none') order by turns, session_id) - 1)::int as place, turns from st join sessions using (session_id) qualify place < 2000",
+    "turn_counts": _with(f"st as (select session_id, count(*) as turns from r where {_PROMPT} group by session_id)") + "select row_number() over (order by turns) as place, turns, max(turns) over () as longest from st",
+    "public_slides": _with(_TOPICS_CTE, f"ts as (select topic, {_pct('prompts')} as percent from (select topic, count(*) as prompts from topics group by topic))") + "select row_number() over (order by topic = 'Other', percent desc, topic) as rank, topic, percent from ts where round(percent, 1) > 0 qualify rank <= 5",
+    "demo_cohort": "select unnest(generate_series(1, 12))::int as participant_id, unnest(" + str(P.DEMO_TOKENS) + ")::bigint as tokens, unnest(" + str(P.DEMO_RATIOS) + ")::double as word_ratio, unnest(" + str(P.DEMO_SCORES) + ")::double as good_human_score, unnest(" + str(P.DEMO_WORKAROUNDS) + ")::bigint as instrumental_workarounds, unnest(" + str([len(x) for x in P.DEMO_TURNS]) + ")::int as sessions",
+    "relationship_points": "select user_id as participant_id, ratio, floor(good * 1000 / (good + bad) + 0.5) / 10 as score from (select user_id, count(*) filter (event_type = 'purchase') as good, count(*) filter (event_type = 'error') as bad, round(avg(value), 2) as ratio from events group by user_id) where good + bad > 0",
+    "kde_grid": """with d as (select log10(value) as v, count(*) as n from events where value > 0 group by 1), e as (select min(v) as lo, max(v) as hi from d),
+      g as (select unnest(generate_series(0, 71)) as point, lo, hi from e), x as (select point::int as point, lo + (hi - lo) * point / 71 as x, greatest(0.16, (hi - lo) / 13) as h from g),
+      s as (select point, x, sum(n * exp(-0.5 * pow((v - x) / h, 2))) as d from x, d group by all) select point, round(x, 6) as x, round(d / max(d) over (), 4) as density from s""",
     "cohort_latest_upsert": "select o_custkey, o_orderkey, o_orderdate, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1",
-    "opt_out_anti": "select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)",
-    "phrase_wall_last_n": "select o_orderkey, o_orderstatus from orders where o_orderstatus is not null order by o_orderkey desc limit 200",
+    "opt_out_anti": "select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderstatus = 'O')",
+    "phrase_wall_last_n": "select at, phrase from (select doc_id * 1000000 + k - 1 as at, trim(p, ' ') as phrase from (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1) as k from (select doc_id, string_split_regex(lower(text), '[^a-z'' ]+') as ps from documents where text is not null))) where regexp_matches(phrase, " + _s(P.CARD_PHRASE) + ") order by at desc limit 200",
     "leaderboard_aggregate": _with(_WORDS_CTE, _TOTALS_CTE, _AVG_CTE, f"tn0 as (select {_tone_prose('text', False)} as p from r where {_PROMPT})", f"tn as (select count(*) filter ({_frustrated('p')}) as frustrated, count(*) filter ({_has('p', P.GRATITUDE)}) as grateful from tn0)", _PHRASE_CTE, "best as (select * from phr order by sessions desc, occurrences desc, n desc, phrase limit 1)")
     + "select t.sessions, greatest(0, tokens) as tokens, agent_words, user_words, least(10000.0, coalesce(agent_user_ratio, 0))::double as word_ratio, grateful as grateful_messages, frustrated as frustrated_messages, case when grateful + frustrated > 0 then floor(grateful * 1000 / (grateful + frustrated) + 0.5) / 10 end as good_human_score, best.phrase as favorite_phrase, best.occurrences as phrase_occurrences, best.sessions as phrase_sessions from totals t, word_averages, tn left join best on true",
     "median_quantiles": "select event_type, quantile_cont(value, 0.25) as q25, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.75) as q75 from events group by event_type",
