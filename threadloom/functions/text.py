@@ -75,7 +75,7 @@ def opening_prompt(c: Column) -> Column:
     """What a person asked: behind a heading for the request if there is one, without what clients add."""
     c = F.coalesce(F.nullif(F.regexp_extract(c, r"(?is)(?:^|\n)## My request:\s*(.*)$", 1), F.lit("")), F.regexp_replace(c, r"(?is)(?:^|\n)## My request:\s*$", ""))
     for tag in P.CLIENT_TAGS:
-        c = F.regexp_replace(c, rf"(?is)<{tag}>.*?</{tag.split()[0] if tag != 'permissions instructions' else tag}>", " ")
+        c = F.regexp_replace(c, rf"(?is)<{tag}>.*?</{tag}>", " ")
     c = F.regexp_replace(c, r"(?im)^\s*# AGENTS\.md instructions\s*$", " ")
     return one_space(F.regexp_replace(c, r"(?is)<image(?![0-9A-Za-z_])[^>]*>.*?</image>", " "))
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.operators.ordered import ranked, running
+from threadloom.session import materialize
 
 _USAGE = ["input_tokens", "output_tokens", "cache_write_input_tokens", "cached_input_tokens"]
 _ENVELOPE = (
-    "timestamp string, type string, payload struct<type:string,id:string,forked_from_id:string,cwd:string,model:string,role:string,content:string,"
+    "timestamp string, type string, payload struct<type:string,id:string,forked_from_id:string,parent_thread_id:string,cwd:string,model:string,role:string,content:string,"
     "name:string,call_id:string,arguments:string,input:string,output:string,info:struct<total_token_usage:struct<"
     + ",".join(f"{c}:double" for c in _USAGE) + ">>>"
 )
@@ -51,7 +52,7 @@ def usage_deltas(rows: DataFrame) -> DataFrame:
         "session_id", F.col("at").alias("i"), *(F.greatest(F.lit(0), F.col(c) - F.coalesce(f"__{c}", F.lit(0))).alias(c) for c in _USAGE)
     )
     start = rows.groupBy("session_id").agg(
-        F.max(F.col("payload.forked_from_id").isNotNull() & (F.col("type") == "session_meta")).alias("forked"), F.min(F.when(F.col("type") == "turn_context", F.col("i"))).alias("first_turn")
+        F.max((F.coalesce("payload.forked_from_id", "payload.parent_thread_id", F.lit("")) != "") & (F.col("type") == "session_meta")).alias("forked"), F.min(F.when(F.col("type") == "turn_context", F.col("i"))).alias("first_turn")
     )
     d = d.join(start, "session_id").where(~F.col("forked") | (F.col("first_turn").isNotNull() & (F.col("i") >= F.col("first_turn")))).drop("forked", "first_turn")
     d = d.where(" + ".join(_USAGE) + " > 0")
@@ -61,23 +62,28 @@ def usage_deltas(rows: DataFrame) -> DataFrame:
 def call_pairs(rows: DataFrame) -> DataFrame:
     """(session_id, i, call_i, tool, action, method): each tool output with the call it answers.
 
-    By id: the latest call of the id before the output, each call once; outputs
-    and calls without id are paired in order.
+    By id: the latest call of the id before the output, each call once.  Calls
+    without id wait in a queue that outputs without id take from; an output that
+    finds the queue empty takes nothing.
     """
     call = F.col("payload.type").isin("function_call", "custom_tool_call")
     out = F.col("payload.type").isin("function_call_output", "custom_tool_call_output")
     ev = rows.where((F.col("type") == "response_item") & (call | out)).select(
-        "session_id", "i", call.alias("is_call"), F.col("payload.call_id").alias("call_id"), F.col("payload.name").alias("tool"), F.coalesce("payload.arguments", "payload.input").alias("arguments"), "payload.output"
+        "session_id", "i", call.alias("is_call"), F.nullif("payload.call_id", F.lit("")).alias("call_id"), F.col("payload.name").alias("tool"), F.coalesce("payload.arguments", "payload.input").alias("arguments"), "payload.output"
     )
     named, anon = ev.where("call_id is not null"), ev.where("call_id is null")
     named = named.withColumn("prev_call", F.lag(F.when(F.col("is_call"), F.struct("i", "tool", "arguments"))).over(Window.partitionBy("session_id", "call_id").orderBy("i")))
     paired = named.where("not is_call").select("session_id", "i", F.col("prev_call.i").alias("call_i"), F.col("prev_call.tool").alias("tool"), F.col("prev_call.arguments").alias("arguments"), "output")
-    k = anon.withColumn("k", F.row_number().over(Window.partitionBy("session_id", "is_call").orderBy("i")))
-    lone = k.where("not is_call").select("session_id", "k", "i", "output").join(
-        k.where("is_call").select("session_id", "k", F.col("i").alias("call_i"), "tool", "arguments"), ["session_id", "k"], "left"
+    # The queue's length is the running sum of calls less outputs, lifted by its lowest point so far;
+    # an output at a new lowest point finds it empty.
+    w = Window.partitionBy("session_id").orderBy("i")
+    step = anon.withColumn("s", F.sum(F.when(F.col("is_call"), 1).otherwise(-1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    low = F.least(F.lit(0), F.coalesce(F.min("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    k = step.withColumn("void", ~F.col("is_call") & (F.col("s") < low)).withColumn("k", F.row_number().over(Window.partitionBy("session_id", "is_call", "void").orderBy("i")))
+    outs = k.where("not is_call").select("session_id", F.when(~F.col("void"), F.col("k")).alias("k"), "i", "output")
+    lone = outs.join(k.where("is_call").select("session_id", "k", F.col("i").alias("call_i"), "tool", "arguments"), ["session_id", "k"], "left").select(
+        "session_id", "i", "call_i", "tool", "arguments", "output"
     )
-    ok = F.coalesce(F.col("call_i") < F.col("i"), F.lit(False))
-    lone = lone.select("session_id", "i", F.when(ok, F.col("call_i")).alias("call_i"), F.when(ok, F.col("tool")).alias("tool"), F.when(ok, F.col("arguments")).alias("arguments"), "output")
     both = paired.unionByName(lone)
     s = T.tool_semantics(F.col("tool"), F.col("arguments"))
     return both.select("session_id", "i", "call_i", "tool", F.when(F.col("call_i").isNotNull(), s["action"]).alias("action"), F.when(F.col("call_i").isNotNull(), s["method"]).alias("method"), "output")
@@ -122,7 +128,8 @@ def merge_split_messages(rows: DataFrame) -> DataFrame:
 
 def normalized(lines: DataFrame) -> DataFrame:
     """Enveloped lines as records in input order: texts, tool calls, outputs, usage and interrupts, densely numbered."""
-    rows = forward_fill_model(envelopes(lines))
+    # Every line is parsed and ranked once.
+    rows = forward_fill_model(materialize(envelopes(lines), "envelopes"))
     content = F.from_json("payload.content", "array<struct<type:string,text:string>>")
     texts = F.transform(F.filter(content, lambda b: b["type"].isin("input_text", "output_text", "text") & b["text"].isNotNull()), lambda b: b["text"])
     base = rows.withColumn("texts", F.when((F.col("type") == "response_item") & (F.col("payload.type") == "message"), F.coalesce(texts, F.when(F.col("payload.content").rlike(r"^[^\[]"), F.array("payload.content")))))
@@ -143,3 +150,30 @@ def normalized(lines: DataFrame) -> DataFrame:
     all_rows = said.unionByName(calls).unionByName(outs).unionByName(stops).unionByName(used)
     renum = ranked(all_rows.withColumns({"record_index": F.col("i"), "rec_id": F.col("i"), "ts": F.lit(None).cast("timestamp")}).withColumnRenamed("i", "line"))
     return renum.drop("record_index", "rec_id", "ts")
+
+
+def as_records(normal: DataFrame) -> DataFrame:
+    """Normalised lines as the ordered rows every analysis reads: one row per message with its blocks.
+
+    Tool calls carry what they did as ``action`` and ``method``, results whether
+    they failed and why; usage stands on a system row, an interrupt too.
+    """
+    block = "struct<type:string,text:string,id:string,name:string,input:string,tool_use_id:string,content:string,is_error:boolean,thinking:string>"
+    null = F.lit(None).cast("string")
+
+    def one(kind: str, text=null, name=null, content=null, is_error=None):
+        e = F.lit(None).cast("boolean") if is_error is None else is_error
+        return F.array(F.struct(F.lit(kind).alias("type"), text.alias("text"), null.alias("id"), name.alias("name"), null.alias("input"), null.alias("tool_use_id"), content.alias("content"), e.alias("is_error"), null.alias("thinking")))
+
+    k = F.col("kind")
+    blocks = (
+        F.when(k.isin("user", "assistant"), one("text", text=F.col("text"))).when(k == "tool_use", one("tool_use", name=F.coalesce("tool", F.lit("Unknown tool"))))
+        .when(k.isin("tool_result", "tool_error"), one("tool_result", content=F.col("error_summary"), is_error=k == "tool_error")).otherwise(F.array().cast(f"array<{block}>"))
+    )
+    usage = F.when(k == "usage", F.from_json("text", "input_tokens bigint, output_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint"))
+    kind = F.when(k.isin("user", "tool_result", "tool_error"), "user").when(k.isin("assistant", "tool_use"), "assistant").otherwise("system")
+    return normal.select(
+        "session_id", F.col("i").alias("rec_id"), null.alias("uuid"), F.lit("codex").alias("agent"), kind.alias("type"), F.expr("try_to_timestamp(ts_raw)").alias("ts"), k.isin("tool_result", "tool_error").alias("is_meta"),
+        F.lit(False).alias("is_api_error"), F.lit(False).alias("is_replay"), null.alias("cwd"), F.when(k == "interrupt", "interrupt").alias("subtype"), F.when(k == "interrupt", "interrupt").alias("sys_content"),
+        F.when(k.isin("assistant", "tool_use", "usage"), F.col("model")).alias("model"), null.alias("message_id"), usage.alias("usage"), F.when(k.isin("user", "assistant"), T.trimmed(F.col("text"))).otherwise("").alias("text"), blocks.alias("blocks"), "i", "action", "method",
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
-from threadloom.operators import cohort, detectors, drift, evidence, normalize, phrases, redaction, speech, stats
+from threadloom.operators import cohort, detectors, drift, evidence, judges, normalize, phrases, redaction, speech, stats
 from threadloom.operators.ordered import canonical, ranked, running
 from threadloom.plans.oracle import SQL  # noqa: F401
 from threadloom.session import materialize, read_table
@@ -312,6 +312,21 @@ def workaround_card(spark: SparkSession, d: str) -> DataFrame:
     return c.select("count", "example", F.to_json("models").alias("models"))
 
 
+@query
+def tone_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Requests to a judge of tone: how many candidates each holds, and the ids it may answer."""
+    c = materialize(speech.tone_candidates(_plain(spark, d)), "tone")
+    local = c.join(speech.tone_batches(c), "rank").select(F.concat(F.lit("interaction-"), F.format_string("%02d", "batch_rank")).alias("candidate_id"), "text", "occurrences", "batch")
+    r = judges.requests(local, "tone", "Say of each message whether it is frustrated and whether it is grateful.", batch=F.col("batch"))
+    return r.select("batch", "n", F.get_json_object("request", "$.answer.verdicts").cast("int").alias("verdicts"), F.get_json_object("request", "$.answer.ids").alias("ids"))
+
+
+@query
+def funniest_quote(spark: SparkSession, d: str) -> DataFrame:
+    c = materialize(speech.tone_candidates(_plain(spark, d)), "tone")
+    return speech.funniest(c, speech.keyword_tones(c))
+
+
 @query
 def judge_coverage(spark: SparkSession, d: str) -> DataFrame:
     c = speech.tone_candidates(_plain(spark, d))
@@ -482,8 +497,8 @@ def opt_out_anti(spark: SparkSession, d: str) -> DataFrame:
 def phrase_wall_last_n(spark: SparkSession, d: str) -> DataFrame:
     """The newest phrases fit for a card, out of the documents' lines of plain words."""
     docs = read_table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), r"[^a-z' ]+")).alias("line", "phrase"))
-    p = docs.select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("at"), F.trim("phrase").alias("phrase"))
-    return cohort.card_phrases(p, "phrase", "at")
+    p = docs.select((F.col("doc_id") * 1_000_000 + F.col("line")).alias("spot"), F.trim("phrase").alias("phrase"))
+    return cohort.card_phrases(p, "phrase", "spot")
 
 
 @query

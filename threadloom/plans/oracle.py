@@ -138,6 +138,13 @@ def _plain_letters(c: str) -> str:
     return f"replace(replace(replace(translate({c}, {_s(wide)}, {_s(''.join(chr(o - 0xFEE0) for o in range(0xFF01, 0xFF5F)))}), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '™', 'TM')"
 
 
+def _opening(c: str) -> str:
+    c = f"coalesce(nullif(regexp_extract({c}, '(?is)(?:^|\\n)## My request:\\s*(.*)$', 1), ''), {c})"
+    for p in (*(rf"(?is)<{t}>.*?</{t}>" for t in P.CLIENT_TAGS), r"(?im)^\s*# AGENTS\.md instructions\s*$", r"(?is)<image\b[^>]*>.*?</image>", r"\s+"):
+        c = f"regexp_replace({c}, {_s(p)}, ' ', 'g')"
+    return f"trim({c}, ' ')"
+
+
 def _evidence(c: str) -> str:
     for p, r in ((r"(?s)```.*?```", "[CODE OMITTED]"), (r"`[^`\n]{24,}`", "[INLINE CODE OMITTED]")):
         c = f"regexp_replace({c}, {_s(p)}, {_s(r)}, 'g')"
@@ -461,9 +468,21 @@ SQL: dict[str, str] = {
       select s.session_id, s.part_index, case when full_ then 1 else n + 1 end, case when full_ then s.bytes else used + s.bytes end, case when full_ then batch + 1 else batch end
       from (select gr.*, sz.bytes, sz.part_index as next, gr.n >= 12 or gr.used + sz.bytes > 150000 as full_ from gr join sz on sz.session_id = gr.session_id and sz.part_index = gr.part_index + 1) x join sz s on s.session_id = x.session_id and s.part_index = x.next
     )""") + "select session_id, part_index::int as part_index, batch from gr",
+    "tone_requests": _with(_TONE_CTE, "tb as (select ((rank - 1) // 30)::int as batch, 'interaction-' || lpad(((rank - 1) % 30 + 1)::varchar, 2, '0') as id from tone)") + "select batch, count(*) as n, count(*)::int as verdicts, '[' || string_agg('\"' || id || '\"', ',' order by id) || ']' as ids from tb group by batch",
+    "funniest_quote": _with(_TONE_CTE) + f"select rank, text from tone where {_frustrated(_tone_prose('text', False))} order by rank limit 1",
+    "mask_names": f"select doc_id, {_mask('text')} as masked from documents",
+    "split_merge": _with("""sm as (select session_id, i, type, message_id, model, usage, blocks, coalesce(case when type = 'assistant' then message_id end, 'row ' || i) as key from r),
+      sb as (select session_id, key, i, to_json(b)::varchar as j from (select session_id, key, i, unnest(blocks) as b from sm)),
+      sk as (select *, min(i) over (partition by session_id, key, j) as first_i from sb), sn as (select session_id, key, count(*) filter (first_i = i) as n_blocks from sk group by all)""")
+    + "select session_id, min(i) as i, count(*) as n_rows, arg_min(model, i) filter (coalesce(model, '') <> '') as model, coalesce(any_value(n_blocks), 0)::int as n_blocks from sm left join sn using (session_id, key) group by session_id, key",
+    "donation_preview": _with(f"""dm as (select session_id, i, type as role, {_redact('text', False)} as text from r where type in ('user', 'assistant') and text <> ''),
+      dopen as (select session_id, role, i, {_opening('text')} as o from dm),
+      dfirst as (select session_id, arg_min(o, i) filter (role = 'user' and o <> '') as asked, arg_min(o, i) as any_ from dopen group by session_id),
+      ds as (select session_id, trim(regexp_replace(regexp_replace(coalesce(nullif(asked, ''), nullif(any_, ''), 'Session transcript'), '\\[(?:REDACTED|REMOVED)[^\\]]*\\]', 'private detail', 'g'), '\\s+', ' ', 'g'), ' ') as t from (select distinct session_id from r) left join dfirst using (session_id))""")
+    + f"select session_id, i, role, text, {_ellipsis('t', 110)} as session_summary from ds left join dm using (session_id)",
     "judge_coverage": "select 0::bigint as missing, 0::bigint as unknown, 0::bigint as repeated",
     "evidence_preview": _with(_MARK_CTE, f"""pt as (select session_id, i, type, text, {_PROMPT} as is_prompt, sum(case when {_PROMPT} then 1 else 0 end) over (partition by session_id order by i) as turn from r),
-      op as (select session_id, min(i) as opening_i, min_by(text, i) as t from pt where is_prompt group by session_id), oc as (select distinct session_id, i from found where kind = 'repetition' order by session_id, i limit 100),
+      op as (select session_id, min(i) as opening_i, min_by(o, i) as t from (select *, {_opening('text')} as o from pt where is_prompt) where o <> '' group by session_id), oc as (select distinct session_id, i from found where kind = 'repetition' order by session_id, i limit 100),
       ot as (select session_id, opening_i, trim(regexp_replace(t, '\\s+', ' ', 'g'), ' ') as t from op)""")
     + f"select oc.session_id, oc.i, {_ellipsis('t', 110)} as opening, case when oc.i > opening_i then greatest(0, turn - 1 - is_prompt::int) else 0 end::bigint as turns_between from oc join pt using (session_id, i) left join ot using (session_id)",
     "number_formats": "select o_orderkey, case when n >= 1000000000 then format('{:.1f}B', floor(n * 10 / 1e9 + 0.5) / 10) when n >= 1000000 then format('{:.1f}M', floor(n * 10 / 1e6 + 0.5) / 10) when n >= 1000 then format('{:.1f}K', floor(n * 10 / 1e3 + 0.5) / 10) else n::varchar end as compact, case when n < 60 then n || 'm' else (n // 60) || 'h ' || (n % 60) || 'm' end as duration, n || case when n % 100 between 11 and 13 then 'th' when n % 10 = 1 then 'st' when n % 10 = 2 then 'nd' when n % 10 = 3 then 'rd' else 'th' end as ordinal from (select o_orderkey, floor(o_totalprice)::bigint as n from orders)",
@@ -489,7 +508,7 @@ SQL: dict[str, str] = {
       s as (select point, x, sum(n * exp(-0.5 * pow((v - x) / h, 2))) as d from x, d group by all) select point, round(x, 6) as x, round(d / max(d) over (), 4) as density from s""",
     "cohort_latest_upsert": "select o_custkey, o_orderkey, o_orderdate, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1",
     "opt_out_anti": "select c_custkey, c_mktsegment from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderstatus = 'O')",
-    "phrase_wall_last_n": "select at, phrase from (select doc_id * 1000000 + k - 1 as at, trim(p, ' ') as phrase from (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1) as k from (select doc_id, string_split_regex(lower(text), '[^a-z'' ]+') as ps from documents where text is not null))) where regexp_matches(phrase, " + _s(P.CARD_PHRASE) + ") order by at desc limit 200",
+    "phrase_wall_last_n": "select spot, phrase from (select doc_id * 1000000 + k - 1 as spot, trim(p, ' ') as phrase from (select doc_id, unnest(ps) as p, generate_subscripts(ps, 1) as k from (select doc_id, string_split_regex(lower(text), '[^a-z'' ]+') as ps from documents where text is not null))) where regexp_matches(phrase, " + _s(P.CARD_PHRASE) + ") order by spot desc limit 200",
     "leaderboard_aggregate": _with(_WORDS_CTE, _TOTALS_CTE, _AVG_CTE, f"tn0 as (select {_tone_prose('text', False)} as p from r where {_PROMPT})", f"tn as (select count(*) filter ({_frustrated('p')}) as frustrated, count(*) filter ({_has('p', P.GRATITUDE)}) as grateful from tn0)", _PHRASE_CTE, "best as (select * from phr order by sessions desc, occurrences desc, n desc, phrase limit 1)")
     + "select t.sessions, greatest(0, tokens) as tokens, agent_words, user_words, least(10000.0, coalesce(agent_user_ratio, 0))::double as word_ratio, grateful as grateful_messages, frustrated as frustrated_messages, case when grateful + frustrated > 0 then floor(grateful * 1000 / (grateful + frustrated) + 0.5) / 10 end as good_human_score, best.phrase as favorite_phrase, best.occurrences as phrase_occurrences, best.sessions as phrase_sessions from totals t, word_averages, tn left join best on true",
     "median_quantiles": "select event_type, quantile_cont(value, 0.25) as q25, quantile_cont(value, 0.5) as q50, quantile_cont(value, 0.75) as q75 from events group by event_type",
