@@ -42,11 +42,11 @@ def test_files_are_numbered_and_bad_lines_dropped(spark, tmp_path):
 
 
 def test_forked_sessions_keep_only_their_own_usage(spark):
-    lines = envelope(("session_meta", {"id": "x", "forked_from_id": "y"}), usage(1000, 100), usage(2000, 200), ("turn_context", {"model": "gpt-5.6-sol"}), usage(2200, 250, 0, 100))
+    lines = envelope(("session_meta", {"id": "x", "forked_from_id": "y"}), usage(310, 41), usage(777, 95), ("turn_context", {"model": "gpt-4.1-mini"}), usage(790, 131, 0, 17))
     rows = normalize.forward_fill_model(normalize.envelopes(lines_df(spark, lines)))
     d = normalize.usage_deltas(rows).collect()
-    assert [(r.input_tokens, r.output_tokens, r.cache_creation_input_tokens, r.cache_read_input_tokens) for r in d] == [(200, 50, 0, 100)]
-    assert {r.model for r in rows.collect()} == {"gpt-5.6-sol"}
+    assert [(r.input_tokens, r.output_tokens, r.cache_creation_input_tokens, r.cache_read_input_tokens) for r in d] == [(13, 36, 0, 17)]
+    assert {r.model for r in rows.collect()} == {"gpt-4.1-mini"}
 
 
 def test_interleaved_calls(spark):
@@ -99,3 +99,61 @@ def test_lines_of_a_stream(spark, tmp_path):
     s = streams.line_stream(spark, f"{tmp_path}/in").select(F.get_json_object("raw", "$.a").alias("a"))
     streams.run_available(s, f"{tmp_path}/o", f"{tmp_path}/c")
     assert spark.read.parquet(f"{tmp_path}/o").count() == 2
+
+
+def test_three_dialects_under_one_schema(spark, tmp_path):
+    from threadloom.operators import stats
+    from threadloom.operators.ordered import canonical
+
+    msg = lambda t, text, **kw: json.dumps({"type": t, "timestamp": "2026-01-01T10:00:00Z", "message": {"role": t, "content": text} | kw.pop("m", {})} | kw)
+    for path, lines in {
+        "claude/proj/a.jsonl": [msg("user", "hi", uuid="u1", cwd="/work/my-app"), "{broken", msg("assistant", [{"type": "text", "text": "yes"}, {"type": "tool_use", "name": "Bash", "id": "c", "input": {"command": "ls"}}], uuid="u2", m={"model": "m"})],
+        "codex/deep/er/b.jsonl": envelope(("turn_context", {"model": "g"}), ("response_item", {"type": "message", "role": "user", "content": [{"type": "input_text", "text": "do it"}]}), usage(5, 7), ("response_item", {"type": "function_call", "name": "exec", "arguments": "{\"cmd\": \"rm x\"}"}), ("response_item", {"type": "function_call_output", "output": "permission denied"})),
+        "cowork/ws/local_1/audit.jsonl": [msg("user", "old", isReplay=True), msg("user", "new", uuid="n"), msg("user", "new", uuid="n"), msg("assistant", [{"type": "text", "text": "a"}], uuid="x", m={"id": "M"}), msg("assistant", [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}], uuid="y", m={"id": "M", "model": "q"})],
+        "cowork/ws/local_1.json": [json.dumps({"title": "T", "createdAt": 1767000000000, "lastActivityAt": 1767000100000})], "cowork/ws/other/audit.jsonl": [msg("user", "no")],
+    }.items():
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("\n".join(lines))
+    lines = jsonl.discover_all(spark, f"{tmp_path}/claude", [f"{tmp_path}/codex", f"{tmp_path}/nowhere"], f"{tmp_path}/cowork")
+    rows = jsonl.read_records(lines)
+    got = {(r.agent, r.i): (r.type, r.text, r.model, [b.type for b in r.blocks]) for r in rows.collect()}
+    assert got == {
+        ("claude", 0): ("user", "hi", None, ["text"]), ("claude", 1): ("assistant", "yes", "m", ["text", "tool_use"]),
+        ("codex", 0): ("user", "do it", None, ["text"]), ("codex", 1): ("system", "", "g", []), ("codex", 2): ("assistant", "", "g", ["tool_use"]), ("codex", 3): ("user", "", None, ["tool_result"]),
+        ("cowork", 0): ("user", "new", None, ["text"]), ("cowork", 1): ("assistant", "a\nb", "q", ["text", "text"]),
+    }
+    assert stats.turn_stats(rows).count() == 3 and stats.usage_share(rows).where("tokens > 0").first().tokens == 12
+    assert rows.where("agent = 'codex' and size(blocks) > 0 and blocks[0].is_error").count() == 1
+    files = lines.select(jsonl.session_of(F.col("file")).alias("session_id"), "file", "agent", F.col("file_size").alias("size_bytes"), "modified_at").distinct()
+    side = jsonl.side_times(lines, jsonl.side_metadata(spark, f"{tmp_path}/cowork"))
+    cat = {r.agent: r for r in stats.catalogue(rows, files, side).collect()}
+    assert (cat["claude"].project_name, cat["claude"].prompt_count, cat["claude"].record_count) == ("My App", 1, 2) and cat["cowork"].project_name == "Cowork"
+    assert cat["cowork"].started_at.timestamp() == 1767000000 and cat["codex"].agent_name == "Codex"
+    assert jsonl.corpus_size(lines).first().files == 3 and {r.lines for r in jsonl.fold_files(lines).collect()} == {2, 5}
+    assert stats.selected(stats.catalogue(rows, files), [cat["claude"].project_id], "2026-01-01", "2026-01-01").count() == 1
+
+
+def test_stores(spark, tmp_path):
+    from threadloom.sources import store
+
+    root, schema = f"file://{tmp_path}/reports", "id string, createdAt string, n int"
+    assert store.list_reports(spark, root, schema).count() == 0
+    row = lambda i, at, n: spark.createDataFrame([(i, at, n)], schema)
+    store.save_report(row("report-1", "2026-01-01", 1), root, "report-1")
+    store.save_report(row("report-2", "2026-01-02", 2), root, "report-2")
+    assert [r.n for r in store.list_reports(spark, root, schema).collect()] == [2, 1] and store.load_report(spark, root, "report-1", schema).first().n == 1
+    import pytest
+
+    with pytest.raises(Exception):
+        store.save_report(row("report-1", "x", 3), root, "report-1")
+    with pytest.raises(ValueError):
+        store.save_report(row("../x", "x", 3), root, "../x")
+    at, ix = f"file://{tmp_path}/index", "agent string, file string, file_size long, modified_at int"
+    index = lambda *r: spark.createDataFrame(list(r), ix)
+    assert store.read_index(spark, at, ix).count() == 0
+    store.write_index(index(("a", "f", 1, 1), ("a", "g", 1, 1)), at)
+    fresh = jsonl.merge_index(store.read_index(spark, at, ix), index(("a", "f", 2, 2)))
+    store.write_index(fresh, at)
+    assert sorted(map(tuple, store.read_index(spark, at, ix).collect())) == [("a", "f", 2, 2), ("a", "g", 1, 1)]
+    assert jsonl.new_files(index(("a", "f", 2, 2), ("a", "g", 5, 1)), store.read_index(spark, at, ix)).count() == 1

@@ -41,7 +41,7 @@ def test_words_sentences_and_prose(spark):
     assert one(spark, "nothing", T.repaired_json) is None
 
 
-@pytest.mark.parametrize("text, safe", [("fine text", True), ("x", False), ("mail a.b@c.org", False), ("see https://x.y", False), ("token = \"abcd\"", False), ("A" * 45, False), (None, False)])
+@pytest.mark.parametrize("text, safe", [("fine text", True), ("x", False), ("mail a.b@c.org", False), ("see https://x.y", False), ("token=abcdefghijkl1", False), ("token = \"abcd\"", True), ("line\nbreak", False), ("<b>x</b>", False), ("A" * 45, False), (None, False)])
 def test_share_safe(spark, text, safe):
     assert one(spark, text, lambda c: T.share_safe(c, 2, 240)) is safe
 
@@ -107,7 +107,7 @@ def test_donation_preview_holds_every_session(make_records):
     rows = canonical(make_records([*(record(k, session=f"s{k}", text=said if k == 0 else f"hello {k}") for k in range(300)), record(999, session="empty", text="")]))
     got = {r.session_id: r for r in cohort.donation_preview(rows).collect()}
     assert len(got) == 301 and got["s299"].text == "hello 299"
-    assert got["s0"].text == got["s0"].session_summary == "my [REDACTED CREDENTIAL] and [REDACTED EMAIL]"
+    assert got["s0"].text == "my [REDACTED CREDENTIAL] and [REDACTED EMAIL]" and got["s0"].session_summary == "my private detail and private detail"
     assert (got["empty"].text, got["empty"].session_summary) == (None, "Session transcript")
     assert {(r.kind, r.value, r.n) for r in cohort.donation_inventory(rows).collect()} == {("credential", "password: hunter2horse", 1), ("redacted-email", "a.b@c.org", 1)}
 

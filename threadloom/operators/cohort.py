@@ -245,12 +245,20 @@ def opened(sealed_text: Column, key: Column, aad: Column) -> Column:
 
 
 def valid_envelope(envelope: Column) -> Column:
-    """Whether JSON is an envelope of an encrypted donation: format, report id, base64url parts of the right sizes and nothing else."""
-    field = lambda k: F.get_json_object(envelope, f"$.{k}")
-    b64 = lambda k, lo, hi: field(k).rlike(r"^[A-Za-z0-9_-]+$") & F.length(field(k)).between(lo, hi)
-    keys = F.array_sort(F.json_object_keys(envelope))
-    names = sorted(["version", "reportId", "algorithm", "encryptedKey", "iv", "ciphertext", "createdAt"])
+    """Whether JSON is an envelope of a sealed donation: just these keys, base64url parts of the right sizes, bounded counts, consent that fits the mode."""
+    v = F.from_json(envelope, (
+        "format string, encryption struct<algorithm:string,keyId:string,wrappedKey:string,iv:string,authTag:string>, ciphertext string, metadata struct<reportId:string,redactionMode:string,"
+        "createdAt:string,consentedAt:string,consentVersion:int,unredactedData:boolean,automatedDetections:long,sessions:long,messages:long>"
+    ))
+    enc, meta = v["encryption"], v["metadata"]
+    just = lambda path, names: F.array_sort(F.json_object_keys(F.get_json_object(envelope, path))) == F.array(*(F.lit(n) for n in sorted(names.split())))
+    part = lambda c, lo, hi: c.rlike("^[A-Za-z0-9_-]+$") & F.length(c).between(lo, hi)
+    time = r"^\d{4}-\d{2}-\d{2}T"
     return F.coalesce(
-        (keys == F.array(*(F.lit(k) for k in names))) & field("reportId").rlike("^[A-Za-z0-9_-]{8,32}$") & b64("iv", 16, 16) & b64("encryptedKey", 300, 800) & b64("ciphertext", 24, 2_500_000) & field("createdAt").rlike(r"^\d{4}-\d{2}-\d{2}T"),
+        just("$", "format encryption ciphertext metadata") & just("$.encryption", "algorithm keyId wrappedKey iv authTag")
+        & just("$.metadata", "reportId redactionMode createdAt consentedAt consentVersion unredactedData automatedDetections sessions messages")
+        & part(enc["wrappedKey"], 480, 700) & part(enc["iv"], 16, 16) & part(enc["authTag"], 22, 22) & part(v["ciphertext"], 1, -(-DONATION_BYTES // 3) * 4) & meta["reportId"].rlike("^[A-Za-z0-9_-]{8,32}$")
+        & meta["redactionMode"].isin("standard", "custom", "unredacted") & meta["createdAt"].rlike(time) & meta["consentedAt"].rlike(time) & meta["consentVersion"].isin(1, 2)
+        & (meta["unredactedData"] == (meta["redactionMode"] == "unredacted")) & meta["automatedDetections"].between(0, 1_000_000) & meta["sessions"].between(1, DONATION_SESSIONS) & meta["messages"].between(1, DONATION_MESSAGES),
         F.lit(False),
     )
