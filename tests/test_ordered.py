@@ -60,3 +60,15 @@ def test_repetition_and_verification(make_records):
     ]
     got = {(r.i, r.kind, r.score) for r in detectors.detect(canonical(make_records(rows))).collect()}
     assert got == {(1, "repetition", 0.66), (3, "verification", 0.72), (4, "correction", 0.81), (6, "clarification", 0.76)}
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from threadloom.session import materialize, scratch
+
+    with scratch():
+        df = materialize(spark.range(3), "x")
+        path = df.inputFiles()[0].removeprefix("file://")
+        assert df.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)

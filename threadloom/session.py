@@ -1,8 +1,8 @@
 """Session helpers: where shared intermediate tables go and how they are cut.
 
 Lineage is cut by writing Parquet into the folder that ``spark.checkpoint.dir``
-names (all executors share it).  Only where that setting is missing, as in
-tests, a local folder is created and set.
+names (all executors share it).  Only where that setting is missing and the
+master is local, as in tests, a local folder is created and set.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,9 +37,11 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables; set to a fresh one only where unset."""
+    """The folder for intermediate tables; set to a fresh one only where unset and everything runs on one machine."""
     at = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_KEY} must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="threadloom-")
         spark.conf.set(_KEY, at)
     return at.rstrip("/")
@@ -66,6 +70,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the intermediate tables written inside the block when it is left, so a long session doesn't fill the shared folder.
+
+    Results must have been written or collected by then.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        while len(_written) > before:
+            delete_path(*_written.pop())
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
