@@ -99,6 +99,7 @@ _IDS = {
 #: Bare digits behind a word that says what they are.
 _LABELLED_ID = re.compile(r"\b(?:ssn|social security(?: number)?|passport(?: number)?|national id|tax id|dni|nif|cpf|снилс|инн|паспорт)\W{0,4}(?:(?:is|number|no|№)\W{0,3})?(\d{6,12}|[A-Z]{1,2}\d{6,9}[A-Z]?)(?![A-Za-z0-9_.\-])", re.I)
 _LABELLED_PHONE = re.compile(r"\b(?:phone|telephone|tel|mobile|cell|whatsapp|call (?:me|us)?(?: at| on)?|ring|telefon|teléfono|telefone|téléphone|телефон)\W{0,4}(?:(?:is|number|no)\W{0,3})?(\+?\d{9,13})(?![A-Za-z0-9_.\-])", re.I)
+_LONG_NUMBER = re.compile(r"\d{6}")
 #: International bank account numbers, whose groups look like telephone numbers.
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ID = re.compile(_LEFT_EDGE + "(?:" + "|".join(f"(?P<{k}>{v})" for k, v in _IDS.items()) + ")" + _RIGHT_EDGE)
@@ -144,9 +145,18 @@ _HAN_CALLED = re.compile(rf"(?:我叫|名叫|姓名[是为：: ]{{0,2}}|联系
 _KANA_NAME = re.compile(r"(?<![\u4e00-\u9fff])([\u4e00-\u9fff]{2,3}[ 　][\u4e00-\u9fff]{1,3})(?=さん|様|氏|先生|君)")
 
 
+#: Words one of which a title or a relation holds; a text without any is passed over at once.
+_TITLE_WORDS = ("Dr", "Mr", "Ms", "Miss", "Prof", "Sir", "Frau", "Herr", "Mme", "Mlle", "Monsieur", "Madame", "Sr", "Señor", "Senhor", "Don", "Sig", "Mevrouw", "Meneer", "Pan")
+_RELATION_WORDS = ("sk ", "ell ", "ing ", "act ", "ail ", "eet ", "ank ", "ify ", "ite ", "ed to ", "ed by ", "ten by ", "ards,", "rely,", "is is ", " am ", "uthor", "wner", "ignee", "iewer", "ame", "omer", "ient", "oyee", "ombre", "om ", "om:", "ome", "rag", "unta a ", "ande à ", "unte a ")
+_CAPITALS = re.compile(r"[A-ZÀ-Þ][^\W\d_]+(?: [A-Z]\.)? (?:[A-Za-z]{2,3}[ -])?[A-ZÀ-Þ][^\W\d_]")
+
+
 def _by_context(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, form) of names that their surroundings give away, whatever they are."""
-    for pattern, form in ((_TITLED, "titled"), (_RELATED, "related")):
+    paired = _CAPITALS.search(text)
+    for pattern, words, form in ((_TITLED, _TITLE_WORDS, "titled"), (_RELATED, _RELATION_WORDS, "related")):
+        if not paired or not any(w in text for w in words):
+            continue
         for m in pattern.finditer(text):
             if not any(w.lower().strip(".") in _STOP for w in m[1].split()):
                 yield *m.span(1), form
@@ -227,14 +237,15 @@ def candidates(text: str) -> list[tuple[int, int, str, str, tuple[int, ...]]]:
     digits = any(c.isdigit() for c in text)
     if digits:
         raw += [(*m.span(), "id_number", m.lastgroup, 1, 0) for m in _ID.finditer(text)]
-        raw += [(*m.span(1), "id_number", "labelled", 1, 1) for m in _LABELLED_ID.finditer(text)]
-        raw += [(*m.span(1), "phone", "labelled", 1, 1) for m in _LABELLED_PHONE.finditer(text)]
+        if _LONG_NUMBER.search(text):
+            raw += [(*m.span(1), "id_number", "labelled", 1, 1) for m in _LABELLED_ID.finditer(text)]
+            raw += [(*m.span(1), "phone", "labelled", 1, 1) for m in _LABELLED_PHONE.finditer(text)]
         raw += [(*m.span(), "phone", m.lastgroup, 1 if m.lastgroup != "other" else 0, 1 if m[0][0] in "+(0" or m.lastgroup == "nanp" else 0) for m in _PHONE.finditer(text)]
         raw += [(*m.span(), "address", m.lastgroup, 1, 1) for m in _ADDRESS.finditer(text)]
     raw += [(a, b, "name", form, sv, gv) for a, b, form, sv, gv in _names(text, text.translate(_FOLD))]
     rank = {k: i for i, k in enumerate(KINDS)}
     out: list[tuple[int, int, str, str, tuple[int, ...]]] = []
-    used: list[tuple[int, int]] = [m.span() for m in _IBAN.finditer(text)] if digits else []
+    used: list[tuple[int, int]] = [m.span() for m in _IBAN.finditer(text)] if raw and digits else []
     for a, b, kind, form, shape, gaz in sorted(raw, key=lambda x: (rank[x[2]], x[0] - x[1], x[0])):
         if any(a < d and c < b for c, d in used):
             continue
