@@ -190,6 +190,9 @@ def _plain(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
 
 
+_memos: dict[int, tuple[dict, dict]] = {}
+
+
 class Centroids:
     """TF-IDF weights and unit centroids, several per language."""
 
@@ -200,8 +203,14 @@ class Centroids:
         self.held = sorted(set(owner), key=owner.index)
         self.starts = np.array([owner.index(k) for k in self.held])
         self.slots = [LANGUAGES.index(k) for k in self.held]
-        self.words: dict[str, tuple[np.ndarray, np.ndarray, float, int]] = {}
-        self.sentences: dict[str, tuple[float, ...]] = {}
+        self.words: dict[str, tuple[np.ndarray, np.ndarray, float, int]]
+        self.sentences: dict[str, tuple[float, ...]]
+        # What a worker has learnt in one task serves the next ones of the same model.
+        mark = zlib.crc32(self.centroids.tobytes())
+        if mark not in _memos:
+            _memos.clear()
+            _memos[mark] = ({}, {})
+        self.words, self.sentences = _memos[mark]
 
     def __getstate__(self):
         return self.index, self.idf, self.centroids, self.owner, self.unknown, self.bounds
@@ -252,14 +261,14 @@ class Centroids:
 
     def _word(self, w: str) -> tuple[np.ndarray, np.ndarray, float, int]:
         """(feature ids, their part of the product with every centroid, squared weight of unknown features, unknown letters) of a word."""
-        ids, beyond, letters = [], 0.0, 0
-        for g in grams(w):
-            j = self.index.get(g)
-            if j is not None:
-                ids.append(j)
-            else:
-                beyond += (WORD_WEIGHT * self.unknown if g[0] == "\x02" else self.unknown) ** 2
-                letters += len(g) == 1 and not _CJK.match(g)
+        own = grams(w)
+        get = self.index.get
+        ids = [j for g in own if (j := get(g)) is not None]
+        beyond, letters = 0.0, 0
+        if len(ids) < len(own):
+            away = [g for g in own if g not in self.index]
+            beyond = self.unknown**2 * sum(WORD_WEIGHT**2 if g[0] == "\x02" else 1 for g in away)
+            letters = sum(len(g) == 1 and not _CJK.match(g) for g in away)
         ids = np.array(ids, dtype=np.int64)
         hit = ids, self.idf[ids] @ self.by_feature[ids] if len(ids) else np.zeros(len(self.owner), np.float32), beyond, letters
         if len(self.words) < MEMO_WORDS:
