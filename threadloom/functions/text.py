@@ -257,7 +257,7 @@ def repaired_json(c: Column) -> Column:
     return F.coalesce(*(F.when(F.try_parse_json(x).isNotNull() & x.rlike(r"^\s*\{"), trimmed(x)) for x in (c, fenced, braces)))
 
 
-def token_distance(a: Column, b: Column, most: Column) -> Column:
+def token_distance(a: Column, b: Column, most: Column | int) -> Column:
     """Edit distance of two token arrays, -1 above ``most``.
 
     Each distinct token becomes one character, so the built-in character distance counts tokens.
@@ -265,9 +265,9 @@ def token_distance(a: Column, b: Column, most: Column) -> Column:
     words = F.array_distinct(F.concat(a, b))
     code = lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, t) + 65535), 8, "0")), "UTF-32")
     as_text = lambda x: F.array_join(F.transform(x, code), "")
-    return F.levenshtein(as_text(a), as_text(b), most) if isinstance(most, int) else F.when(
-        F.levenshtein(as_text(a), as_text(b)) <= most, F.levenshtein(as_text(a), as_text(b))
-    ).otherwise(-1)
+    limit = F.lit(most) if isinstance(most, int) else most.cast("int")
+    pair = F.array(F.struct(as_text(a).alias("x"), as_text(b).alias("y")))
+    return F.element_at(F.transform(pair, lambda p: F.call_function("levenshtein", p["x"], p["y"], limit)), 1)
 
 
 def contains_tokens(outer: Column, inner: Column) -> Column:

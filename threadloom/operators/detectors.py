@@ -34,12 +34,12 @@ def detect(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     h = h.withColumns({
         "verified": F.max(checks.cast("int")).over(frame(-7, 0)), "failed": F.last(last_tool, True).over(frame(-3, -1)),
         "later": F.flatten(F.collect_list("tools").over(frame(1, 6))), "soon": F.first("said", True).over(frame(1, 4)),
-        "answer": F.first(F.when(F.col("own"), F.col("said")), True).over(Window.partitionBy("session_id", "chunk").orderBy("i").rowsBetween(1, Window.unboundedFollowing)),
+        "answer": F.last(F.when(F.col("own"), F.col("said")), True).over(Window.partitionBy("session_id", "chunk").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)),
     }).where("own")
     heads = m.where("said is not null").withColumn("chunk", F.expr(f"i div {chunk}")).groupBy("session_id", "chunk").agg(F.min_by("said", "i").alias("head"))
-    # The first text of any later chunk: chunks with a text, looked at from behind.
+    # From behind, so that each row takes one step: the first text of any later chunk.
     chunks = m.select("session_id", F.expr(f"i div {chunk}").alias("chunk")).distinct().join(heads, ["session_id", "chunk"], "left").withColumn(
-        "beyond", F.first("head", True).over(Window.partitionBy("session_id").orderBy("chunk").rowsBetween(1, Window.unboundedFollowing))
+        "beyond", F.last("head", True).over(Window.partitionBy("session_id").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1))
     ).drop("head")
     h = h.join(chunks, ["session_id", "chunk"]).withColumn("answer", F.coalesce("answer", "beyond"))
     t, user, agent = F.col("text"), F.col("type") == "user", F.col("type") == "assistant"

@@ -408,6 +408,12 @@ def neardup_pairs(spark: SparkSession, d: str) -> DataFrame:
     return phrases.similar_pairs(phrases.variants(_rows(spark, d)))
 
 
+@query
+def neardup_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Near duplicates by every shared shingle, however common."""
+    return phrases.similar_pairs(phrases.variants(_rows(spark, d)), None, None)
+
+
 @query
 def family_components(spark: SparkSession, d: str) -> DataFrame:
     v = phrases.variants(_rows(spark, d))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from threadloom.functions import patterns as P
 
 #: Ordered rows per session, as operators.ordered.canonical makes them.
@@ -492,6 +494,7 @@ SQL: dict[str, str] = {
     "phrase_candidates": _with(_PHRASE_CTE) + "select * from phr",
     "phrase_variants": _with(_VARIANT_CTE) + "select variant_id, occurrences, sessions, openings from v",
     "neardup_pairs": _with(_VARIANT_CTE, _PAIRS_CTE) + "select left_id, right_id, similarity from pairs",
+    "neardup_pairs_all": _with(_VARIANT_CTE, re.sub(r" and posting <= greatest\(.*?\* 0\.05\)\)\)", "", _PAIRS_CTE).replace(" qualify row_number() over (partition by variant_id order by posting, k) <= 12", "")) + "select left_id, right_id, similarity from pairs",
     "family_components": _with(_VARIANT_CTE, _PAIRS_CTE, """ed as materialized (select left_id as u, right_id as w from pairs union select right_id, left_id from pairs),
       cc(u, m) as (select variant_id, variant_id from v union select ed.w, cc.m from cc join ed on ed.u = cc.u where cc.m < ed.w)""")
     + "select u as variant_id, min(m) as component from cc group by u",
