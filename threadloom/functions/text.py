@@ -101,7 +101,8 @@ def nfkc(c: Column) -> Column:
     def normal(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return F.coalesce(normal(F.when(c.rlike(f"[{_COMPATIBLE}]"), c)), c)
+    # The long class is only tried on texts beyond ASCII, which are few.
+    return F.coalesce(normal(F.when(c.rlike(r"[^\x00-\x7f]") & c.rlike(f"[{_COMPATIBLE}]"), c)), c)
 
 
 def word_count(c: Column) -> Column:
