@@ -94,6 +94,21 @@ def trajectory_safe(c: Column, most: int = 600) -> Column:
 _COMPATIBLE = "".join(chr(o) for o in range(0x80, 0x3400) if (n := unicodedata.normalize("NFKC", chr(o))) != chr(o) and re.search("[A-Za-z0-9']", n)) + "".join(chr(o) for o in range(0xFB00, 0xFB07)) + "".join(chr(o) for o in range(0xFF01, 0xFF5F))
 
 
+def _ranges(chars: str, gap: int = 1) -> str:
+    """A class of characters as ranges, over gaps of less than ``gap``: a class is tried one range after another."""
+    out: list[list[int]] = []
+    for o in sorted(map(ord, chars)):
+        if out and o - out[-1][1] <= gap:
+            out[-1][1] = o
+        else:
+            out.append([o, o])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+#: Most letters beyond ASCII are in none of the few wide ranges and so never tried against the many narrow ones.
+_HOLDS_COMPATIBLE = f"(?={_ranges(_COMPATIBLE, 100)}){_ranges(_COMPATIBLE)}"
+
+
 def nfkc(c: Column) -> Column:
     """Compatibility forms of letters and digits as plain ones; only texts that hold any go through Python."""
 
@@ -101,8 +116,8 @@ def nfkc(c: Column) -> Column:
     def normal(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    # The long class is only tried on texts beyond ASCII, which are few.
-    return F.coalesce(normal(F.when(c.rlike(r"[^\x00-\x7f]") & c.rlike(f"[{_COMPATIBLE}]"), c)), c)
+    # The class is only tried on texts beyond ASCII, which are few.
+    return F.coalesce(normal(F.when(c.rlike(r"[^\x00-\x7f]") & c.rlike(_HOLDS_COMPATIBLE), c)), c)
 
 
 def word_count(c: Column) -> Column:
