@@ -10,6 +10,7 @@ variants and not with their pairs.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -54,10 +55,11 @@ def _copies(tokens: list[str]) -> list[int]:
 
 
 def _keyed(v: DataFrame, weights: np.ndarray, heavy: dict[str, int], narrow: bool) -> DataFrame:
-    """A row per variant and key; with ``narrow``, the keys alone."""
+    """A row per variant and key; with ``narrow``, keys and how many variants of a batch have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            found: Counter[str] = Counter()
             keys: list[str] = []
             places: list[str] = []
             rows: list[int] = []
@@ -68,6 +70,9 @@ def _keyed(v: DataFrame, weights: np.ndarray, heavy: dict[str, int], narrow: boo
                 n = len(tokens)
                 copies = _copies(tokens) if len(set(tokens)) < n else [0] * n
                 best = [x[3] for x in sorted(zip(rarity[end - n : end], tokens, copies, range(n)))[: most_edits(n) + 1]]
+                if narrow:
+                    found.update(f"{copies[p]} {tokens[p]}" for p in best)
+                    continue
                 chosen = "".join(map(chr, best))
                 for k, p in enumerate(best):
                     key = f"{copies[p]} {tokens[p]}"
@@ -78,7 +83,7 @@ def _keyed(v: DataFrame, weights: np.ndarray, heavy: dict[str, int], narrow: boo
                         places.append(chr(0 if own == other else 1 if own < other else 2) + chr(k) + chosen)
                         rows.append(r)
             if narrow:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], ["key"])
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["key", "n"])
                 continue
             for s in range(0, len(rows), 10_000):
                 cut = slice(s, s + 10_000)
@@ -86,7 +91,7 @@ def _keyed(v: DataFrame, weights: np.ndarray, heavy: dict[str, int], narrow: boo
 
     hashed = v.select("variant_id", "seen_at", F.array_join("tokens", SEP).alias("tokens"), F.transform("tokens", _number).alias("hashes"))
     kinds = dict.fromkeys(_COLUMNS, "string") | {"seen_at": v.schema["seen_at"].dataType.simpleString()}
-    return hashed.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (_COLUMNS[:1] if narrow else _COLUMNS)))
+    return hashed.mapInArrow(run, "key string, n long" if narrow else ", ".join(f"{c} {kinds[c]}" for c in _COLUMNS))
 
 
 def _number(t):
@@ -210,6 +215,7 @@ class _Group:
             self.prefix[x, r] += ((self.codes[:, r] == own) & (np.arange(self.width)[:, None] < at)).sum(0)
         edits = np.array([most_edits(x) for x in range(2 * self.width + 2)])
         self.edits = edits[: self.width + 1].astype(np.int16)
+        self.most = self.edits.astype(np.int8)[self.size]
         # The longest that a sequence may be paired with.
         self.reach = np.array([max(y for y in range(x, self.width + 1) if y - edits[y] <= x) for x in range(self.width + 1)])
 
@@ -304,12 +310,12 @@ class _Group:
 
     def _closer(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those seen at different times whose other bits differ by few, too."""
-        k = self.edits.astype(np.int8)[self.size[j]]
+        k = self.most.take(j)
         for bits, ones in self.marks[1:]:
             ok = np.flatnonzero(self._missing(bits, ones, i, j) <= k)
             i, j, k = i[ok], j[ok], k[ok]
-        ok = np.flatnonzero(self.seen[i] != self.seen[j])
-        return i[ok], j[ok]
+        ok = self.seen.take(i) != self.seen.take(j)
+        return (i, j) if ok.all() else (i[ok], j[ok])
 
     def _early(self, a: int, b: int) -> np.ndarray:
         """The keys before this one of each row as bits: one for each of the commonest, LAST for all others."""
@@ -339,7 +345,7 @@ class _Group:
         """Edit distances of shorter and longer rows; any number above the most edits beyond those."""
         d = np.empty(len(i), np.int16)
         sure = np.empty(len(i), bool)
-        sizes = self.size[j] * (self.width + 1) + self.size[i]
+        sizes = self.size.take(j) * (self.width + 1) + self.size.take(i)
         for both in np.flatnonzero(np.bincount(sizes)).tolist():
             n, m = divmod(both, self.width + 1)
             some = np.flatnonzero(sizes == both)
@@ -378,23 +384,26 @@ class _Group:
                 np.minimum(best, ahead, out=best)
             enough += best
         # No fewer will do than tokens are missing; of equal lengths, two are the fewest where two places differ, as a shift takes two.
-        least = np.max([self._missing(bits, ones, i, j) for bits, ones in self.marks], axis=0)
-        return enough, (enough <= np.maximum(least, n - m)) | ((m == n) & (enough <= 2))
+        sure = enough <= (2 if m == n else n - m)
+        rest = np.flatnonzero(~sure)
+        least = np.max([self._missing(bits, ones, i[rest], j[rest]) for bits, ones in self.marks], axis=0)
+        sure[rest] = enough[rest] <= least
+        return enough, sure
 
     def _missing(self, bits: np.ndarray, ones: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return np.maximum(ones[i], ones[j]) - np.bitwise_count(bits[i] & bits[j]).view(np.int8)
+        return np.maximum(ones.take(i), ones.take(j)) - np.bitwise_count(bits.take(i) & bits.take(j)).view(np.int8)
 
     def similar(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(left, right, distance) of all near duplicates; the left one was seen first."""
         distinct = np.full(len(self.key), -1)
         for i, j in self.candidates():
             d = self.distances(i, j)
-            ok = np.flatnonzero(d <= self.edits[self.size[j]])
+            ok = np.flatnonzero(d <= self.most.take(j))
             i, j, d = i[ok], j[ok], d[ok]
             # An edit takes two shingles at most; where that may leave too few, they are counted. There are as many as
             # different tokens, but for one.
-            least = np.where(self.size[i] <= 4, 1, 2)
-            few = np.flatnonzero(np.maximum(self.ones[i], self.ones[j]) - 1 - 2 * d < least)
+            least = np.where(self.size.take(i) <= 4, 1, 2)
+            few = np.flatnonzero(np.maximum(self.ones.take(i), self.ones.take(j)) - 1 - 2 * d < least)
             new = np.unique(np.concatenate([i[few], j[few]]))
             new = new[distinct[new] < 0]
             distinct[new] = [len(self.shingles(r)) for r in new]
@@ -403,7 +412,7 @@ class _Group:
                 ok = np.ones(len(i), bool)
                 ok[few] = [len(self.shingles(i[x]) & self.shingles(j[x])) >= least[x] for x in few]
                 i, j, d = i[ok], j[ok], d[ok]
-            first = self.seen[i] < self.seen[j]
+            first = self.seen.take(i) < self.seen.take(j)
             yield np.where(first, i, j), np.where(first, j, i), d
 
 
@@ -414,7 +423,7 @@ def _tasks(v: DataFrame, part: int, batch: Callable, schema: str) -> DataFrame:
     counts = v.select(F.explode(F.array_distinct("tokens")).alias("t")).groupBy(_number(F.col("t")).alias("h")).agg(F.count("*").alias("n")).toPandas()
     weights = np.zeros(WEIGHTS, np.int64)
     weights[counts.h.to_numpy(np.int64)] = counts.n.to_numpy(np.int64)
-    sizes = _keyed(v, weights, {}, True).groupBy("key").agg(F.count("*").alias("n"))
+    sizes = _keyed(v, weights, {}, True).groupBy("key").agg(F.sum("n").alias("n"))
     # Comes to the driver: two figures, and the keys of more than ``part`` rows.
     big = F.when(F.col("n") > part, F.struct("key", "n"))
     sums = sizes.agg(F.sum(F.col("n") * F.col("n") / 2).alias("pairs"), F.collect_list(big).alias("heavy")).first()
